@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
@@ -60,3 +62,8 @@ def bucket_hash(unit_id: Column, salt: Column | str) -> Column:
     digest = F.sha2(F.concat(salt_col, F.lit(":"), unit_id.cast("string")), 256)
     top64 = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
     return top64.cast("double") / F.lit(2.0**64)
+
+
+def derive(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns in one projection; later ones may refer to earlier ones by name."""
+    return df.select("*", *[column.alias(name) for name, column in columns.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchtally.functions.columns import derive
 from touchtally.functions.special import POSTERIOR, posterior_difference
 from touchtally.operators.estimators import ColumnLike, _col
 
@@ -19,17 +20,14 @@ def posterior_parameters(
     """Add the Beta parameters and means of both posteriors; NULL on invalid counts."""
     if min(prior) <= 0:
         raise ValueError(f"prior parameters must be positive, got {prior}")
+    made = {}
     for arm, x, n in (("c", _col(x_c), _col(n_c)), ("t", _col(x_t), _col(n_t))):
         valid = (n >= 0) & x.between(0, n)
-        df = (
-            df.withColumn(f"posterior_a_{arm}", F.when(valid, prior[0] + x))
-            .withColumn(f"posterior_b_{arm}", F.when(valid, prior[1] + n - x))
-            .withColumn(
-                f"posterior_mean_{arm}",
-                F.col(f"posterior_a_{arm}") / (F.col(f"posterior_a_{arm}") + F.col(f"posterior_b_{arm}")),
-            )
-        )
-    return df
+        a, b = F.col(f"posterior_a_{arm}"), F.col(f"posterior_b_{arm}")
+        made[f"posterior_a_{arm}"] = F.when(valid, (prior[0] + x).cast("double"))
+        made[f"posterior_b_{arm}"] = F.when(valid, (prior[1] + n - x).cast("double"))
+        made[f"posterior_mean_{arm}"] = a / (a + b)
+    return derive(df, made)
 
 
 def beta_binomial_test(
@@ -41,7 +39,7 @@ def beta_binomial_test(
     df = posterior_parameters(df, x_c, n_c, x_t, n_t, prior)
     level_col = level if isinstance(level, Column) else F.lit(float(level))
     compared = posterior_difference(
-        *[F.col(f"posterior_{k}_{arm}").cast("double") for arm in ("c", "t") for k in ("a", "b")],
+        *[F.col(f"posterior_{k}_{arm}") for arm in ("c", "t") for k in ("a", "b")],
         _col(threshold).cast("double"), level_col,
     )
     return df.withColumn("_compared", compared).select(
@@ -57,22 +55,21 @@ def decision_summary(
     Without a tolerance, a tenth of the practical threshold is used.
     """
     limit = F.lit(float(tolerance)) if tolerance is not None else F.abs(_col(threshold)) / 10
-    return (
-        df.withColumn("loss_tolerance", limit)
-        .withColumn("ship_within_tolerance", F.col("expected_loss_ship") <= F.col("loss_tolerance"))
-        .withColumn(
-            "summary",
-            F.when(
-                F.col("expected_loss_ship").isNotNull(),
-                F.format_string(
-                    "P(better) %.1f%%, P(lift above threshold) %.1f%%. Expected loss: ship %.4f%%, "
-                    "hold %.4f%%, tolerance %.4f%%: %s.",
-                    F.col("prob_treatment_better") * 100, F.col("prob_exceeds_threshold") * 100,
-                    F.col("expected_loss_ship") * 100, F.col("expected_loss_hold") * 100,
-                    F.col("loss_tolerance") * 100,
-                    F.when(F.col("ship_within_tolerance"), "shipping is within tolerance")
-                    .otherwise("the downside is above tolerance"),
-                ),
-            ),
-        )
+    verdict = F.when(F.col("ship_within_tolerance"), "shipping is within tolerance").otherwise(
+        "the downside is above tolerance"
     )
+    percent = [
+        F.col(name) * 100
+        for name in ("prob_treatment_better", "prob_exceeds_threshold", "expected_loss_ship",
+                     "expected_loss_hold", "loss_tolerance")
+    ]
+    sentence = F.format_string(
+        "P(better) %.1f%%, P(lift above threshold) %.1f%%. Expected loss: ship %.4f%%, "
+        "hold %.4f%%, tolerance %.4f%%: %s.",
+        *percent, verdict,
+    )
+    return derive(df, {
+        "loss_tolerance": limit,
+        "ship_within_tolerance": F.col("expected_loss_ship") <= F.col("loss_tolerance"),
+        "summary": F.when(F.col("expected_loss_ship").isNotNull(), sentence),
+    })

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.functions.columns import guarded_ratio
+from touchtally.functions.columns import derive, guarded_ratio
 from touchtally.functions.special import (
     normal_quantile,
     normal_sf,
@@ -24,15 +24,15 @@ def _col(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _finish(df: DataFrame, prefix: str, p_value: Column, alpha: Column) -> DataFrame:
+def _interval(prefix: str, p_value: Column, alpha: Column) -> dict[str, Column]:
     p = prefix
-    effect, crit, se = F.col(f"{p}absolute_effect"), F.col(f"{p}critical"), F.col(f"{p}standard_error")
-    return (
-        df.withColumn(f"{p}p_value", p_value)
-        .withColumn(f"{p}ci_low", effect - crit * se)
-        .withColumn(f"{p}ci_high", effect + crit * se)
-        .withColumn(f"{p}significant", F.col(f"{p}p_value") < alpha)
-    )
+    effect, reach = F.col(f"{p}absolute_effect"), F.col(f"{p}critical") * F.col(f"{p}standard_error")
+    return {
+        f"{p}p_value": p_value,
+        f"{p}ci_low": effect - reach,
+        f"{p}ci_high": effect + reach,
+        f"{p}significant": F.col(f"{p}p_value") < alpha,
+    }
 
 
 def two_proportion_test(
@@ -42,34 +42,29 @@ def two_proportion_test(
     """Two-proportion z-test: pooled error for z, unpooled for the interval."""
     p, alpha = prefix, _col(alpha)
     x_c, n_c, x_t, n_t = map(_col, (x_c, n_c, x_t, n_t))
-    valid = (n_c > 0) & (n_t > 0) & x_c.between(0, n_c) & x_t.between(0, n_t)
-    rate_c, rate_t = guarded_ratio(x_c, F.when(valid, n_c)), guarded_ratio(x_t, F.when(valid, n_t))
-    pooled = guarded_ratio(x_c + x_t, F.when(valid, n_c + n_t))
-    df = (
-        df.withColumn(f"{p}error", F.when(F.coalesce(valid, F.lit(False)), F.lit(None).cast("string"))
-                      .otherwise("needs units in both arms and conversions within them"))
-        .withColumn(f"{p}control_mean", rate_c)
-        .withColumn(f"{p}treatment_mean", rate_t)
-        .withColumn(f"{p}absolute_effect", F.col(f"{p}treatment_mean") - F.col(f"{p}control_mean"))
-        .withColumn(f"{p}relative_effect", guarded_ratio(F.col(f"{p}absolute_effect"), F.col(f"{p}control_mean")))
-        .withColumn("_pooled", pooled)
-    )
+    valid = F.coalesce((n_c > 0) & (n_t > 0) & x_c.between(0, n_c) & x_t.between(0, n_t), F.lit(False))
     rate_c, rate_t = F.col(f"{p}control_mean"), F.col(f"{p}treatment_mean")
-    pooled_se = F.sqrt(F.col("_pooled") * (1 - F.col("_pooled")) * (F.try_divide(F.lit(1.0), n_c) + F.try_divide(F.lit(1.0), n_t)))
-    se = F.sqrt(F.try_divide(rate_c * (1 - rate_c), n_c) + F.try_divide(rate_t * (1 - rate_t), n_t))
-    df = (
-        df.withColumn(f"{p}standard_error", se)
-        .withColumn("_pooled_se", pooled_se)
-        .withColumn(
-            f"{p}statistic",
-            F.when(F.col("_pooled_se") > 0, F.col(f"{p}absolute_effect") / F.col("_pooled_se"))
-            .when(F.col("_pooled_se") == 0, F.lit(0.0)),
-        )
-        .withColumn(f"{p}critical", normal_quantile(1 - (alpha / 2 if two_sided else alpha)))
-        .drop("_pooled", "_pooled_se")
-    )
     z = F.col(f"{p}statistic")
-    return _finish(df, p, 2 * normal_sf(F.abs(z)) if two_sided else normal_sf(z), alpha)
+    variance = F.try_divide(rate_c * (1 - rate_c), n_c) + F.try_divide(rate_t * (1 - rate_t), n_t)
+    return derive(df, {
+        f"{p}error": F.when(~valid, "needs units in both arms and conversions within them"),
+        f"{p}control_mean": F.when(valid, x_c / n_c),
+        f"{p}treatment_mean": F.when(valid, x_t / n_t),
+        f"{p}absolute_effect": rate_t - rate_c,
+        f"{p}relative_effect": guarded_ratio(F.col(f"{p}absolute_effect"), rate_c),
+        f"{p}standard_error": F.sqrt(variance),
+        f"{p}statistic": F.when(valid, z_statistic(x_c, n_c, x_t, n_t)),
+        f"{p}critical": normal_quantile(1 - (alpha / 2 if two_sided else alpha)),
+        **_interval(p, 2 * normal_sf(F.abs(z)) if two_sided else normal_sf(z), alpha),
+    })
+
+
+def z_statistic(x_c: Column, n_c: Column, x_t: Column, n_t: Column) -> Column:
+    """Pooled two-proportion z; 0 without variance, NULL without units in an arm."""
+    pooled = F.try_divide(x_c + x_t, n_c + n_t)
+    per_unit = F.try_divide(F.lit(1.0), n_c) + F.try_divide(F.lit(1.0), n_t)
+    se = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.0)) * per_unit)
+    return F.when(se > 0, (F.try_divide(x_t, n_t) - F.try_divide(x_c, n_c)) / se).when(se == 0, F.lit(0.0))
 
 
 def welch_test(
@@ -82,35 +77,24 @@ def welch_test(
     p, alpha = prefix, _col(alpha)
     n_c, m_c, v_c = map(_col, control)
     n_t, m_t, v_t = map(_col, treatment)
-    enough = (n_c >= 2) & (n_t >= 2)
+    enough = F.coalesce((n_c >= 2) & (n_t >= 2), F.lit(False))
     part_c, part_t = F.try_divide(v_c, n_c), F.try_divide(v_t, n_t)
-    squared = part_c + part_t
-    # Rounding can leave a variance of a constant slightly below 0.
-    valid = F.coalesce(enough & (squared > 0), F.lit(False))
-    df = (
-        df.withColumn(
-            f"{p}error",
-            F.when(valid, F.lit(None).cast("string"))
-            .when(~F.coalesce(enough, F.lit(False)), "needs two observations in each arm")
-            .otherwise("no variance in either arm"),
-        )
-        .withColumn(f"{p}control_mean", m_c)
-        .withColumn(f"{p}treatment_mean", m_t)
-        .withColumn(f"{p}absolute_effect", F.when(valid, m_t - m_c))
-        .withColumn(f"{p}relative_effect", F.try_divide(F.col(f"{p}absolute_effect"), m_c))
-        .withColumn(f"{p}standard_error", F.when(valid, F.sqrt(squared)))
-        .withColumn(
-            f"{p}degrees_of_freedom",
-            F.when(
-                valid,
-                squared * squared / (part_c * part_c / (n_c - 1) + part_t * part_t / (n_t - 1)),
-            ),
-        )
-        .withColumn(f"{p}statistic", F.col(f"{p}absolute_effect") / F.col(f"{p}standard_error"))
-    )
-    t, dof = F.col(f"{p}statistic"), F.col(f"{p}degrees_of_freedom")
-    df = df.withColumn(f"{p}critical", student_quantile(1 - (alpha / 2 if two_sided else alpha), dof))
-    return _finish(df, p, 2 * student_sf(F.abs(t), dof) if two_sided else student_sf(t, dof), alpha)
+    valid = F.coalesce(enough & (part_c + part_t > 0), F.lit(False))
+    se, t, dof = (F.col(f"{p}{name}") for name in ("standard_error", "statistic", "degrees_of_freedom"))
+    return derive(df, {
+        f"{p}error": F.when(~enough, "needs two observations in each arm").when(~valid, "no variance in either arm"),
+        f"{p}control_mean": m_c,
+        f"{p}treatment_mean": m_t,
+        f"{p}absolute_effect": F.when(valid, m_t - m_c),
+        f"{p}relative_effect": F.try_divide(F.col(f"{p}absolute_effect"), m_c),
+        f"{p}standard_error": F.when(valid, F.sqrt(part_c + part_t)),
+        f"{p}degrees_of_freedom": F.try_divide(
+            se * se * se * se, F.when(valid, part_c * part_c / F.greatest(n_c - 1, F.lit(1)) + part_t * part_t / F.greatest(n_t - 1, F.lit(1)))
+        ),
+        f"{p}statistic": F.col(f"{p}absolute_effect") / se,
+        f"{p}critical": student_quantile(1 - (alpha / 2 if two_sided else alpha), dof),
+        **_interval(p, 2 * student_sf(F.abs(t), dof) if two_sided else student_sf(t, dof), alpha),
+    })
 
 
 def cuped_theta(cov: ColumnLike, var_x: ColumnLike) -> Column:
@@ -140,17 +124,15 @@ def cuped_two_sample(moments: DataFrame, alpha: ColumnLike = "alpha", two_sided:
     second time.
     """
     theta = F.col("theta")
-    df = moments.withColumn("theta", cuped_theta("xy_cov", "x_var"))
+    adjusted = {"theta": cuped_theta("xy_cov", "x_var")}
     for arm in ("c", "t"):
-        df = df.withColumn(
-            f"_mean_{arm}", F.col(f"y_mean_{arm}") - theta * (F.col(f"x_mean_{arm}") - F.col("x_mean"))
-        ).withColumn(
-            f"_var_{arm}",
-            F.greatest(
-                F.col(f"y_var_{arm}") - 2 * theta * F.col(f"xy_cov_{arm}") + theta * theta * F.col(f"x_var_{arm}"),
-                F.lit(0.0),
-            ),
+        adjusted[f"_mean_{arm}"] = F.col(f"y_mean_{arm}") - theta * (F.col(f"x_mean_{arm}") - F.col("x_mean"))
+        # Rounding may leave the variance of a perfect fit slightly below 0.
+        adjusted[f"_var_{arm}"] = F.greatest(
+            F.col(f"y_var_{arm}") - 2 * theta * F.col(f"xy_cov_{arm}") + theta * theta * F.col(f"x_var_{arm}"),
+            F.lit(0.0),
         )
+    df = derive(moments, adjusted)
     df = welch_test(
         df, ("x_n_c", "y_mean_c", "y_var_c"), ("x_n_t", "y_mean_t", "y_var_t"), alpha, "raw_", two_sided
     )
@@ -159,18 +141,10 @@ def cuped_two_sample(moments: DataFrame, alpha: ColumnLike = "alpha", two_sided:
     )
     pooled_adjusted = F.col("y_var") - 2 * theta * F.col("xy_cov") + theta * theta * F.col("x_var")
     width = {k: F.col(f"{k}_ci_high") - F.col(f"{k}_ci_low") for k in ("raw", "cuped")}
-    rho = F.coalesce(
-        guarded_ratio(F.col("xy_cov"), F.sqrt(F.greatest("x_var", F.lit(0.0)) * F.greatest("y_var", F.lit(0.0)))),
-        F.lit(0.0),
-    )
-    return (
-        df.withColumn("correlation", rho)
-        .withColumn(
-            "variance_reduction", F.coalesce(1 - guarded_ratio(pooled_adjusted, F.col("y_var")), F.lit(0.0))
-        )
-        .withColumn("theoretical_reduction", F.col("correlation") * F.col("correlation"))
-        .withColumn(
-            "ci_width_reduction", F.coalesce(1 - guarded_ratio(width["cuped"], width["raw"]), F.lit(0.0))
-        )
-        .drop("_mean_c", "_mean_t", "_var_c", "_var_t")
-    )
+    spread = F.sqrt(F.greatest("x_var", F.lit(0.0)) * F.greatest("y_var", F.lit(0.0)))
+    return derive(df, {
+        "correlation": F.coalesce(guarded_ratio(F.col("xy_cov"), spread), F.lit(0.0)),
+        "variance_reduction": F.coalesce(1 - guarded_ratio(pooled_adjusted, F.col("y_var")), F.lit(0.0)),
+        "theoretical_reduction": F.col("correlation") * F.col("correlation"),
+        "ci_width_reduction": F.coalesce(1 - guarded_ratio(width["cuped"], width["raw"]), F.lit(0.0)),
+    }).drop("_mean_c", "_mean_t", "_var_c", "_var_t")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.functions.columns import guarded_ratio
+from touchtally.functions.columns import derive, guarded_ratio
 from touchtally.functions.special import norm_ppf, normal_cdf, student_sf
 from touchtally.operators.estimators import ColumnLike, _col, two_proportion_test, welch_test
 
@@ -62,37 +62,25 @@ def _guardrail(tested: DataFrame, before: DataFrame, name: str, margin: Column,
     sign = _sign(direction)
     low, high = ("ci_low", "ci_high") if sign > 0 else ("ci_high", "ci_low")
     valid = F.coalesce(F.col("_g_error").isNull() & (margin > 0), F.lit(False))
-    df = (
-        tested.withColumn(f"{name}_control_value", F.col("_g_control_mean"))
-        .withColumn(f"{name}_treatment_value", F.col("_g_treatment_mean"))
-        .withColumn(f"{name}_margin", margin)
-        .withColumn(f"{name}_harm", sign * F.col("_g_absolute_effect"))
-        .withColumn(f"{name}_harm_ci_low", sign * F.col(f"_g_{low}"))
-        .withColumn(f"{name}_harm_ci_high", sign * F.col(f"_g_{high}"))
-        .withColumn(
-            "_g_distance",
-            F.when(
-                F.col("_g_standard_error") > 0,
-                (F.col(f"{name}_harm") - F.col(f"{name}_margin")) / F.col("_g_standard_error"),
-            ).when(F.col("_g_standard_error") == 0, F.lit(0.0)),
-        )
-        .withColumn(f"{name}_non_inferiority_p", non_inferiority)
-        .withColumn(f"{name}_resolvable_margin", resolvable)
-        .withColumn(f"{name}_adequately_powered", F.col(f"{name}_margin") >= F.col(f"{name}_resolvable_margin"))
-        .withColumn(
-            f"{name}_verdict",
-            F.when(
-                valid,
-                classify(F.col(f"{name}_harm_ci_low"), F.col(f"{name}_harm_ci_high"), F.col(f"{name}_margin")),
-            ).otherwise(INCONCLUSIVE),
-        )
-        .withColumn(
-            f"{name}_error",
-            F.when(valid, F.lit(None).cast("string"))
-            .when(F.col("_g_error").isNotNull(), F.col("_g_error"))
-            .otherwise("margin must be positive"),
-        )
-    )
+    harm, se = F.col(f"{name}_harm"), F.col("_g_standard_error")
+    df = derive(tested, {
+        f"{name}_control_value": F.col("_g_control_mean"),
+        f"{name}_treatment_value": F.col("_g_treatment_mean"),
+        f"{name}_margin": margin,
+        f"{name}_harm": sign * F.col("_g_absolute_effect"),
+        f"{name}_harm_ci_low": sign * F.col(f"_g_{low}"),
+        f"{name}_harm_ci_high": sign * F.col(f"_g_{high}"),
+        "_g_distance": F.when(se > 0, (harm - F.col(f"{name}_margin")) / se).when(se == 0, F.lit(0.0)),
+        f"{name}_non_inferiority_p": non_inferiority,
+        f"{name}_resolvable_margin": resolvable,
+        f"{name}_adequately_powered": F.col(f"{name}_margin") >= F.col(f"{name}_resolvable_margin"),
+        f"{name}_verdict": F.when(
+            valid, classify(F.col(f"{name}_harm_ci_low"), F.col(f"{name}_harm_ci_high"), F.col(f"{name}_margin"))
+        ).otherwise(INCONCLUSIVE),
+        f"{name}_error": F.when(
+            ~valid, F.coalesce(F.col("_g_error"), F.lit("margin must be positive"))
+        ),
+    })
     return df.select(*before.columns, *[f"{name}_{field}" for field in _FIELDS])
 
 
@@ -140,8 +128,8 @@ def guardrail_report(df: DataFrame, names: Sequence[str]) -> DataFrame:
     weak = F.array(*[
         F.when(~F.coalesce(F.col(f"{n}_adequately_powered"), F.lit(False)), F.lit(n)) for n in names
     ])
-    return (
-        df.withColumn("guardrails_blocking", F.filter(blocking, lambda g: g.isNotNull()))
-        .withColumn("guardrails_underpowered", F.filter(weak, lambda g: g.isNotNull()))
-        .withColumn("guardrails_passed", F.size("guardrails_blocking") == 0)
-    )
+    return derive(df, {
+        "guardrails_blocking": F.filter(blocking, lambda g: g.isNotNull()),
+        "guardrails_underpowered": F.filter(weak, lambda g: g.isNotNull()),
+        "guardrails_passed": F.size("guardrails_blocking") == 0,
+    })

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchtally.functions.columns import bucket_hash, guarded_ratio
+from touchtally.functions.columns import bucket_hash, derive, guarded_ratio
 from touchtally.functions.special import chi_square_quantile, chi_square_sf
 from touchtally.operators.assignment import two_way_variant
 from touchtally.operators.estimators import welch_test
@@ -60,18 +60,15 @@ def srm_check(assignments: DataFrame, expected: DataFrame, alpha: float = INTEGR
         .when(F.col("_bad_weight"), "expected shares must be positive")
     )
     dof = (F.col("arms") - 1).cast("double")
-    report = (
-        report.withColumn("error", error)
-        .withColumn("chi_square", F.when(F.col("error").isNull(), F.col("chi_square")))
-        .withColumn("degrees_of_freedom", F.col("arms") - 1)
-        .withColumn("p_value", chi_square_sf(F.col("chi_square"), dof))
-        .withColumn("critical", chi_square_quantile(F.lit(1.0 - alpha), dof))
-        .withColumn("passed", F.col("p_value") >= alpha)
-        .withColumn(
-            "minimum_detectable_loss",
-            minimum_detectable_loss(F.col("critical"), F.col("total_units") / F.col("arms")),
-        )
-    )
+    report = derive(report.withColumnRenamed("chi_square", "_chi_square"), {
+        "error": error,
+        "chi_square": F.when(F.col("error").isNull(), F.col("_chi_square")),
+        "degrees_of_freedom": F.col("arms") - 1,
+        "p_value": chi_square_sf(F.col("chi_square"), dof),
+        "critical": chi_square_quantile(F.lit(1.0 - alpha), dof),
+        "passed": F.col("p_value") >= alpha,
+        "minimum_detectable_loss": minimum_detectable_loss(F.col("critical"), F.col("total_units") / F.col("arms")),
+    })
     return report.select(
         "experiment_id", "total_units", "arms", "chi_square", "degrees_of_freedom", "p_value", "passed",
         "worst_variant", "worst_delta_units", "minimum_detectable_loss", "error",
@@ -101,18 +98,14 @@ def covariate_balance(moments: DataFrame, alpha: float = INTEGRITY_ALPHA) -> Dat
     )
     spread = F.sqrt((F.col("x_var_c") + F.col("x_var_t")) / 2)
     difference = F.when(spread > 0, (F.col("x_mean_t") - F.col("x_mean_c")) / spread).otherwise(F.lit(0.0))
-    return (
-        tested.withColumn("balance_standardised_difference", F.when(F.col("balance_error").isNull(), difference))
-        .withColumn(
-            "balance_passed",
-            (F.col("balance_p_value") >= alpha)
-            & (F.abs("balance_standardised_difference") < MAX_STANDARDISED_DIFFERENCE),
-        )
-        .drop(*[f"balance_{c}" for c in (
-            "absolute_effect", "relative_effect", "standard_error", "degrees_of_freedom", "statistic",
-            "critical", "ci_low", "ci_high", "significant",
-        )])
-    )
+    gap = F.col("balance_standardised_difference")
+    return derive(tested, {
+        "balance_standardised_difference": F.when(F.col("balance_error").isNull(), difference),
+        "balance_passed": (F.col("balance_p_value") >= alpha) & (F.abs(gap) < MAX_STANDARDISED_DIFFERENCE),
+    }).drop(*[f"balance_{c}" for c in (
+        "absolute_effect", "relative_effect", "standard_error", "degrees_of_freedom", "statistic",
+        "critical", "ci_low", "ci_high", "significant",
+    )])
 
 
 def duplicate_units(assignments: DataFrame) -> DataFrame:

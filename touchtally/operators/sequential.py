@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from touchtally.functions.columns import bucket_hash
 from touchtally.functions.special import norm_ppf, norm_sf, normal_quantile, normal_sf
 from touchtally.operators.assignment import two_way_variant
+from touchtally.operators.estimators import z_statistic
 
 # The integration grid on the B-value scale.
 _GRID_LIMIT, _GRID_POINTS = 8.0, 2001
@@ -135,14 +136,6 @@ def look_plan(config: DataFrame) -> DataFrame:
     )
 
 
-def z_statistic(x_c: Column, n_c: Column, x_t: Column, n_t: Column) -> Column:
-    """Pooled two-proportion z; 0 without variance, NULL without units in an arm."""
-    rate_c, rate_t = F.try_divide(x_c, n_c), F.try_divide(x_t, n_t)
-    pooled = F.try_divide(x_c + x_t, n_c + n_t)
-    se = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.0)) * (F.try_divide(F.lit(1.0), n_c) + F.try_divide(F.lit(1.0), n_t)))
-    return F.when(se > 0, (rate_t - rate_c) / se).when(se == 0, F.lit(0.0))
-
-
 def _daily_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     control, treatment = F.col("variant") == "control", F.col("variant") == "treatment"
     y = F.col("primary_metric")

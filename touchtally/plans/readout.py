@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.functions.columns import guarded_ratio
+from touchtally.functions.columns import derive, guarded_ratio
 from touchtally.functions.special import chi_square_sf, normal_sf
 from touchtally.operators import bayes, estimators, guardrails, integrity
 from touchtally.operators.moments import arm_moments
@@ -32,11 +32,11 @@ def with_ratio_check(df: DataFrame, alpha: float = integrity.INTEGRITY_ALPHA) ->
     expected_c = F.col("control_share") * total
     expected_t = total - expected_c
     gap = F.col("n_c") - expected_c
-    return (
-        df.withColumn("srm_chi_square", guarded_ratio(gap * gap, expected_c) + guarded_ratio(gap * gap, expected_t))
-        .withColumn("srm_p_value", chi_square_sf(F.col("srm_chi_square"), F.lit(1.0)))
-        .withColumn("srm_passed", F.coalesce(F.col("srm_p_value") >= alpha, F.lit(False)))
-    )
+    return derive(df, {
+        "srm_chi_square": guarded_ratio(gap * gap, expected_c) + guarded_ratio(gap * gap, expected_t),
+        "srm_p_value": chi_square_sf(F.col("srm_chi_square"), F.lit(1.0)),
+        "srm_passed": F.coalesce(F.col("srm_p_value") >= alpha, F.lit(False)),
+    })
 
 
 def with_guardrails(df: DataFrame) -> DataFrame:
@@ -52,14 +52,13 @@ def with_guardrails(df: DataFrame) -> DataFrame:
 
 def with_current_look(df: DataFrame) -> DataFrame:
     """The planned boundary at the current look against the primary statistic."""
-    return (
-        df.withColumn("look_boundary", F.get("plan", F.col("current_look") - 1)["z_boundary"])
-        .withColumn(
-            "look_crossed", F.coalesce(F.abs("primary_statistic") >= F.col("look_boundary"), F.lit(False))
-        )
-        .withColumn("look_is_final", F.col("current_look") >= F.size("looks"))
-        .withColumn("look_nominal_p", 2 * normal_sf(F.abs("primary_statistic")))
-    )
+    z = F.abs("primary_statistic")
+    return derive(df, {
+        "look_boundary": F.get("plan", F.col("current_look") - 1)["z_boundary"],
+        "look_crossed": F.coalesce(z >= F.col("look_boundary"), F.lit(False)),
+        "look_is_final": F.col("current_look") >= F.size("looks"),
+        "look_nominal_p": 2 * normal_sf(z),
+    })
 
 
 def _interval() -> Column:
@@ -110,7 +109,7 @@ def decide(df: DataFrame) -> DataFrame:
         holds = F.coalesce(condition, F.lit(False))
         decision = F.when(holds, F.lit(outcome)).otherwise(decision)
         rationale = F.when(holds, reasons).otherwise(rationale)
-    return df.withColumn("decision", decision).withColumn("rationale", rationale)
+    return derive(df, {"decision": decision, "rationale": rationale})
 
 
 def readout(assignments: DataFrame, config: DataFrame) -> DataFrame:
