@@ -198,12 +198,13 @@ def touch_positions(kept: JourneyTouches, cfg: AttributionConfig) -> DataFrame:
 
 
 def journey_steps(kept: JourneyTouches, cfg: AttributionConfig) -> JourneyTouches:
-    """Journeys folded to one row per user, previous channel and channel.
+    """Journeys as rows that only have to be added up.
 
-    A journey of any length becomes at most (channels + 1) * channels rows. Each
-    row has the number of touches, their summed decay weight, and whether the
-    journey's first or last touch is among them. Everything credit needs follows
-    from these rows.
+    A row stands for ``n`` touches of one user that share a channel and the
+    channel before it, with their summed decay weight and whether the journey's
+    first or last touch is among them. Regular users keep a row per touch; a hot
+    user is folded to at most (channels + 1) * channels rows, however many
+    touches it has.
     """
     user_cols = kept.user_cols
     decay = half_life_weight(F.col("age_days"), cfg.half_life_days)
@@ -212,22 +213,14 @@ def journey_steps(kept: JourneyTouches, cfg: AttributionConfig) -> JourneyTouche
 
     def regular(df: DataFrame) -> DataFrame:
         ordered = Window.partitionBy(*user_cols).orderBy("ts", "touch_id")
-        return (
-            df.withColumn("previous", F.lag("channel").over(ordered))
-            .withColumn("place", F.row_number().over(ordered))
-            .withColumn("is_last", F.lead("touch_id").over(ordered).isNull())
-            .groupBy(
-                *user_cols,
-                F.when(F.col("place") == 1, F.lit(START)).otherwise(F.col("previous")).alias("from_state"),
-                "channel",
-            )
-            .agg(
-                F.count("*").alias("n"),
-                F.sum(F.when(F.col("converted"), decay)).alias("decay"),
-                F.sum((F.col("place") == 1).cast("long")).alias("n_first"),
-                F.sum(F.col("is_last").cast("long")).alias("n_last"),
-                *spans, *facts,
-            )
+        place, following = F.row_number().over(ordered), F.lead("touch_id").over(ordered)
+        return df.select(
+            *user_cols, F.lag("channel", 1, START).over(ordered).alias("from_state"), "channel",
+            F.lit(1).cast("long").alias("n"),
+            F.when(F.col("converted"), decay).alias("decay"),
+            (place == 1).cast("long").alias("n_first"),
+            following.isNull().cast("long").alias("n_last"),
+            F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), *_USER_FACTS,
         )
 
     def hot(df: DataFrame) -> DataFrame:
@@ -262,7 +255,7 @@ def journey_steps(kept: JourneyTouches, cfg: AttributionConfig) -> JourneyTouche
             .agg(
                 F.sum("n").alias("n"),
                 F.sum("decay").alias("decay"),
-                F.sum(F.when(F.col("is_start"), F.lit(1)).otherwise(F.lit(0))).alias("n_first"),
+                F.sum(F.col("is_start").cast("long")).alias("n_first"),
                 F.sum(F.when(F.col("final_slice"), F.col("n_closing")).otherwise(F.lit(0))).alias("n_last"),
                 F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), *facts,
             )

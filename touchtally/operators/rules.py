@@ -2,68 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchtally.config import CONVERSION, NULL_STATE, RULE_MODELS, AttributionConfig
-from touchtally.operators.journeys import JourneyTouches, fold_users, journey_steps
+from touchtally.functions.columns import net_of_refund
+from touchtally.operators.journeys import JourneyTouches, journey_steps
 
-# Inputs of a rule, per group of touches of one journey: how many touches, how
-# many of them are the journey's first or last, their summed decay weight, and
-# the journey's touch count and decay total. A single touch is a group of one.
-GroupFacts = Mapping[str, Column]
-Rule = Callable[[GroupFacts, AttributionConfig], Column]
+# A rule is a weight for a group of touches of one journey, in SQL over these
+# columns: ``n`` touches, ``n_first`` and ``n_last`` of them the journey's first
+# and last, ``decay`` their summed half-life weight; ``touches`` and
+# ``decay_total`` are the journey's. A single touch is a group of one.
+Rule = Callable[[AttributionConfig], Column]
 
 
-def _linear(g: GroupFacts, cfg: AttributionConfig) -> Column:
-    return g["n"] / g["touches"]
-
-
-def _time_decay(g: GroupFacts, cfg: AttributionConfig) -> Column:
-    return F.when(g["decay_total"] > 0, g["decay"] / g["decay_total"]).otherwise(_linear(g, cfg))
-
-
-def _position_based(g: GroupFacts, cfg: AttributionConfig) -> Column:
-    ends = g["n_first"] * cfg.position_first + g["n_last"] * cfg.position_last
-    inner = g["n"] - g["n_first"] - g["n_last"]
-    return (
-        F.when(g["touches"] == 1, g["n"].cast("double"))
-        .when(g["touches"] == 2, ends / F.lit(cfg.position_first + cfg.position_last))
-        .otherwise(ends + inner * cfg.position_middle / (g["touches"] - 2))
-    )
+def _position_based(cfg: AttributionConfig) -> Column:
+    first, middle, last = cfg.position_first, cfg.position_middle, cfg.position_last
+    ends = f"(n_first * {first!r}D + n_last * {last!r}D)"
+    return F.expr(f"""
+        CASE WHEN touches = 1 THEN DOUBLE(n)
+             WHEN touches = 2 THEN {ends} / {first + last!r}D
+             ELSE {ends} + (n - n_first - n_last) * {middle!r}D / (touches - 2) END""")
 
 
 RULES: dict[str, Rule] = {
-    "first_touch": lambda g, cfg: g["n_first"].cast("double"),
-    "last_touch": lambda g, cfg: g["n_last"].cast("double"),
-    "linear": _linear,
-    "time_decay": _time_decay,
+    "first_touch": lambda cfg: F.expr("DOUBLE(n_first)"),
+    "last_touch": lambda cfg: F.expr("DOUBLE(n_last)"),
+    "linear": lambda cfg: F.expr("n / touches"),
+    "time_decay": lambda cfg: F.expr("CASE WHEN decay_total > 0 THEN decay / decay_total ELSE n / touches END"),
     "position_based": _position_based,
 }
 
 
-def rule_weight(model: str, group: GroupFacts, cfg: AttributionConfig) -> Column:
+def rule_weight(model: str, cfg: AttributionConfig) -> Column:
     if model not in RULES:
         raise ValueError(f"unknown rule model {model!r}; known: {sorted(RULES)}")
-    return RULES[model](group, cfg)
+    return RULES[model](cfg)
 
 
 def touch_weights(
     positions: DataFrame, cfg: AttributionConfig, models: Sequence[str] = RULE_MODELS
 ) -> DataFrame:
     """Credit weight of every touch of a converting journey, one column per model."""
-    group = {
-        "n": F.lit(1),
-        "n_first": (F.col("pos_asc") == 1).cast("int"),
-        "n_last": (F.col("pos_desc") == 1).cast("int"),
-        "decay": F.col("decay"),
-        "touches": F.col("touches"),
-        "decay_total": F.col("decay_total"),
-    }
-    return positions.where("converted").select(
-        "*", *[rule_weight(m, group, cfg).alias(f"weight_{m}") for m in models]
+    singles = positions.where("converted").selectExpr(
+        "*", "1 AS n", "INT(pos_asc = 1) AS n_first", "INT(pos_desc = 1) AS n_last"
+    )
+    return singles.select(
+        *positions.columns, *[rule_weight(m, cfg).alias(f"weight_{m}") for m in models]
     )
 
 
@@ -94,50 +81,58 @@ def attribution_facts(
     channels = list(cfg.channels)
     if len(channels) > 63:
         raise ValueError("at most 63 channels")
-    checked = kept.with_column("channel", known_channel(channels))
-    bit = channel_bit(F.col("channel"), channels)
-    step_cols = ["from_state", "channel", "n", "decay", "n_first", "n_last"]
-    users = fold_users(
-        journey_steps(checked, cfg),
-        [
-            F.collect_list(F.struct(*step_cols)).alias("steps"),
-            F.bit_or(bit).alias("mask"),
-        ],
-    )
-    outcome = F.when(F.col("converted"), F.lit(CONVERSION)).otherwise(F.lit(NULL_STATE))
-    end = F.struct(
-        F.col("last_channel").alias("from_state"), outcome.alias("channel"),
-        F.lit(1).cast("long").alias("n"), F.lit(None).cast("double").alias("decay"),
-        F.lit(0).cast("long").alias("n_first"), F.lit(0).cast("long").alias("n_last"),
-    )
-    group = {name: F.col(name) for name in ("n", "n_first", "n_last", "decay", "touches", "decay_total")}
-    credited = F.col("converted") & ~F.col("is_end")
     segments = list(kept.segment_cols)
-
-    def partial(df: DataFrame) -> DataFrame:
-        rows = df.select(
-            *segments, "converted", "revenue", "net_revenue", "touches", "decay_total", "mask",
-            F.explode(F.concat("steps", F.array(end))).alias("step"),
-        ).select(
-            *segments, "converted", "revenue", "net_revenue", "touches", "decay_total", "mask", "step.*",
-        ).withColumn("is_end", F.col("channel").isin(CONVERSION, NULL_STATE))
-        weights = {m: F.when(credited, rule_weight(m, group, cfg)) for m in models}
-        return rows.select(
-            *segments, "from_state", F.col("channel").alias("to_state"),
-            F.when(F.col("is_end"), F.col("mask")).alias("channel_mask"),
-            F.col("n").alias("transitions"),
-            *[w.alias(f"credit_{m}") for m, w in weights.items()],
-            *[(w * F.col("revenue")).alias(f"revenue_{m}") for m, w in weights.items()],
-            *[(w * F.col("net_revenue")).alias(f"net_{m}") for m, w in weights.items()],
-            F.col("is_end").cast("long").alias("journeys"),
-            (F.col("is_end") & F.col("converted")).cast("long").alias("conversions"),
-            F.when(F.col("is_end") & F.col("converted"), F.col("revenue")).alias("revenue"),
-            F.when(F.col("is_end") & F.col("converted"), F.col("net_revenue")).alias("net_revenue"),
+    steps = journey_steps(kept.with_column("channel", known_channel(channels)), cfg)
+    credit = [f"{kind}_{m}" for kind in ("credit", "revenue", "net") for m in models]
+
+    def rows(df: DataFrame) -> DataFrame:
+        user = Window.partitionBy(*kept.user_cols)
+        placed = df.select(
+            "*", F.sum("n").over(user).alias("touches"), F.sum("decay").over(user).alias("decay_total"),
+            F.bit_or(channel_bit(F.col("channel"), channels)).over(user).alias("mask"),
+            net_of_refund(F.col("revenue"), F.col("is_refunded")).alias("net_revenue"),
+        )
+        return placed.select(
+            *segments, "from_state", "channel", "converted", "n", "revenue", "net_revenue",
+            *[F.when(F.col("converted"), rule_weight(m, cfg)).alias(f"credit_{m}") for m in models],
+            F.expr("CASE WHEN n_last > 0 THEN mask END AS end_mask"),
         )
 
+    def summed(*measures: str) -> list[Column]:
+        return [F.expr(measure) for measure in measures]
+
+    converting_end = "converted AND end_mask IS NOT NULL"
+    by_step = steps.each(rows, rows).groupBy(
+        *segments, "from_state", "channel", "converted", "end_mask"
+    ).agg(*summed(
+        "sum(n) AS transitions",
+        *[f"sum(credit_{m}) AS credit_{m}" for m in models],
+        *[f"sum(credit_{m} * revenue) AS revenue_{m}" for m in models],
+        *[f"sum(credit_{m} * net_revenue) AS net_{m}" for m in models],
+        "count(end_mask) AS journeys",
+        f"sum(CASE WHEN {converting_end} THEN revenue END) AS revenue",
+        f"sum(CASE WHEN {converting_end} THEN net_revenue END) AS net_revenue",
+    ))
+    # From here on only these few rows are handled: touches and journey ends part.
+    touch = ", ".join([
+        "from_state AS from_state", "channel AS to_state", "BIGINT(NULL) AS channel_mask",
+        "transitions AS transitions", *[f"{c} AS {c}" for c in credit],
+        "0L AS journeys", "0L AS conversions", "DOUBLE(NULL) AS revenue", "DOUBLE(NULL) AS net_revenue",
+    ])
+    end = ", ".join([
+        "channel AS from_state", f"IF(converted, '{CONVERSION}', '{NULL_STATE}') AS to_state",
+        "end_mask AS channel_mask", "journeys AS transitions", *[f"DOUBLE(NULL) AS {c}" for c in credit],
+        "journeys AS journeys", "IF(converted, journeys, 0L) AS conversions",
+        "revenue AS revenue", "net_revenue AS net_revenue",
+    ])
+    parted = by_step.selectExpr(
+        *segments,
+        f"explode(IF(end_mask IS NULL, array(struct({touch})), array(struct({touch}), struct({end})))) AS row",
+    ).select(*segments, "row.*")
     keys = [*segments, "from_state", "to_state", "channel_mask"]
-    merged = users.each(partial, partial)
-    return merged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in merged.columns if c not in keys])
+    return parted.groupBy(*keys).agg(
+        *summed(*[f"sum({c}) AS {c}" for c in parted.columns if c not in keys])
+    )
 
 
 def _per_channel(
