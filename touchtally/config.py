@@ -21,10 +21,8 @@ class AttributionConfig:
     ``calendar`` (midnights crossed).
 
     Users with more than ``hot_user_rows`` touches are cut into time slices so
-    that no single task orders them. At most ``touches / hot_user_rows`` users
-    can be hot, which bounds the list that is broadcast: 200,000 rows (a few
-    MB) for 10**12 touches at the default. ``None`` skips the detection, for
-    logs known to be even.
+    that no single task orders them. ``None`` skips the detection, for logs
+    known to be even.
 
     ``max_path_touches`` is the longest journey whose path fits one row as a
     string; longer ones have a NULL path and are whole in ``path_segments``.

@@ -16,6 +16,7 @@ from touchtally.functions.special import (
     student_quantile,
     student_sf,
 )
+from touchtally.sources.checkpoints import broadcast_if_small, materialise
 
 ColumnLike = Column | str
 
@@ -105,15 +106,15 @@ def cuped_theta(cov: ColumnLike, var_x: ColumnLike) -> Column:
 def cuped_adjusted_rows(assignments: DataFrame, moments: DataFrame) -> DataFrame:
     """Units with ``adjusted_metric`` = y - theta * (x - pooled mean of x).
 
-    ``moments`` has one row per experiment, joined by experiment; units without
-    covariate get NULL.
+    Two passes: the three numbers per experiment are computed and written first,
+    then every unit is adjusted without a shuffle. Units without covariate get
+    NULL.
     """
-    terms = moments.select(
+    terms = materialise(moments.select(
         "experiment_id", cuped_theta("xy_cov", "x_var").alias("theta"), F.col("x_mean").alias("covariate_mean")
-    )
-    return assignments.join(terms, "experiment_id").withColumn(
-        "adjusted_metric",
-        F.col("primary_metric") - F.col("theta") * (F.col("pre_covariate") - F.col("covariate_mean")),
+    ))
+    return assignments.join(broadcast_if_small(terms), "experiment_id").withColumn(
+        "adjusted_metric", F.expr("primary_metric - theta * (pre_covariate - covariate_mean)")
     )
 
 

@@ -9,6 +9,7 @@ from touchtally.functions.columns import bucket_hash, derive, guarded_ratio
 from touchtally.functions.special import chi_square_quantile, chi_square_sf
 from touchtally.operators.assignment import two_way_variant
 from touchtally.operators.estimators import welch_test
+from touchtally.sources.checkpoints import broadcast_if_small
 
 # Significance of the integrity checks and the largest
 # standardised difference that counts as balanced.
@@ -119,7 +120,7 @@ def duplicate_units(assignments: DataFrame) -> DataFrame:
 
 def with_rederived_variant(assignments: DataFrame, config: DataFrame) -> DataFrame:
     """Assignments with the variant their hash should have given and ``drifted``."""
-    settings = config.select("experiment_id", "salt", "control_share")
+    settings = broadcast_if_small(config.select("experiment_id", "salt", "control_share"))
     expected = two_way_variant(bucket_hash(F.col("user_id"), F.col("salt")), F.col("control_share"))
     return assignments.join(settings, "experiment_id").withColumn("expected_variant", expected).withColumn(
         "drifted", ~F.col("variant").eqNullSafe(F.col("expected_variant"))

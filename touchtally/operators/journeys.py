@@ -121,7 +121,7 @@ def journey_source(
     hot_rollup = conversion_rollup(
         conversions.join(F.broadcast(heavy), "user_id", "left_semi")
     ).withColumn("converted", F.lit(True))
-    # heavy and widths have at most touches / hot_user_rows rows.
+    # heavy and hot_users have at most slices.MAX_HEAVY_USERS rows.
     hot_users = widths.join(hot_rollup, "user_id", "left")
     regular = placed.join(F.broadcast(heavy), "user_id", "left_anti").join(rollup, "user_id", "left")
     hot = timed.join(F.broadcast(hot_users), "user_id")

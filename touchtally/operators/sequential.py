@@ -16,6 +16,7 @@ from touchtally.functions.columns import bucket_hash
 from touchtally.functions.special import norm_ppf, norm_sf, normal_quantile, normal_sf
 from touchtally.operators.assignment import two_way_variant
 from touchtally.operators.estimators import z_statistic
+from touchtally.sources.checkpoints import broadcast_if_small
 
 # The integration grid on the B-value scale.
 _GRID_LIMIT, _GRID_POINTS = 8.0, 2001
@@ -208,7 +209,7 @@ def aa_audit(assignments: DataFrame, config: DataFrame, resamples: int = 20) ->
     keys = ["experiment_id", "draw"]
     redrawn = (
         assignments.select("experiment_id", "user_id", "assign_ts", "primary_metric")
-        .join(config.select("experiment_id", "salt", "control_share"), "experiment_id")
+        .join(broadcast_if_small(config.select("experiment_id", "salt", "control_share")), "experiment_id")
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
         .withColumn("salt", F.concat("salt", F.lit("#"), F.col("draw").cast("string")))
         .withColumn("variant", two_way_variant(bucket_hash(F.col("user_id"), F.col("salt")), F.col("control_share")))

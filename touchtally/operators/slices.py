@@ -18,18 +18,22 @@ from touchtally.functions.columns import epoch_micros
 # the finest one for users who overfill single seconds.
 _WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000)
 _FINEST_WIDTH = 1_000
+# Largest list of users that is broadcast.
+MAX_HEAVY_USERS = 100_000
 # Microseconds between 0001-01-01 and 1970-01-01: keeps slice numbers positive.
 _EPOCH_SHIFT = 62_135_596_800_000_000
 
 
 def heavy_users(touches: DataFrame, rows_per_slice: int) -> DataFrame:
-    """Users with more than ``rows_per_slice`` touches: at most total / rows_per_slice rows."""
-    return (
-        touches.groupBy("user_id")
-        .agg(F.count("*").alias("touches"))
-        .where(F.col("touches") > rows_per_slice)
-        .select("user_id")
-    )
+    """Users with more than ``rows_per_slice`` touches, at most ``MAX_HEAVY_USERS``.
+
+    In a log so large that more users could pass, the threshold is raised to
+    1 / MAX_HEAVY_USERS of all touches, which fewer users than that can exceed.
+    So the list may be broadcast whatever the size of the log.
+    """
+    counts = touches.groupBy("user_id").agg(F.count("*").alias("touches"))
+    floor = counts.agg(F.coalesce(F.expr(f"sum(touches) div {MAX_HEAVY_USERS}"), F.lit(0))).scalar()
+    return counts.where(F.col("touches") > F.greatest(F.lit(rows_per_slice), floor)).select("user_id")
 
 
 def slice_widths(touches: DataFrame, heavy: DataFrame, rows_per_slice: int) -> DataFrame:

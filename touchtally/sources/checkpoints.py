@@ -1,10 +1,14 @@
-"""Cutting lineage in the shared folder the cluster names."""
+"""Cutting lineage in the shared folder the cluster names, and checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Largest per-experiment table that is broadcast.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def _ensure_folder(spark: SparkSession) -> None:
@@ -29,3 +33,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     _ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``max_rows`` rows; else leave the join alone.
+
+    Counts ``df`` up to the limit, so give it settings or an already written
+    summary. Without the hint the join is a sort-merge join, where adaptive
+    execution splits skewed keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
