@@ -60,7 +60,7 @@ def srm_check(assignments: DataFrame, expected: DataFrame, alpha: float = INTEGR
         .when(F.col("total_units") == 0, "no units assigned")
         .when(F.col("_bad_weight"), "expected shares must be positive")
     )
-    dof = (F.col("arms") - 1).cast("double")
+    dof = F.when(F.col("error").isNull(), (F.col("arms") - 1).cast("double"))
     report = derive(report.withColumnRenamed("chi_square", "_chi_square"), {
         "error": error,
         "chi_square": F.when(F.col("error").isNull(), F.col("_chi_square")),
