@@ -196,13 +196,13 @@ def test_cuped_without_covariate_spread(spark):
 def test_beta_binomial_row(spark):
     df = moments_row(spark, xc=2370, nc=29967, xt=2661, nt=30033)
     row = bayes.decision_summary(
-        bayes.beta_binomial_test(df, "xc", "nc", "xt", "nt", F.lit(0.005)), F.lit(0.005)
+        bayes.beta_binomial_test(df, "xc", "nc", "xt", "nt", 0.005), 0.005
     ).first()
     assert row.prob_exceeds_threshold == pytest.approx(0.9770, abs=5e-5)
     assert row.expected_loss_hold == pytest.approx(0.009515, abs=5e-7)
     assert row.ship_within_tolerance and row.loss_tolerance == pytest.approx(0.0005)
     assert row.lift_ci_low < row.lift_median < row.lift_ci_high and "within tolerance" in row.summary
-    bad = bayes.beta_binomial_test(moments_row(spark, xc=5, nc=3, xt=1, nt=3), "xc", "nc", "xt", "nt", F.lit(0.0)).first()
+    bad = bayes.beta_binomial_test(moments_row(spark, xc=5, nc=3, xt=1, nt=3), "xc", "nc", "xt", "nt", 0.0).first()
     assert bad.posterior_a_c is None and bad.prob_treatment_better is None
     with pytest.raises(ValueError):
         bayes.posterior_parameters(df, "xc", "nc", "xt", "nt", (0.0, 1.0))
@@ -233,7 +233,7 @@ def test_interim_looks_count_units_up_to_each_day(spark):
     looks = sequential.interim_looks(units(spark, 480), config(spark, "e")).orderBy("look").collect()
     assert [r.n_c + r.n_t for r in looks] == [96, 192, 288, 384, 480]
     final = estimators.two_proportion_test(
-        moments.arm_moments(units(spark, 480)), "conversions_c", "n_c", "conversions_t", "n_t", F.lit(0.05)).first()
+        moments.arm_moments(units(spark, 480)), "conversions_c", "n_c", "conversions_t", "n_t", 0.05).first()
     assert looks[-1].z == pytest.approx(final.statistic) and looks[-1].stop
 
 
@@ -253,7 +253,7 @@ def test_audit_rates_are_shares_of_draws(spark):
 
 def guard(spark, ec, nc, et, nt, margin, **kw):
     df = moments_row(spark, ec=ec, nc=nc, et=et, nt=nt)
-    df = guardrails.guardrail_proportion(df, "g", "ec", "nc", "et", "nt", F.lit(margin), **kw)
+    df = guardrails.guardrail_proportion(df, "g", "ec", "nc", "et", "nt", margin, **kw)
     return guardrails.guardrail_report(df, ["g"]).first()
 
 
@@ -274,7 +274,7 @@ def test_guardrail_verdicts(spark):
 
 def test_guardrail_mean_matches_interval(spark):
     df = moments_row(spark, n_c=1000, m_c=220.0, v_c=400.0, n_t=1000, m_t=223.0, v_t=400.0)
-    df = guardrails.guardrail_mean(df, "g", ("n_c", "m_c", "v_c"), ("n_t", "m_t", "v_t"), F.lit(25.0))
+    df = guardrails.guardrail_mean(df, "g", ("n_c", "m_c", "v_c"), ("n_t", "m_t", "v_t"), 25.0)
     row = guardrails.guardrail_rows(df, ["g"]).first()
     assert row.verdict == "PASS" and row.harm == pytest.approx(3.0) and row.non_inferiority_p < 1e-10
     assert row.resolvable_margin == pytest.approx(2.8016 * 0.8**0.5, abs=1e-3)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 MICROS_PER_DAY = 86_400_000_000
 
 
+def as_column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
 def _interval_micros(interval: Column) -> Column:
     """Microseconds of a day-time interval.
 
@@ -64,6 +68,12 @@ def bucket_hash(unit_id: Column, salt: Column | str) -> Column:
     return top64.cast("double") / F.lit(2.0**64)
 
 
-def derive(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """Add columns in one projection; later ones may refer to earlier ones by name."""
-    return df.select("*", *[column.alias(name) for name, column in columns.items()])
+def derive(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:
+    """Add columns in one projection; later ones may refer to earlier ones by name.
+
+    A text value is an SQL expression.
+    """
+    return df.select("*", *[
+        F.expr(f"{value} AS {name}") if isinstance(value, str) else value.alias(name)
+        for name, value in columns.items()
+    ])

@@ -2,45 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchtally.functions.columns import derive
 from touchtally.functions.special import POSTERIOR, posterior_difference
-from touchtally.operators.estimators import ColumnLike, _col
+from touchtally.operators.estimators import Input
 
 # Fixed value: the uniform prior.
 DEFAULT_PRIOR = (1.0, 1.0)
 
 
 def posterior_parameters(
-    df: DataFrame, x_c: ColumnLike, n_c: ColumnLike, x_t: ColumnLike, n_t: ColumnLike,
+    df: DataFrame, x_c: Input, n_c: Input, x_t: Input, n_t: Input,
     prior: tuple[float, float] = DEFAULT_PRIOR,
 ) -> DataFrame:
     """Add the Beta parameters and means of both posteriors; NULL on invalid counts."""
     if min(prior) <= 0:
         raise ValueError(f"prior parameters must be positive, got {prior}")
     made = {}
-    for arm, x, n in (("c", _col(x_c), _col(n_c)), ("t", _col(x_t), _col(n_t))):
-        valid = (n >= 0) & x.between(0, n)
-        a, b = F.col(f"posterior_a_{arm}"), F.col(f"posterior_b_{arm}")
-        made[f"posterior_a_{arm}"] = F.when(valid, (prior[0] + x).cast("double"))
-        made[f"posterior_b_{arm}"] = F.when(valid, (prior[1] + n - x).cast("double"))
-        made[f"posterior_mean_{arm}"] = a / (a + b)
+    for arm, x, n in (("c", x_c, n_c), ("t", x_t, n_t)):
+        a, b = f"posterior_a_{arm}", f"posterior_b_{arm}"
+        valid = f"{n} >= 0 AND {x} BETWEEN 0 AND {n}"
+        made[a] = f"IF({valid}, {prior[0]!r}D + {x}, NULL)"
+        made[b] = f"IF({valid}, {prior[1]!r}D + {n} - {x}, NULL)"
+        made[f"posterior_mean_{arm}"] = f"{a} / ({a} + {b})"
     return derive(df, made)
 
 
 def beta_binomial_test(
-    df: DataFrame, x_c: ColumnLike, n_c: ColumnLike, x_t: ColumnLike, n_t: ColumnLike,
-    threshold: Column | str = "practical_threshold", level: Column | float = 0.95,
+    df: DataFrame, x_c: Input, n_c: Input, x_t: Input, n_t: Input,
+    threshold: Input = "practical_threshold", level: Input = 0.95,
     prior: tuple[float, float] = DEFAULT_PRIOR,
 ) -> DataFrame:
     """Posteriors, win probabilities, expected losses and lift interval."""
     df = posterior_parameters(df, x_c, n_c, x_t, n_t, prior)
-    level_col = level if isinstance(level, Column) else F.lit(float(level))
     compared = posterior_difference(
         *[F.col(f"posterior_{k}_{arm}") for arm in ("c", "t") for k in ("a", "b")],
-        _col(threshold).cast("double"), level_col,
+        F.expr(f"DOUBLE({threshold})"), F.expr(f"DOUBLE({level})"),
     )
     return df.withColumn("_compared", compared).select(
         "*", *[F.col("_compared")[name].alias(name) for name in POSTERIOR.names]
@@ -48,13 +47,13 @@ def beta_binomial_test(
 
 
 def decision_summary(
-    df: DataFrame, threshold: Column | str = "practical_threshold", tolerance: float | None = None
+    df: DataFrame, threshold: Input = "practical_threshold", tolerance: float | None = None
 ) -> DataFrame:
     """Add ``loss_tolerance``, ``ship_within_tolerance`` and a sentence on the posterior.
 
     Without a tolerance, a tenth of the practical threshold is used.
     """
-    limit = F.lit(float(tolerance)) if tolerance is not None else F.abs(_col(threshold)) / 10
+    limit = f"DOUBLE({tolerance})" if tolerance is not None else f"abs({threshold}) / 10D"
     verdict = F.when(F.col("ship_within_tolerance"), "shipping is within tolerance").otherwise(
         "the downside is above tolerance"
     )
@@ -70,6 +69,6 @@ def decision_summary(
     )
     return derive(df, {
         "loss_tolerance": limit,
-        "ship_within_tolerance": F.col("expected_loss_ship") <= F.col("loss_tolerance"),
+        "ship_within_tolerance": "expected_loss_ship <= loss_tolerance",
         "summary": F.when(F.col("expected_loss_ship").isNotNull(), sentence),
     })

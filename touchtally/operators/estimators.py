@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.functions.columns import derive, guarded_ratio
+from touchtally.functions.columns import derive
 from touchtally.functions.special import (
     normal_quantile,
     normal_sf,
@@ -18,89 +18,86 @@ from touchtally.functions.special import (
 )
 from touchtally.sources.checkpoints import broadcast_if_small, materialise
 
-ColumnLike = Column | str
+# Inputs of the tests are column names, SQL expressions or numbers.
+Input = str | float
 
 
-def _col(value: ColumnLike) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
-def _interval(prefix: str, p_value: Column, alpha: Column) -> dict[str, Column]:
+def _interval(prefix: str, p_value: Column, alpha: Input) -> dict[str, Column | str]:
     p = prefix
-    effect, reach = F.col(f"{p}absolute_effect"), F.col(f"{p}critical") * F.col(f"{p}standard_error")
     return {
         f"{p}p_value": p_value,
-        f"{p}ci_low": effect - reach,
-        f"{p}ci_high": effect + reach,
-        f"{p}significant": F.col(f"{p}p_value") < alpha,
+        f"{p}ci_low": f"{p}absolute_effect - {p}critical * {p}standard_error",
+        f"{p}ci_high": f"{p}absolute_effect + {p}critical * {p}standard_error",
+        f"{p}significant": f"{p}p_value < {alpha}",
     }
 
 
+def z_statistic(x_c: Input, n_c: Input, x_t: Input, n_t: Input) -> str:
+    """Pooled two-proportion z; 0 without variance, NULL without units in an arm."""
+    pooled = f"try_divide({x_c} + {x_t}, {n_c} + {n_t})"
+    se = f"sqrt(greatest({pooled} * (1 - {pooled}), 0) * (try_divide(1D, {n_c}) + try_divide(1D, {n_t})))"
+    effect = f"(try_divide({x_t}, {n_t}) - try_divide({x_c}, {n_c}))"
+    return f"CASE WHEN {se} > 0 THEN {effect} / {se} WHEN {se} = 0 THEN 0D END"
+
+
 def two_proportion_test(
-    df: DataFrame, x_c: ColumnLike, n_c: ColumnLike, x_t: ColumnLike, n_t: ColumnLike,
-    alpha: ColumnLike = "alpha", prefix: str = "", two_sided: bool = True,
+    df: DataFrame, x_c: Input, n_c: Input, x_t: Input, n_t: Input,
+    alpha: Input = "alpha", prefix: str = "", two_sided: bool = True,
 ) -> DataFrame:
     """Two-proportion z-test: pooled error for z, unpooled for the interval."""
-    p, alpha = prefix, _col(alpha)
-    x_c, n_c, x_t, n_t = map(_col, (x_c, n_c, x_t, n_t))
-    valid = F.coalesce((n_c > 0) & (n_t > 0) & x_c.between(0, n_c) & x_t.between(0, n_t), F.lit(False))
-    rate_c, rate_t = F.col(f"{p}control_mean"), F.col(f"{p}treatment_mean")
-    z = F.col(f"{p}statistic")
-    variance = F.try_divide(rate_c * (1 - rate_c), n_c) + F.try_divide(rate_t * (1 - rate_t), n_t)
-    return derive(df, {
-        f"{p}error": F.when(~valid, "needs units in both arms and conversions within them"),
-        f"{p}control_mean": F.when(valid, x_c / n_c),
-        f"{p}treatment_mean": F.when(valid, x_t / n_t),
-        f"{p}absolute_effect": rate_t - rate_c,
-        f"{p}relative_effect": guarded_ratio(F.col(f"{p}absolute_effect"), rate_c),
-        f"{p}standard_error": F.sqrt(variance),
-        f"{p}statistic": F.when(valid, z_statistic(x_c, n_c, x_t, n_t)),
-        f"{p}critical": normal_quantile(1 - (alpha / 2 if two_sided else alpha)),
-        **_interval(p, 2 * normal_sf(F.abs(z)) if two_sided else normal_sf(z), alpha),
-    })
+    p = prefix
+    valid = (
+        f"coalesce({n_c} > 0 AND {n_t} > 0 AND {x_c} BETWEEN 0 AND {n_c} AND {x_t} BETWEEN 0 AND {n_t}, false)"
+    )
 
+    def spread(arm: str, n: Input) -> str:
+        return f"try_divide({p}{arm}_mean * (1 - {p}{arm}_mean), {n})"
 
-def z_statistic(x_c: Column, n_c: Column, x_t: Column, n_t: Column) -> Column:
-    """Pooled two-proportion z; 0 without variance, NULL without units in an arm."""
-    pooled = F.try_divide(x_c + x_t, n_c + n_t)
-    per_unit = F.try_divide(F.lit(1.0), n_c) + F.try_divide(F.lit(1.0), n_t)
-    se = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.0)) * per_unit)
-    return F.when(se > 0, (F.try_divide(x_t, n_t) - F.try_divide(x_c, n_c)) / se).when(se == 0, F.lit(0.0))
+    tail = F.expr(f"abs({p}statistic)" if two_sided else f"{p}statistic")
+    return derive(df, {
+        f"{p}error": f"IF({valid}, NULL, 'needs units in both arms and conversions within them')",
+        f"{p}control_mean": f"IF({valid}, {x_c} / {n_c}, NULL)",
+        f"{p}treatment_mean": f"IF({valid}, {x_t} / {n_t}, NULL)",
+        f"{p}absolute_effect": f"{p}treatment_mean - {p}control_mean",
+        f"{p}relative_effect": f"try_divide({p}absolute_effect, {p}control_mean)",
+        f"{p}standard_error": f"sqrt({spread('control', n_c)} + {spread('treatment', n_t)})",
+        f"{p}statistic": f"IF({valid}, {z_statistic(x_c, n_c, x_t, n_t)}, NULL)",
+        f"{p}critical": normal_quantile(F.expr(f"DOUBLE(1 - {alpha} / {2 if two_sided else 1})")),
+        **_interval(p, normal_sf(tail) * (2 if two_sided else 1), alpha),
+    })
 
 
 def welch_test(
-    df: DataFrame,
-    control: tuple[ColumnLike, ColumnLike, ColumnLike],
-    treatment: tuple[ColumnLike, ColumnLike, ColumnLike],
-    alpha: ColumnLike = "alpha", prefix: str = "", two_sided: bool = True,
+    df: DataFrame, control: tuple[Input, Input, Input], treatment: tuple[Input, Input, Input],
+    alpha: Input = "alpha", prefix: str = "", two_sided: bool = True,
 ) -> DataFrame:
     """Welch's t-test from (count, mean, sample variance) of each arm."""
-    p, alpha = prefix, _col(alpha)
-    n_c, m_c, v_c = map(_col, control)
-    n_t, m_t, v_t = map(_col, treatment)
-    enough = F.coalesce((n_c >= 2) & (n_t >= 2), F.lit(False))
-    part_c, part_t = F.try_divide(v_c, n_c), F.try_divide(v_t, n_t)
-    valid = F.coalesce(enough & (part_c + part_t > 0), F.lit(False))
-    se, t, dof = (F.col(f"{p}{name}") for name in ("standard_error", "statistic", "degrees_of_freedom"))
+    p = prefix
+    (n_c, m_c, v_c), (n_t, m_t, v_t) = control, treatment
+    enough = f"coalesce({n_c} >= 2 AND {n_t} >= 2, false)"
+    part_c, part_t = f"try_divide({v_c}, {n_c})", f"try_divide({v_t}, {n_t})"
+    valid = f"coalesce({enough} AND {part_c} + {part_t} > 0, false)"
+    tail = F.expr(f"abs({p}statistic)" if two_sided else f"{p}statistic")
+    dof = F.col(f"{p}degrees_of_freedom")
     return derive(df, {
-        f"{p}error": F.when(~enough, "needs two observations in each arm").when(~valid, "no variance in either arm"),
-        f"{p}control_mean": m_c,
-        f"{p}treatment_mean": m_t,
-        f"{p}absolute_effect": F.when(valid, m_t - m_c),
-        f"{p}relative_effect": F.try_divide(F.col(f"{p}absolute_effect"), m_c),
-        f"{p}standard_error": F.when(valid, F.sqrt(part_c + part_t)),
-        f"{p}degrees_of_freedom": F.try_divide(
-            se * se * se * se, F.when(valid, part_c * part_c / F.greatest(n_c - 1, F.lit(1)) + part_t * part_t / F.greatest(n_t - 1, F.lit(1)))
-        ),
-        f"{p}statistic": F.col(f"{p}absolute_effect") / se,
-        f"{p}critical": student_quantile(1 - (alpha / 2 if two_sided else alpha), dof),
-        **_interval(p, 2 * student_sf(F.abs(t), dof) if two_sided else student_sf(t, dof), alpha),
+        f"{p}error": f"CASE WHEN NOT {enough} THEN 'needs two observations in each arm' "
+                     f"WHEN NOT {valid} THEN 'no variance in either arm' END",
+        f"{p}control_mean": f"{m_c}",
+        f"{p}treatment_mean": f"{m_t}",
+        f"{p}absolute_effect": f"IF({valid}, {m_t} - {m_c}, NULL)",
+        f"{p}relative_effect": f"try_divide({p}absolute_effect, {m_c})",
+        f"{p}standard_error": f"IF({valid}, sqrt({part_c} + {part_t}), NULL)",
+        f"{p}degrees_of_freedom": f"""IF({valid}, try_divide(
+            power({part_c} + {part_t}, 2),
+            try_divide(power({part_c}, 2), {n_c} - 1) + try_divide(power({part_t}, 2), {n_t} - 1)), NULL)""",
+        f"{p}statistic": f"{p}absolute_effect / {p}standard_error",
+        f"{p}critical": student_quantile(F.expr(f"DOUBLE(1 - {alpha} / {2 if two_sided else 1})"), dof),
+        **_interval(p, student_sf(tail, dof) * (2 if two_sided else 1), alpha),
     })
 
 
-def cuped_theta(cov: ColumnLike, var_x: ColumnLike) -> Column:
-    """Pooled cov(y, x) / var(x); 0 without variance."""
-    return F.coalesce(guarded_ratio(_col(cov), _col(var_x)), F.lit(0.0))
+# Pooled cov(y, x) / var(x); 0 without variance.
+_THETA = "coalesce(IF(x_var > 0, xy_cov / x_var, NULL), 0D)"
 
 
 def cuped_adjusted_rows(assignments: DataFrame, moments: DataFrame) -> DataFrame:
@@ -110,29 +107,25 @@ def cuped_adjusted_rows(assignments: DataFrame, moments: DataFrame) -> DataFrame
     then every unit is adjusted without a shuffle. Units without covariate get
     NULL.
     """
-    terms = materialise(moments.select(
-        "experiment_id", cuped_theta("xy_cov", "x_var").alias("theta"), F.col("x_mean").alias("covariate_mean")
-    ))
+    terms = materialise(
+        moments.selectExpr("experiment_id", f"{_THETA} AS theta", "x_mean AS covariate_mean")
+    )
     return assignments.join(broadcast_if_small(terms), "experiment_id").withColumn(
         "adjusted_metric", F.expr("primary_metric - theta * (pre_covariate - covariate_mean)")
     )
 
 
-def cuped_two_sample(moments: DataFrame, alpha: ColumnLike = "alpha", two_sided: bool = True) -> DataFrame:
+def cuped_two_sample(moments: DataFrame, alpha: Input = "alpha", two_sided: bool = True) -> DataFrame:
     """Raw and CUPED-adjusted Welch tests (prefixes ``raw_`` and ``cuped_``).
 
     The adjusted moments follow from the raw ones, so the units are not read a
     second time.
     """
-    theta = F.col("theta")
-    adjusted = {"theta": cuped_theta("xy_cov", "x_var")}
-    for arm in ("c", "t"):
-        adjusted[f"_mean_{arm}"] = F.col(f"y_mean_{arm}") - theta * (F.col(f"x_mean_{arm}") - F.col("x_mean"))
+    adjusted = {"theta": _THETA}
+    for a in ("c", "t"):
+        adjusted[f"_mean_{a}"] = f"y_mean_{a} - theta * (x_mean_{a} - x_mean)"
         # Rounding may leave the variance of a perfect fit slightly below 0.
-        adjusted[f"_var_{arm}"] = F.greatest(
-            F.col(f"y_var_{arm}") - 2 * theta * F.col(f"xy_cov_{arm}") + theta * theta * F.col(f"x_var_{arm}"),
-            F.lit(0.0),
-        )
+        adjusted[f"_var_{a}"] = f"greatest(y_var_{a} - 2 * theta * xy_cov_{a} + theta * theta * x_var_{a}, 0D)"
     df = derive(moments, adjusted)
     df = welch_test(
         df, ("x_n_c", "y_mean_c", "y_var_c"), ("x_n_t", "y_mean_t", "y_var_t"), alpha, "raw_", two_sided
@@ -140,12 +133,10 @@ def cuped_two_sample(moments: DataFrame, alpha: ColumnLike = "alpha", two_sided:
     df = welch_test(
         df, ("x_n_c", "_mean_c", "_var_c"), ("x_n_t", "_mean_t", "_var_t"), alpha, "cuped_", two_sided
     )
-    pooled_adjusted = F.col("y_var") - 2 * theta * F.col("xy_cov") + theta * theta * F.col("x_var")
-    width = {k: F.col(f"{k}_ci_high") - F.col(f"{k}_ci_low") for k in ("raw", "cuped")}
-    spread = F.sqrt(F.greatest("x_var", F.lit(0.0)) * F.greatest("y_var", F.lit(0.0)))
+    spread = "sqrt(greatest(x_var, 0D) * greatest(y_var, 0D))"
     return derive(df, {
-        "correlation": F.coalesce(guarded_ratio(F.col("xy_cov"), spread), F.lit(0.0)),
-        "variance_reduction": F.coalesce(1 - guarded_ratio(pooled_adjusted, F.col("y_var")), F.lit(0.0)),
-        "theoretical_reduction": F.col("correlation") * F.col("correlation"),
-        "ci_width_reduction": F.coalesce(1 - guarded_ratio(width["cuped"], width["raw"]), F.lit(0.0)),
+        "correlation": f"coalesce(try_divide(xy_cov, {spread}), 0D)",
+        "variance_reduction": "coalesce(1 - try_divide(y_var - 2 * theta * xy_cov + theta * theta * x_var, y_var), 0D)",
+        "theoretical_reduction": "correlation * correlation",
+        "ci_width_reduction": "coalesce(1 - try_divide(cuped_ci_high - cuped_ci_low, raw_ci_high - raw_ci_low), 0D)",
     }).drop("_mean_c", "_mean_t", "_var_c", "_var_t")

@@ -95,14 +95,14 @@ def covariate_balance(moments: DataFrame, alpha: float = INTEGRITY_ALPHA) -> Dat
     balance_error.
     """
     tested = welch_test(
-        moments, ("x_n_c", "x_mean_c", "x_var_c"), ("x_n_t", "x_mean_t", "x_var_t"), F.lit(alpha), "balance_"
+        moments, ("x_n_c", "x_mean_c", "x_var_c"), ("x_n_t", "x_mean_t", "x_var_t"), alpha, "balance_"
     )
-    spread = F.sqrt((F.col("x_var_c") + F.col("x_var_t")) / 2)
-    difference = F.when(spread > 0, (F.col("x_mean_t") - F.col("x_mean_c")) / spread).otherwise(F.lit(0.0))
-    gap = F.col("balance_standardised_difference")
+    spread = "sqrt((x_var_c + x_var_t) / 2)"
     return derive(tested, {
-        "balance_standardised_difference": F.when(F.col("balance_error").isNull(), difference),
-        "balance_passed": (F.col("balance_p_value") >= alpha) & (F.abs(gap) < MAX_STANDARDISED_DIFFERENCE),
+        "balance_standardised_difference":
+            f"IF(balance_error IS NULL, coalesce(try_divide(x_mean_t - x_mean_c, {spread}), 0D), NULL)",
+        "balance_passed": f"balance_p_value >= {alpha} AND "
+                          f"abs(balance_standardised_difference) < {MAX_STANDARDISED_DIFFERENCE}",
     }).drop(*[f"balance_{c}" for c in (
         "absolute_effect", "relative_effect", "standard_error", "degrees_of_freedom", "statistic",
         "critical", "ci_low", "ci_high", "significant",

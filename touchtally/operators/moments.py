@@ -6,7 +6,7 @@ experiment and a hot experiment costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Column suffix and name of each arm.
@@ -21,41 +21,35 @@ def arm_moments(assignments: DataFrame) -> DataFrame:
     units that have the covariate, so that CUPED sees complete pairs; units
     without it count everywhere else.
     """
-    y, x = F.col("primary_metric"), F.col("pre_covariate")
-    paired_y = F.when(x.isNotNull(), y)
-    latency = F.col("guardrail_latency_ms")
-    refund = F.coalesce(F.col("guardrail_refund"), F.lit(False))
-    measures: list[Column] = []
+    x, y = "pre_covariate", "IF(pre_covariate IS NULL, NULL, primary_metric)"
+    latency = "guardrail_latency_ms"
+    measures = []
     for suffix, variant in ARMS.items():
-        here = F.col("variant") == variant
-        converter = here & (y > 0)
-
-        def only(value: Column, here: Column = here) -> Column:
-            return F.when(here, value)
-
+        here = f"FILTER (WHERE variant = '{variant}')"
+        converter = f"variant = '{variant}' AND primary_metric > 0"
         measures += [
-            F.count_if(here).alias(f"n_{suffix}"),
-            F.coalesce(F.sum(only(y)), F.lit(0.0)).alias(f"conversions_{suffix}"),
-            F.avg(only(y)).alias(f"metric_mean_{suffix}"),
-            F.var_samp(only(y)).alias(f"metric_var_{suffix}"),
-            F.count_if(here & refund).alias(f"refunds_{suffix}"),
-            F.count_if(converter).alias(f"converters_{suffix}"),
-            F.count_if(converter & refund).alias(f"converter_refunds_{suffix}"),
-            F.count(only(latency)).alias(f"latency_n_{suffix}"),
-            F.avg(only(latency)).alias(f"latency_mean_{suffix}"),
-            F.var_samp(only(latency)).alias(f"latency_var_{suffix}"),
-            F.count(only(x)).alias(f"x_n_{suffix}"),
-            F.avg(only(x)).alias(f"x_mean_{suffix}"),
-            F.var_samp(only(x)).alias(f"x_var_{suffix}"),
-            F.avg(only(paired_y)).alias(f"y_mean_{suffix}"),
-            F.var_samp(only(paired_y)).alias(f"y_var_{suffix}"),
-            F.covar_samp(only(paired_y), only(x)).alias(f"xy_cov_{suffix}"),
+            f"count(*) {here} AS n_{suffix}",
+            f"coalesce(sum(primary_metric) {here}, 0D) AS conversions_{suffix}",
+            f"avg(primary_metric) {here} AS metric_mean_{suffix}",
+            f"var_samp(primary_metric) {here} AS metric_var_{suffix}",
+            f"count(*) FILTER (WHERE variant = '{variant}' AND guardrail_refund) AS refunds_{suffix}",
+            f"count(*) FILTER (WHERE {converter}) AS converters_{suffix}",
+            f"count(*) FILTER (WHERE {converter} AND guardrail_refund) AS converter_refunds_{suffix}",
+            f"count({latency}) {here} AS latency_n_{suffix}",
+            f"avg({latency}) {here} AS latency_mean_{suffix}",
+            f"var_samp({latency}) {here} AS latency_var_{suffix}",
+            f"count({x}) {here} AS x_n_{suffix}",
+            f"avg({x}) {here} AS x_mean_{suffix}",
+            f"var_samp({x}) {here} AS x_var_{suffix}",
+            f"avg({y}) {here} AS y_mean_{suffix}",
+            f"var_samp({y}) {here} AS y_var_{suffix}",
+            f"covar_samp({y}, {x}) {here} AS xy_cov_{suffix}",
         ]
-    either = F.col("variant").isin(*ARMS.values())
+    either = "FILTER (WHERE variant IN ('control', 'treatment'))"
     measures += [
-        F.avg(F.when(either, x)).alias("x_mean"),
-        F.var_samp(F.when(either, x)).alias("x_var"),
-        F.var_samp(F.when(either, paired_y)).alias("y_var"),
-        F.covar_samp(F.when(either, paired_y), F.when(either, x)).alias("xy_cov"),
+        f"avg({x}) {either} AS x_mean",
+        f"var_samp({x}) {either} AS x_var",
+        f"var_samp({y}) {either} AS y_var",
+        f"covar_samp({y}, {x}) {either} AS xy_cov",
     ]
-    return assignments.groupBy("experiment_id").agg(*measures)
+    return assignments.groupBy("experiment_id").agg(*map(F.expr, measures))

@@ -170,7 +170,7 @@ def _at_looks(daily: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFra
         .withColumn("before", before)
         .join(plan, "experiment_id")
         .where((t > F.col("before")) & (t <= F.col("reached")))
-        .withColumn("z", z_statistic(F.col("x_c"), F.col("n_c"), F.col("x_t"), F.col("n_t")))
+        .withColumn("z", F.expr(z_statistic("x_c", "n_c", "x_t", "n_t")))
         .withColumn("crossed", F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False)))
     )
 

@@ -28,88 +28,68 @@ _EFFECT_COLUMNS = (
 
 def with_ratio_check(df: DataFrame, alpha: float = integrity.INTEGRITY_ALPHA) -> DataFrame:
     """Sample-ratio test of the two arms on the moments row."""
-    total = F.col("n_c") + F.col("n_t")
-    expected_c = F.col("control_share") * total
-    expected_t = total - expected_c
-    gap = F.col("n_c") - expected_c
+    total = "(n_c + n_t)"
+    gap = f"power(n_c - control_share * {total}, 2)"
     return derive(df, {
-        "srm_chi_square": guarded_ratio(gap * gap, expected_c) + guarded_ratio(gap * gap, expected_t),
+        "srm_chi_square":
+            f"try_divide({gap}, control_share * {total}) + try_divide({gap}, (1 - control_share) * {total})",
         "srm_p_value": chi_square_sf(F.col("srm_chi_square"), F.lit(1.0)),
-        "srm_passed": F.coalesce(F.col("srm_p_value") >= alpha, F.lit(False)),
+        "srm_passed": f"coalesce(srm_p_value >= {alpha}, false)",
     })
 
 
 def with_guardrails(df: DataFrame) -> DataFrame:
     """Refund and latency guardrails, over all assigned units."""
-    margin = F.col("refund_margin_relative") * guarded_ratio(F.col("refunds_c"), F.col("n_c"))
+    margin = "refund_margin_relative * try_divide(refunds_c, n_c)"
     df = guardrails.guardrail_proportion(df, "refund_rate", "refunds_c", "n_c", "refunds_t", "n_t", margin)
     df = guardrails.guardrail_mean(
         df, "latency_ms", ("latency_n_c", "latency_mean_c", "latency_var_c"),
-        ("latency_n_t", "latency_mean_t", "latency_var_t"), F.col("latency_margin"),
+        ("latency_n_t", "latency_mean_t", "latency_var_t"), "latency_margin",
     )
     return guardrails.guardrail_report(df, GUARDRAILS)
 
 
 def with_current_look(df: DataFrame) -> DataFrame:
     """The planned boundary at the current look against the primary statistic."""
-    z = F.abs("primary_statistic")
     return derive(df, {
-        "look_boundary": F.get("plan", F.col("current_look") - 1)["z_boundary"],
-        "look_crossed": F.coalesce(z >= F.col("look_boundary"), F.lit(False)),
-        "look_is_final": F.col("current_look") >= F.size("looks"),
-        "look_nominal_p": 2 * normal_sf(z),
+        "look_boundary": "get(plan, current_look - 1).z_boundary",
+        "look_crossed": "coalesce(abs(primary_statistic) >= look_boundary, false)",
+        "look_is_final": "current_look >= size(looks)",
+        "look_nominal_p": normal_sf(F.abs("primary_statistic")) * 2,
     })
 
 
-def _interval() -> Column:
-    return F.format_string("[%+.4f, %+.4f]", F.col("primary_ci_low"), F.col("primary_ci_high"))
-
-
 def decide(df: DataFrame) -> DataFrame:
     """Add ``decision`` and ``rationale``: the gates in order, each with its reason.
 
     Validity, harm, a missing primary metric, the sequential boundary before the
     last look, then the interval against the practical threshold.
     """
-    threshold, low, high = F.col("practical_threshold"), F.col("primary_ci_low"), F.col("primary_ci_high")
-    valid, safe = F.col("integrity_passed"), F.col("guardrails_passed")
-    waiting = ~F.col("look_crossed") & ~F.col("look_is_final")
-    bar = F.format_string("%+.4f", threshold)
+    interval = "format_string('[%+.4f, %+.4f]', primary_ci_low, primary_ci_high)"
+    bar = "format_string('threshold %+.4f.', practical_threshold)"
+    start = "'Integrity and guardrails passed.'"
+    # Condition, decision and reasons of each gate; the first that holds decides.
     gates = [
-        (~valid, INVALID, F.array(F.lit("Integrity failed: the effect is withheld."))),
-        (~safe, DO_NOT_SHIP, F.array(
-            F.lit("Integrity passed."),
-            F.concat(F.lit("Guardrails not cleared: "), F.array_join("guardrails_blocking", ", "), F.lit(".")),
-        )),
-        (low.isNull(), KEEP_RUNNING, F.array(F.lit("Integrity passed."), F.lit("No primary metric."))),
-        (waiting, KEEP_RUNNING, F.array(
-            F.lit("Integrity and guardrails passed."),
-            F.format_string(
-                "Look %d: |z| %.2f is below the boundary %.2f.",
-                F.col("current_look"), F.abs("primary_statistic"), F.col("look_boundary"),
-            ),
-        )),
-        (low > threshold, SHIP, F.array(
-            F.lit("Integrity and guardrails passed."),
-            F.concat(F.lit("The interval "), _interval(), F.lit(" lies above the threshold "), bar, F.lit(".")),
-        )),
-        (high < threshold, DO_NOT_SHIP, F.array(
-            F.lit("Integrity and guardrails passed."),
-            F.concat(F.lit("The interval "), _interval(), F.lit(" lies below the threshold "), bar, F.lit(".")),
-        )),
+        ("NOT integrity_passed", f"'{INVALID}'", "array('Integrity failed: the effect is withheld.')"),
+        ("NOT guardrails_passed", f"'{DO_NOT_SHIP}'",
+         "array('Integrity passed.', concat('Guardrails not cleared: ', array_join(guardrails_blocking, ', '), '.'))"),
+        ("primary_ci_low IS NULL", f"'{KEEP_RUNNING}'", f"array({start}, 'No primary metric.')"),
+        ("NOT look_crossed AND NOT look_is_final", f"'{KEEP_RUNNING}'",
+         f"array({start}, format_string('Look %d: |z| %.2f is below the boundary %.2f.', current_look,"
+         " abs(primary_statistic), look_boundary))"),
+        ("primary_ci_low > practical_threshold", f"'{SHIP}'",
+         f"array({start}, concat('The interval ', {interval}, ' lies above the ', {bar}))"),
+        ("primary_ci_high < practical_threshold", f"'{DO_NOT_SHIP}'",
+         f"array({start}, concat('The interval ', {interval}, ' lies below the ', {bar}))"),
+        ("look_is_final", f"'{DO_NOT_SHIP}'",
+         f"array({start}, concat('The interval ', {interval}, ' straddles the ', {bar}), 'No further look is planned.')"),
+        ("true", f"'{KEEP_RUNNING}'",
+         f"array({start}, concat('The interval ', {interval}, ' straddles the ', {bar}), 'More data may separate them.')"),
     ]
-    straddles = F.concat(F.lit("The interval "), _interval(), F.lit(" straddles the threshold "), bar, F.lit("."))
-    last = F.col("look_is_final")
-    decision = F.when(last, DO_NOT_SHIP).otherwise(KEEP_RUNNING)
-    rationale = F.array(
-        F.lit("Integrity and guardrails passed."), straddles,
-        F.when(last, "No further look is planned.").otherwise("More data may separate them."),
-    )
-    for condition, outcome, reasons in reversed(gates):
-        holds = F.coalesce(condition, F.lit(False))
-        decision = F.when(holds, F.lit(outcome)).otherwise(decision)
-        rationale = F.when(holds, reasons).otherwise(rationale)
-    return derive(df, {"decision": decision, "rationale": rationale})
+    return derive(df, {
+        "decision": "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then, _ in gates) + " END",
+        "rationale": "CASE " + " ".join(f"WHEN {when} THEN {why}" for when, _, why in gates) + " END",
+    })
 
 
 def readout(assignments: DataFrame, config: DataFrame) -> DataFrame:
@@ -124,21 +104,19 @@ def readout(assignments: DataFrame, config: DataFrame) -> DataFrame:
     df = with_plan(config).join(arm_moments(assignments), "experiment_id", "left").fillna(
         {**{c: 0 for c in counts}, **{c: 0.0 for c in sums}}
     )
-    df = integrity.covariate_balance(with_ratio_check(df)).withColumn(
-        "integrity_passed", F.col("srm_passed") & F.coalesce("balance_passed", F.lit(False))
-    )
+    df = derive(integrity.covariate_balance(with_ratio_check(df)), {
+        "integrity_passed": "srm_passed AND coalesce(balance_passed, false)"
+    })
     df = with_guardrails(df)
     df = estimators.two_proportion_test(df, "conversions_c", "n_c", "conversions_t", "n_t", "alpha", "primary_")
     df = estimators.cuped_two_sample(df, "alpha")
     df = bayes.beta_binomial_test(
-        df, "conversions_c", "n_c", "conversions_t", "n_t", "practical_threshold", 1 - F.col("alpha")
+        df, "conversions_c", "n_c", "conversions_t", "n_t", "practical_threshold", "1 - alpha"
     )
     df = bayes.decision_summary(df)
-    df = with_current_look(df).withColumn(
-        "intervals_agree",
-        (F.col("primary_ci_low") > F.col("practical_threshold"))
-        == (F.col("prob_exceeds_threshold") >= 1 - F.col("alpha")),
-    )
+    df = derive(with_current_look(df), {
+        "intervals_agree": "(primary_ci_low > practical_threshold) = (prob_exceeds_threshold >= 1 - alpha)"
+    })
     df = decide(df)
     hidden = [c for c in df.columns if c.startswith(_EFFECT_PREFIXES) or c in _EFFECT_COLUMNS]
     arm_sums = [
@@ -146,8 +124,8 @@ def readout(assignments: DataFrame, config: DataFrame) -> DataFrame:
         if c.endswith(("_c", "_t")) and c not in hidden and c not in ("n_c", "n_t", "x_n_c", "x_n_t")
     ]
     moments_only = {*arm_sums, "x_mean", "x_var", "y_var", "xy_cov", "plan"}
-    return df.select(*[
-        F.when(F.col("integrity_passed"), F.col(c)).alias(c) if c in hidden else F.col(c)
+    return df.selectExpr(*[
+        f"IF(integrity_passed, {c}, NULL) AS {c}" if c in hidden else c
         for c in df.columns if c not in moments_only
     ])
 
