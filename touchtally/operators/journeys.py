@@ -213,13 +213,13 @@ def journey_steps(kept: JourneyTouches, cfg: AttributionConfig) -> JourneyTouche
 
     def regular(df: DataFrame) -> DataFrame:
         ordered = Window.partitionBy(*user_cols).orderBy("ts", "touch_id")
-        place, following = F.row_number().over(ordered), F.lead("touch_id").over(ordered)
+        previous = F.lag("channel", 1, START).over(ordered)
+        following = F.lead("channel", 1, START).over(ordered)
         return df.select(
-            *user_cols, F.lag("channel", 1, START).over(ordered).alias("from_state"), "channel",
-            F.lit(1).cast("long").alias("n"),
+            *user_cols, previous.alias("from_state"), "channel", F.lit(1).cast("long").alias("n"),
             F.when(F.col("converted"), decay).alias("decay"),
-            (place == 1).cast("long").alias("n_first"),
-            following.isNull().cast("long").alias("n_last"),
+            previous.eqNullSafe(START).cast("long").alias("n_first"),
+            following.eqNullSafe(START).cast("long").alias("n_last"),
             F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), *_USER_FACTS,
         )
 

@@ -25,48 +25,56 @@ _EPOCH_SHIFT = 62_135_596_800_000_000
 
 
 def heavy_users(touches: DataFrame, rows_per_slice: int) -> DataFrame:
-    """Users with more than ``rows_per_slice`` touches, at most ``MAX_HEAVY_USERS``.
+    """Users with about ``rows_per_slice`` touches or more, at most ``MAX_HEAVY_USERS``.
 
-    In a log so large that more users could pass, the threshold is raised to
-    1 / MAX_HEAVY_USERS of all touches, which fewer users than that can exceed.
-    So the list may be broadcast whatever the size of the log.
+    This only decides how a user's touches are spread over tasks, never which are
+    used, so for large thresholds one touch in ``step`` is counted, picked by its
+    hash: a heavy user still has 50,000 of those, and the count stays cheap. In a
+    log so large that more users could pass, the threshold is raised to
+    1 / MAX_HEAVY_USERS of all touches, which fewer users than that can exceed. So
+    the list may be broadcast whatever the size of the log.
     """
-    counts = touches.groupBy("user_id").agg(F.count("*").alias("touches"))
+    step = max(1, rows_per_slice // 50_000)
+    counted = touches if step == 1 else touches.where(F.expr(f"pmod(xxhash64(user_id, ts, touch_id), {step}) = 0"))
+    counts = counted.groupBy("user_id").agg(F.count("*").alias("touches"))
     floor = counts.agg(F.coalesce(F.expr(f"sum(touches) div {MAX_HEAVY_USERS}"), F.lit(0))).scalar()
-    return counts.where(F.col("touches") > F.greatest(F.lit(rows_per_slice), floor)).select("user_id")
+    return counts.where(F.col("touches") > F.greatest(F.lit(rows_per_slice // step), floor)).select("user_id")
+
+
+def _cell_counts(touches: DataFrame, users: DataFrame, width: int) -> DataFrame:
+    """Touches of ``users`` per cell of ``width`` microseconds."""
+    return (
+        touches.join(F.broadcast(users), "user_id", "left_semi")
+        .groupBy("user_id", F.expr(f"micros div {width}").alias("cell"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def slice_widths(touches: DataFrame, heavy: DataFrame, rows_per_slice: int) -> DataFrame:
     """``(user_id, slice_width)``: the widest slice that stays within ``rows_per_slice``.
 
-    Counts per second are summed up to the wider steps, so only counts are
-    shuffled.
+    Counts per minute are summed up to hours and days, so only counts are
+    shuffled. Users who overfill a minute are looked at per second.
     """
-    per_second = (
-        touches.join(F.broadcast(heavy), "user_id", "left_semi")
-        .groupBy("user_id", F.expr(f"micros div {_WIDTHS[-1]}").alias("second"))
-        .agg(F.count("*").alias("n"))
-    )
-    steps = F.array(*[
-        F.struct(
-            F.lit(width).alias("width"),
-            F.expr(f"second div {width // _WIDTHS[-1]}").alias("cell"),
-        )
-        for width in _WIDTHS
-    ])
-    busiest = (
-        per_second.select("user_id", "n", F.explode(steps).alias("step"))
-        .groupBy("user_id", "step.width", "step.cell")
+    minute = _WIDTHS[2]
+    steps = ", ".join(f"struct({width}L AS width, cell div {width // minute} AS cell)" for width in _WIDTHS[:3])
+    coarse = (
+        _cell_counts(touches, heavy, minute)
+        .selectExpr("user_id", "n", f"inline(array({steps})) AS (width, coarse_cell)")
+        .groupBy("user_id", "width", "coarse_cell")
         .agg(F.sum("n").alias("n"))
         .groupBy("user_id", "width")
         .agg(F.max("n").alias("busiest"))
+        .groupBy("user_id")
+        .agg(F.max(F.when(F.col("busiest") <= rows_per_slice, F.col("width"))).alias("slice_width"))
     )
-    return busiest.groupBy("user_id").agg(
-        F.coalesce(
-            F.max(F.when(F.col("busiest") <= rows_per_slice, F.col("width"))),
-            F.lit(_FINEST_WIDTH).cast("long"),
-        ).alias("slice_width")
+    bursty = coarse.where(F.col("slice_width").isNull()).select("user_id")
+    fine = (
+        _cell_counts(touches, bursty, _WIDTHS[3])
+        .groupBy("user_id")
+        .agg(F.expr(f"IF(max(n) <= {rows_per_slice}, {_WIDTHS[3]}L, {_FINEST_WIDTH}L)").alias("slice_width"))
     )
+    return coarse.where(F.col("slice_width").isNotNull()).unionByName(fine)
 
 
 def with_micros(touches: DataFrame) -> DataFrame:
