@@ -721,7 +721,7 @@ def X29_readout_of_broken_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         "experiment_id", "n_c", "n_t", r("srm_chi_square", 4).alias("srm_chi_square"), "srm_passed",
         "integrity_passed", r("primary_absolute_effect").alias("effect"),
-        r("lift_median").alias("lift_median"), "refund_rate_verdict", "decision",
+        r("prob_treatment_better").alias("prob_treatment_better"), "refund_rate_verdict", "decision",
     )
 
 
