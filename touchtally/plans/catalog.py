@@ -606,7 +606,8 @@ def X16_posterior_comparison(spark: SparkSession, sf: str) -> DataFrame:
     df = bayes.beta_binomial_test(_with_config(spark, sf), "conversions_c", "n_c", "conversions_t", "n_t")
     names = (
         "posterior_a_c", "posterior_b_c", "posterior_mean_c", "posterior_a_t", "posterior_b_t",
-        "posterior_mean_t", "prob_treatment_better", "expected_loss_ship", "expected_loss_hold",
+        "posterior_mean_t", "prob_treatment_better", "prob_exceeds_threshold", "expected_loss_ship",
+        "expected_loss_hold",
     )
     return df.select("experiment_id", *[r(n).alias(n) for n in names])
 
@@ -614,7 +615,7 @@ def X16_posterior_comparison(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def X16_lift_interval(spark: SparkSession, sf: str) -> DataFrame:
     df = bayes.beta_binomial_test(_with_config(spark, sf), "conversions_c", "n_c", "conversions_t", "n_t")
-    names = ("prob_exceeds_threshold", "lift_median", "lift_ci_low", "lift_ci_high")
+    names = ("lift_median", "lift_ci_low", "lift_ci_high")
     return df.select("experiment_id", *[r(n).alias(n) for n in names])
 
 
