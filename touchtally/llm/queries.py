@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchtally.llm import mixing
+from touchtally.llm import cws, mixing
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -14,8 +14,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(sized, plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edited_likeness(read_documents(spark, sf_dir))
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 _OP5 = r"""
