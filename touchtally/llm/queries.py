@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchtally.llm import cws, mixing
+from touchtally.llm import cws, language, mixing
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -18,9 +18,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.edited_likeness(read_documents(spark, sf_dir))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", (language.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
+    "op1_language_id": op1_language_id,
 }
 
 _OP5 = r"""
