@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchtally.llm import cws, language, mixing
+from touchtally.llm import cws, language, mixing, pieces
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -25,10 +25,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenize(read_documents(spark, sf_dir).select("doc_id", "text"), pieces.load_pieces())
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
     "op1_language_id": op1_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
 }
 
 _OP5 = r"""
