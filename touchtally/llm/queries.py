@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchtally.llm import cws, language, mixing, pieces
+from touchtally.llm import cws, language, mixing, pieces, rules
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -30,11 +30,18 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return rules.judge(docs, rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
     "op1_language_id": op1_language_id,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_quality_rules": op6_quality_rules,
 }
 
 _OP5 = r"""
