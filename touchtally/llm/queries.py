@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchtally.llm import cws, language, mixing, pieces, rules
+from touchtally.llm import cws, language, mixing, passages, pieces, rules
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -36,12 +36,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    scored = passages.score_documents(docs, passages.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", (language.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
     "op1_language_id": op1_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
+    "op9_quality_score": op9_quality_score,
 }
 
 _OP5 = r"""
