@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchtally.llm import cws, language, mixing, passages, pieces, rules
+from touchtally.llm import cws, language, mixing, neardup, passages, pieces, rules
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -43,6 +43,11 @@ def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_documents(spark, sf_dir), shingle=4)
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
@@ -50,6 +55,7 @@ LLM_QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
     "op9_quality_score": op9_quality_score,
+    "op2_near_duplicates": op2_near_duplicates,
 }
 
 _OP5 = r"""
