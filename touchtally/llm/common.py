@@ -53,6 +53,17 @@ def word_count(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def smallest_hashes(df: DataFrame, draw, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows with the smallest 64-bit hash ``draw``.
+
+    A count bounds the hash first, so that all tasks together send a few times ``n`` rows, not ``n`` each.
+    """
+    total = df.count()
+    if total > 4 * n:
+        df = df.filter(draw <= F.lit(-(2**63) + 2**64 * 4 * n // total))
+    return df.withColumn("_draw", draw).orderBy("_draw", *ties).limit(n).drop("_draw")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value."""
     x = x ^ (x >> np.uint64(32))

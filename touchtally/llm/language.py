@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import row_slices, string_buffer
+from touchtally.llm.common import row_slices, smallest_hashes, string_buffer
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -42,12 +42,10 @@ def window_sample(labelled: DataFrame, label: str, size: int = TRAIN_WINDOWS) ->
     """At most ``size`` labels and windows, the rows with the smallest hash; one hashed window of each row's text."""
     at = 1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
     # Ties of the hash are ordered by the rest of the row, so reruns agree.
-    rows = (
-        labelled.filter(F.col(label).isNotNull() & (F.length("text") > 0))
-        .select(F.xxhash64("doc_id", F.lit("draw")).alias("draw"), F.col(label).alias("label"),
-                F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("window"))
-        .orderBy("draw", "label", "window").limit(size).collect()
+    known = labelled.filter(F.col(label).isNotNull() & (F.length("text") > 0)).select(
+        "doc_id", F.col(label).alias("label"), F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("window")
     )
+    rows = smallest_hashes(known, F.xxhash64("doc_id", F.lit("draw")), size, "label", "window").collect()
     return [r["label"] for r in rows], [r["window"].encode()[:WINDOW] for r in rows]
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchtally.llm import cws, language, mixing, neardup, passages, pieces, rules
+from touchtally.llm import cws, language, linedup, mixing, neardup, passages, pieces, rules
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -48,6 +49,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.dedup_lines(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
@@ -56,6 +63,7 @@ LLM_QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op9_quality_score": op9_quality_score,
     "op2_near_duplicates": op2_near_duplicates,
+    "op7_line_dedup": op7_line_dedup,
 }
 
 _OP5 = r"""

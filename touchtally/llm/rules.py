@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchtally.llm import spans
-from touchtally.llm.common import _P, _RANDOM_BYTE, Words, prefix, row_slices, span_hash, string_buffer, words_of
+from touchtally.llm.common import _P, _RANDOM_BYTE, Words, prefix, row_slices, smallest_hashes, span_hash, string_buffer, words_of
 
 # Bounds of the training sample: documents of each label, code points of each text, lines of each text.
 TRAIN_DOCS = 600
@@ -194,7 +194,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     chosen = {}
     for value in (0, 1):
-        ids = known.filter(F.col(label) == value).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(per_label)
+        ids = smallest_hashes(known.filter(F.col(label) == value), F.xxhash64("doc_id", F.lit("sample")), per_label, "doc_id")
         chosen |= {r["doc_id"]: value for r in ids.select("doc_id").collect()}
     if not chosen:
         return [], []
