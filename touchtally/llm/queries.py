@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchtally.llm import cws, language, linedup, mixing, neardup, passages, pieces, rules
+from touchtally.llm import cws, language, linedup, mixing, neardup, passages, pieces, repeats, rules
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -55,6 +55,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_documents(spark, sf_dir)).drop("kept_text")
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
@@ -64,6 +69,7 @@ LLM_QUERIES = {
     "op9_quality_score": op9_quality_score,
     "op2_near_duplicates": op2_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
 }
 
 _OP5 = r"""
