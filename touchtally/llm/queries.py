@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchtally.llm import cws, language, linedup, mixing, neardup, passages, pieces, repeats, rules
+from touchtally.llm import bytesdup, cws, language, linedup, mixing, neardup, passages, pieces, repeats, rules
 from touchtally.llm.common import read_documents, word_count, written
 
 
@@ -60,6 +60,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytesdup.remove_repeated_bytes(read_documents(spark, sf_dir)).drop("kept")
+
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
@@ -70,6 +75,7 @@ LLM_QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
 }
 
 _OP5 = r"""
