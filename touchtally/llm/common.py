@@ -21,7 +21,7 @@ from touchtally.sources.checkpoints import _ensure_folder
 
 # A word, as all contracts on word counts state it.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -12,7 +12,7 @@
 3. Candidate clusters are the components of these ties. A cluster is cut into blocks. In
    a block's task all pairs not yet connected are estimated by their sketches, and confirmed by exact
    Jaccard similarity on whole sets; only confirmed links that connect something leave the task.
-   Blocks share the cluster's first members, so most of a large group is one component after
+   Blocks share some of the cluster's members, so most of a large group is one component after
    that. Members outside the largest component then meet every other block.
 4. Confirmed links give the result's components.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchtally.llm.common import Words, _Q, mix64, row_slices, span_hash, string_buffer, words_of, written
@@ -268,19 +268,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     ties = candidate_ties(classes, percent)
     clusters = written(components(ties), "clusters")
-    # Members in id order, cut into blocks; the first members of a cluster are in all its blocks.
-    place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
+    # Members are dealt to blocks by hash; about SHARED of a cluster's members are in all its blocks.
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    blocks = (F.floor((F.col("members") - 1) / BLOCK) + 1).alias("blocks")
     placed = written(
-        clusters.withColumn("place", place).join(sizes, "component")
-        .select(F.col("node").alias("id"), "component", "place", F.floor(F.col("place") / BLOCK).alias("own"),
-                (F.floor((F.col("members") - 1) / BLOCK) + 1).alias("blocks")),
+        clusters.join(sizes, "component").select(F.col("node").alias("id"), "component", blocks, "members")
+        .withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
+        .withColumn("pivot", F.pmod(F.xxhash64("id", F.lit("pivot")), F.greatest(F.floor(F.col("members") / SHARED), F.lit(1))) == 0)
+        .drop("members"),
         "blocks",
     )
     name = F.concat_ws("/", F.col("component"), F.col("block"))
-    pivots = placed.filter((F.col("place") < SHARED) & (F.col("blocks") > 1)).select(
-        "id", "component", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("fixed")
-    )
+    pivots = placed.filter(F.col("pivot") & (F.col("blocks") > 1)).select(
+        "id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("fixed")
+    ).filter(F.col("block") != F.col("own")).drop("own")
     own = placed.select("id", "component", F.col("own").alias("block"), F.lit(False).alias("fixed"))
     first = own.union(pivots).select("id", name.alias("block"), F.col("id").alias("label"), "fixed")
     links = written(confirm(written(first, "members"), docs, shingle, percent), "confirmed")
