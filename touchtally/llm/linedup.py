@@ -156,14 +156,14 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their kept lines as ``text``, and n_lines and n_removed."""
-    dropped = written(line_decisions(docs), "line-dropped").withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    dropped = written(line_decisions(docs), "line-dropped").select(F.col("doc_id").alias("_doc"), F.col("dropped").alias("_dropped"))
+    joined = docs.drop("n_lines", "n_removed").join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     lines = F.split("text", "\n")
     kept = F.array_join(
         F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("no")),
-                             lambda x: ~F.array_contains(F.col("dropped"), x["no"])), lambda x: x["line"]), "\n")
+                             lambda x: ~F.array_contains(F.col("_dropped"), x["no"])), lambda x: x["line"]), "\n")
     return (
         joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)).drop("dropped")
+        .withColumn("n_removed", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
+        .withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)).drop("_dropped")
     )

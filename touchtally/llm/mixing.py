@@ -67,38 +67,39 @@ def source_targets(sized: DataFrame, weights: Sequence[float], max_repeat: int,
 def mix_plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT,
              seed: str = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
     """One row per source with its target, certain copies and the rank at which sampling stops."""
+    sized = sized.select(key, source, "size")
     targets = written(
         source_targets(sized, weights, max_repeat, source)
-        .withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("certain")).otherwise(0.0))
-        .withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size")),
+        .withColumn("_certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+        .withColumn("_share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("_certain")).otherwise(0.0))
+        .withColumn("_rest", F.col("target") - F.col("_certain") * F.col("source_size")),
         "mix-targets",
     )
-    ranked = _ranked(sized, targets, seed, key, source).withColumn("bucket", F.floor(F.col("rank") * RANK_BUCKETS))
-    sums = ranked.groupBy(source, "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    ranked = _ranked(sized, targets, seed, key, source).withColumn("bucket", F.floor(F.col("_rank") * RANK_BUCKETS))
+    sums = ranked.groupBy(source, "bucket").agg(F.sum("size").alias("words"), F.first("_rest").alias("_rest"))
     along = Window.partitionBy(source).orderBy("bucket")
     edges = written(
         sums.withColumn("before", F.sum("words").over(along) - F.col("words"))
-        .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+        .filter((F.col("before") <= F.col("_rest")) & (F.col("before") + F.col("words") > F.col("_rest")))
         .select(source, "bucket", "before"),
         "mix-edges",
     ).select(F.col(source).alias("edge_source"), F.col("bucket").alias("edge"), "before")
     inside = ranked.join(
         broadcast_if_small(edges), F.col(source).eqNullSafe(F.col("edge_source")) & (F.col("bucket") == F.col("edge"))
     )
-    inner = Window.partitionBy(source).orderBy("rank", "size").rangeBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(source).orderBy("_rank", "size").rangeBetween(Window.unboundedPreceding, 0)
     reached = inside.withColumn("upto", F.col("before") + F.sum("size").over(inner))
-    cut = F.max(F.when(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"), F.struct("rank", "size")))
+    cut = F.max(F.when(2 * F.col("upto") - F.col("size") <= 2 * F.col("_rest"), F.struct("_rank", "size")))
     cuts = reached.groupBy("edge_source").agg(
-        F.coalesce(cut, F.struct((F.min("edge") / RANK_BUCKETS).alias("rank"), F.lit(-1).cast("long").alias("size"))).alias("cut")
+        F.coalesce(cut, F.struct((F.min("edge") / RANK_BUCKETS).alias("_rank"), F.lit(-1).cast("long").alias("size"))).alias("_cut")
     )
     # Without an edge the rest is 0 or all: sources at the cap, or rounding of the target.
-    everything = F.when(F.col("rest") > 0, F.struct(F.lit(2.0).alias("rank"), F.lit(0).cast("long").alias("size"))).otherwise(
-        F.struct(F.lit(-1.0).alias("rank"), F.lit(0).cast("long").alias("size"))
+    everything = F.when(F.col("_rest") > 0, F.struct(F.lit(2.0).alias("_rank"), F.lit(0).cast("long").alias("size"))).otherwise(
+        F.struct(F.lit(-1.0).alias("_rank"), F.lit(0).cast("long").alias("size"))
     )
     plan = targets.join(cuts, F.col(source).eqNullSafe(F.col("edge_source")), "left")
     return written(
-        plan.select(source, "source_size", "target", "certain", "share", "rest", F.coalesce("cut", everything).alias("cut")),
+        plan.select(source, "source_size", "target", "_certain", "_share", "_rest", F.coalesce("_cut", everything).alias("_cut")),
         "mix-plan",
     )
 
@@ -107,13 +108,14 @@ def _ranked(df: DataFrame, per_source: DataFrame, seed: str, key: str, source: s
     """Rows with what their source has, and ``rank``: the odds ratio x as x / (1 + x), in (0, 1)."""
     own = broadcast_if_small(per_source.withColumnRenamed(source, "_source"))
     joined = df.join(own, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_u", random_unit(key, seed))
-    odds, by = F.col("_u") / (1 - F.col("_u")), F.col("share") / (1 - F.col("share"))
-    return joined.withColumn("rank", F.when(F.col("share") > 0, odds / (odds + by)).otherwise(1.0)).drop("_u")
+    odds, by = F.col("_u") / (1 - F.col("_u")), F.col("_share") / (1 - F.col("_share"))
+    return joined.withColumn("_rank", F.when(F.col("_share") > 0, odds / (odds + by)).otherwise(1.0)).drop("_u")
 
 
 def apply_mix(sized: DataFrame, plan: DataFrame, seed: str = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Adds source_size, target, copies and taken to every row that has ``size``."""
+    sized = sized.drop("source_size", "target", "copies", "taken")
     ranked = _ranked(sized, plan, seed, key, source)
-    more = (F.struct("rank", "size") <= F.col("cut")).cast("long")
-    out = ranked.withColumn("copies", F.col("certain") + more)
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("certain", "share", "rest", "cut", "rank")
+    more = ((F.col("_share") > 0) & (F.struct("_rank", "size") <= F.col("_cut"))).cast("long")
+    out = ranked.withColumn("copies", F.col("_certain") + more)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_certain", "_share", "_rest", "_cut", "_rank")
