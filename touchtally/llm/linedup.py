@@ -6,9 +6,10 @@
    signature. One aggregate keyed by the line's name makes signatures and merges equal
    lines, before the shuffle already.
 2. A band of three equal minima puts lines into one bucket: a pair at similarity 0.8 meets
-   with probability 0.999. Buckets of up to ``SMALL_BUCKET`` lines give their pairs. In larger
-   ones every line meets ``PIVOTS`` of the bucket's lines first; lines that are then not in
-   the bucket's largest component meet all its lines whose signatures agree enough.
+   with probability 0.999. Every line meets its bucket's first. Pairs
+   that this has not connected follow: all of a bucket of up to ``SMALL_BUCKET`` lines; in a larger one
+   those with ``PIVOTS`` of its lines, and then those of lines outside the bucket's largest component
+   with all lines whose signatures agree enough.
 3. Exact Jaccard similarity on shingle sets confirms a pair.
 4. Components of confirmed pairs keep the one line that comes first: smallest doc_id, then line number.
 
@@ -31,12 +32,15 @@ from touchtally.llm.components import components
 from touchtally.sources.checkpoints import broadcast_if_small
 
 SHINGLE = 8
-SIMILARITY = 0.8
+PERCENT = 80
 BANDS, ROWS = 10, 3
 SMALL_BUCKET = 32
 PIVOTS = 4
 # Equal minima of 30 that a pair at 0.8 has, five standard deviations below its mean.
 AGREEING = 13
+# Pairs of lines whose shingles one task holds at once, as far as the number of tasks allows.
+PAIRS_PER_TASK = 1500
+MAX_TASKS = 20_000
 # Line names are one long each.
 MAX_BROADCAST_NAMES = 1_000_000
 _SEEDS = [random.Random(f"line-{i}").getrandbits(31) for i in range(BANDS * ROWS)]
@@ -76,22 +80,29 @@ def _agreeing(a: str, b: str) -> Column:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (name, name2) whose exact Jaccard similarity reaches the threshold."""
+    """Pairs (name, name2) whose exact Jaccard similarity reaches the threshold.
+
+    Both lines' shingles become rows; one aggregate tells which of the two lines has
+    each, and one more counts. Pairs are dealt to so many tasks that the first fits in memory.
+    """
     pairs = written(pairs.select("name", "name2").distinct(), "line-pairs")
     names = written(pairs.select("name").union(pairs.select(F.col("name2").alias("name"))).distinct(), "line-names")
     needed = broadcast_if_small(names, MAX_BROADCAST_NAMES)
-    texts = written(exploded_lines(docs).select("name", "line").join(needed, "name").groupBy("name").agg(F.max("line").alias("line")), "line-texts")
-    both = pairs.join(texts, "name").join(texts.select(F.col("name").alias("name2"), F.col("line").alias("line2")), "name2")
-
-    def shingles(line: str) -> Column:
-        coded = F.encode(line, "UTF-16BE")
-        return F.array_distinct(F.transform(_starts(coded), lambda at: F.xxhash64(F.substring(coded, at, F.lit(2 * SHINGLE)))))
-
-    sets = both.select("name", "name2", shingles("line").alias("x"), shingles("line2").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.withColumn("common", common).filter(
-        F.col("common") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("common"))
-    ).select("name", "name2")
+    coded = exploded_lines(docs).select("name", F.encode("line", "UTF-16BE").alias("coded"))
+    texts = written(coded.join(needed, "name").distinct(), "line-texts")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = min(max(parts, pairs.count() // PAIRS_PER_TASK), MAX_TASKS)
+    both = pairs.join(texts, "name").repartition(dealt, "name2").join(
+        texts.select(F.col("name").alias("name2"), F.col("coded").alias("coded2")).repartition(dealt, "name2").hint("merge"), "name2"
+    )
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), "coded"), F.struct(F.lit(2).alias("side"), F.col("coded2").alias("coded")))).alias("s")
+    rows = both.select("name2", "name", sides).select("name2", "name", F.col("s.side").alias("side"), F.col("s.coded").alias("coded"))
+    shingles = rows.select("name2", "name", "side", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select(
+        "name2", "name", "side", F.xxhash64(F.substring(F.col("coded"), F.col("at"), F.lit(2 * SHINGLE))).alias("h")
+    )
+    owners = shingles.groupBy("name2", "name", "h").agg(F.bit_or("side").alias("owners"))
+    counted = owners.groupBy("name2", "name").agg(F.sum((F.col("owners") == 3).cast("int")).alias("common"), F.count("*").alias("all"))
+    return counted.filter(100 * F.col("common") >= PERCENT * F.col("all")).select("name", "name2")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -105,19 +116,32 @@ def line_classes(docs: DataFrame) -> DataFrame:
     dealt = signed.select("name", bands).repartition(parts, "bucket")
     buckets = dealt.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(dealt.join(buckets, "bucket").select("bucket", "name", "members"), "line-buckets")
+    heads = shared.groupBy("bucket").agg(F.min("name").alias("head"))
+    stars = shared.join(heads, "bucket").filter(F.col("name") > F.col("head")).select(F.col("head").alias("name"), F.col("name").alias("name2"))
+    links = written(confirm(stars, docs), "line-links")
+    # Lines that the heads have connected need no more pairs.
+    found = written(components(links, "name", "name2"), "line-components")
+    shared = written(
+        shared.join(found, shared["name"] == found["node"], "left").select("bucket", "name", "members", F.coalesce("component", "name").alias("component")),
+        "line-shared",
+    )
     small = shared.filter(F.col("members") <= SMALL_BUCKET)
-    other = small.select("bucket", F.col("name").alias("name2"))
-    pairs = small.join(other, "bucket").filter(F.col("name") < F.col("name2")).select("name", "name2")
-    large = shared.filter(F.col("members") > SMALL_BUCKET).select("bucket", "name")
+    other = small.select("bucket", F.col("name").alias("name2"), F.col("component").alias("component2"))
+    pairs = small.join(other, "bucket").filter((F.col("name") < F.col("name2")) & (F.col("component") != F.col("component2"))).select("name", "name2")
+    large = shared.filter(F.col("members") > SMALL_BUCKET)
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("name", "bucket"), "name")
-    heads = large.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS).select("bucket", F.col("name").alias("head"))
-    stars = large.join(heads, "bucket").filter(F.col("name") != F.col("head")).select(
-        F.least("name", "head").alias("name"), F.greatest("name", "head").alias("name2")
+    pivots = large.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS).select(
+        "bucket", F.col("name").alias("pivot"), F.col("component").alias("component2")
+    )
+    more = large.join(pivots, "bucket").filter(F.col("component") != F.col("component2")).select(
+        F.least("name", "pivot").alias("name"), F.greatest("name", "pivot").alias("name2")
     )
-    links = written(confirm(pairs.union(stars), docs), "line-links")
+    tried = stars.select("name", "name2")
+    links = written(links.union(confirm(pairs.union(more).distinct().join(tried, ["name", "name2"], "left_anti"), docs)), "line-links")
     found = components(links, "name", "name2")
     if large.isEmpty():
         return found.select(F.col("node").alias("name"), "component")
+    large = large.select("bucket", "name")
     found = written(found, "line-components")
     placed = large.join(found, large["name"] == found["node"], "left").select("bucket", "name", F.coalesce("component", "name").alias("component"))
     placed = written(placed, "line-placed")
