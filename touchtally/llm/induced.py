@@ -148,42 +148,57 @@ def _doubling(names: np.ndarray) -> np.ndarray:
     differs[1:] = names[order[1:]] != names[order[:-1]]
     ranked(order, differs)
     width = 1
-    while not differs.all() and width < n:
-        follow = np.full(n, -1, dtype=np.int64)
-        follow[: n - width] = rank[width:]
-        # Only suffixes whose rank is shared move; they move inside their group.
-        shared = ~differs
-        shared[:-1] |= ~differs[1:]
-        at = np.flatnonzero(shared)
+    # Only suffixes whose rank is shared move; they move inside their group.
+    at = np.flatnonzero(~differs | np.append(~differs[1:], False))
+    while len(at) and width < n:
         members = order[at]
-        inner = np.lexsort((follow[members], rank[members]))
-        order[at] = members[inner]
-        new = np.ones(n, dtype=bool)
-        pair_rank, pair_next = rank[order], follow[order]
-        new[1:] = (pair_rank[1:] != pair_rank[:-1]) | (pair_next[1:] != pair_next[:-1])
-        differs = new
-        ranked(order, differs)
+        follow = np.where(members + width < n, rank[np.minimum(members + width, n - 1)], -1)
+        inner = np.lexsort((follow, rank[members]))
+        members, follow = members[inner], follow[inner]
+        order[at] = members
+        own = rank[members]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])
+        rank[members] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        at = at[~new | np.append(~new[1:], False)]
         width *= 2
     return order
 
 
-def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, compared symbol blocks at a time, up to ``cap``."""
-    n = len(text)
-    out = np.zeros(len(a), dtype=np.uint16)
-    active, done = np.arange(len(a)), 0
-    while len(active) and done < cap:
-        x, y = a[active] + done, b[active] + done
-        ok = (x < n) & (y < n)
-        same = np.zeros(len(active), dtype=bool)
-        same[ok] = text[x[ok]] == text[y[ok]]
-        active = active[same]
-        done += 1
-        out[active] = done
-    return out
-
-
-def _pass(text, rising, upwards: bool, seeds, cap, memory, want_common) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+class Prefixes:
+    """Common prefixes of pairs of suffixes, compared several packed symbols at a time, up to ``cap``."""
+
+    def __init__(self, text: np.ndarray, cap: int) -> None:
+        self.n, self.cap = len(text), cap
+        self.bits = max(int(text.max(initial=0)).bit_length(), 1)
+        self.per = max(1, 63 // self.bits)
+        padded = np.zeros(self.n + self.per, dtype=np.uint64)
+        padded[: self.n] = text
+        self.packed = padded[: self.n].copy()
+        for k in range(1, self.per):
+            self.packed |= padded[k : k + self.n] << np.uint64(k * self.bits)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        # Past the end nothing is common, whatever the padding says.
+        limit = np.minimum(self.n - np.maximum(a, b), self.cap)
+        out = limit.copy()
+        active, done = np.arange(len(a)), 0
+        while len(active):
+            differ = self.packed[a[active] + done] ^ self.packed[b[active] + done]
+            found = differ != 0
+            low = differ[found]
+            low &= np.uint64(0) - low
+            equal = (np.frexp(low.astype(np.float64))[1] - 1) // self.bits
+            hit = active[found]
+            out[hit] = np.minimum(limit[hit], done + equal)
+            done += self.per
+            active = active[~found]
+            active = active[limit[active] > done]
+        return out.astype(np.uint16)
+
+
+def _pass(text, rising, upwards: bool, seeds, cap, memory, want_common, prefixes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """One induction. ``seeds`` gives, by symbol, the sorted tuples that the pass starts from.
 
     Returns the induced tuples by symbol in rank order (upwards), or reversed (downwards).
@@ -252,7 +267,7 @@ def _pass(text, rising, upwards: bool, seeds, cap, memory, want_common) -> dict[
             common = common.copy()
             common[0] = 0
             if found and want_common:
-                common[0] = common_prefixes(text, found[-1][0][-1:], position[:1], cap)[0]
+                common[0] = prefixes(found[-1][0][-1:], position[:1])[0]
             induce(position, common)
     queue.close()
     return done
@@ -272,9 +287,10 @@ def suffix_array(text: np.ndarray, cap: int = 400, memory: int = QUEUE_BYTES, wa
         dense = np.searchsorted(np.unique(names), names) + 1
         order = suffix_array(dense, cap, memory, False)[0].astype(np.int64)
     seeds = begin[order].astype(np.int32)
+    prefixes = Prefixes(text, cap) if want_common else None
     common = np.zeros(len(seeds), dtype=np.uint16)
     if want_common and len(seeds) > 1:
-        common[1:] = common_prefixes(text, seeds[:-1].astype(np.int64), seeds[1:].astype(np.int64), cap)
+        common[1:] = prefixes(seeds[:-1], seeds[1:])
     first = text[seeds]
     symbols = int(text.max()) + 1
     cuts = np.searchsorted(first, np.arange(symbols + 1))
@@ -284,7 +300,7 @@ def suffix_array(text: np.ndarray, cap: int = 400, memory: int = QUEUE_BYTES, wa
         return (seeds[a:b], common[a:b]) if b > a else None
 
     # The last suffix is the smallest of its symbol; it enters as a falling one before all others.
-    falling = _pass_with_last(text, rising, of_seeds, cap, memory, want_common)
+    falling = _pass_with_last(text, rising, of_seeds, cap, memory, want_common, prefixes)
 
     def of_falling(symbol: int):
         block = falling.get(symbol)
@@ -295,7 +311,7 @@ def suffix_array(text: np.ndarray, cap: int = 400, memory: int = QUEUE_BYTES, wa
         down[1:] = shared[1:][::-1]
         return position[::-1], down
 
-    rest = _pass(text, rising, False, of_falling, cap, memory, want_common)
+    rest = _pass(text, rising, False, of_falling, cap, memory, want_common, prefixes)
     out, shares = [], []
     for symbol in range(symbols):
         block = falling.get(symbol)
@@ -309,13 +325,13 @@ def suffix_array(text: np.ndarray, cap: int = 400, memory: int = QUEUE_BYTES, wa
             shared[1:] = down[1:][::-1]
             position = position[::-1]
             if block is not None and want_common:
-                shared[0] = common_prefixes(text, block[0][-1:], position[:1], cap)[0]
+                shared[0] = prefixes(block[0][-1:], position[:1])[0]
             out.append(position)
             shares.append(shared)
     return np.concatenate(out), np.concatenate(shares)
 
 
-def _pass_with_last(text, rising, of_seeds, cap, memory, want_common):
+def _pass_with_last(text, rising, of_seeds, cap, memory, want_common, prefixes):
     """The upward pass; the text ends as if a symbol below all others followed, which puts the last suffix first in its bucket."""
     longer = np.append(text + 1, 0).astype(text.dtype if text.max(initial=0) + 1 < np.iinfo(text.dtype).max else np.int64)
     types = np.append(rising, True)
@@ -325,5 +341,5 @@ def _pass_with_last(text, rising, of_seeds, cap, memory, want_common):
             return np.array([len(text)], dtype=np.int32), np.zeros(1, dtype=np.uint16)
         return of_seeds(symbol - 1)
 
-    found = _pass(longer, types, True, seeds, cap, memory, want_common)
+    found = _pass(longer, types, True, seeds, cap, memory, want_common, prefixes)
     return {symbol - 1: block for symbol, block in found.items()}
