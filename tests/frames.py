@@ -30,14 +30,14 @@ def conversions(spark, rows):
     )
 
 
-def toy(spark):
-    """Two converting journeys and one that does not convert."""
+def sample(spark):
+    """Users 11 and 12 buy; 13 and 14 do not."""
     rows = [
-        (1, "google", ts("2026-06-01")), (1, "meta", ts("2026-06-04")), (1, "tiktok", ts("2026-06-08")),
-        (1, "email", ts("2026-06-11")), (2, "meta", ts("2026-06-02")), (3, "tiktok", ts("2026-06-02")),
-        (3, "meta", ts("2026-06-03")),
+        (11, "email", ts("2026-05-03 06:00")), (11, "referral", ts("2026-05-05 18:00")), (11, "google", ts("2026-05-06 06:00")),
+        (12, "google", ts("2026-05-10")), (12, "google", ts("2026-05-12")),
+        (13, "meta", ts("2026-05-20")), (14, "tiktok", ts("2026-05-21")), (14, "email", ts("2026-05-22")),
     ]
-    return touches(spark, rows), conversions(spark, [(1, ts("2026-06-11")), (2, ts("2026-06-05"))])
+    return touches(spark, rows), conversions(spark, [(11, ts("2026-05-07 06:00")), (12, ts("2026-05-13"))])
 
 
 def from_specs(spark, specs, cfg=CFG):

@@ -1,8 +1,11 @@
+from dataclasses import replace
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
-from frames import CFG, from_specs
-from touchtally.operators import markov, rules, shapley, value
+from frames import CFG, DAY0, conversions, from_specs, touches
+from touchtally.operators import journeys, markov, rules, shapley, value
 
 CH = CFG.channels
 
@@ -179,3 +182,40 @@ def test_recovery_scores(spark):
     assert [r.model for r in rows] == ["linear", "last_touch"]
     assert rows[0].mae == pytest.approx(0.1) and rows[1].max_abs_error == pytest.approx(0.3)
     assert rows[0].error_reduction_vs_baseline == pytest.approx(2 / 3)
+
+
+def test_models_without_a_result_have_no_plan_and_rank_last(spark):
+    rows = [("a", "google", 10.0, 0.0, 0.0, 0.5, None), ("a", "meta", 10.0, 0.0, 0.0, 0.5, None),
+            ("b", "google", 10.0, 1.0, 5.0, 0.5, 0.25), ("b", "meta", 10.0, 3.0, 9.0, 0.5, 0.75)]
+    roi = spark.createDataFrame(
+        rows, "model string, channel string, monthly_spend double, credited_conversions double, credited_revenue double, "
+        "spend_share double, value_share double",
+    ).withColumns({"cac": F.lit(None).cast("double"), "roas": F.lit(None).cast("double")})
+    plan = value.reallocation_plan(roi)
+    for r in plan.collect():
+        assert (r.model == "a") == (r.proposed_spend is None) == (r.reason is not None)
+    moved = {r.model: r.dollars_moved for r in value.reallocation_summary(plan).collect()}
+    assert moved["a"] is None and moved["b"] > 0
+    shares = spark.createDataFrame([("a", "google", None), ("b", "google", 0.4)], "model string, channel string, share double")
+    truth = spark.createDataFrame([("google", 0.5)], "channel string, true_share double")
+    assert [r.model for r in value.recovery_scores(shares, truth, "b").collect()] == ["b", "a"]
+
+
+def test_added_rules_and_many_channels_reach_the_reports(spark, monkeypatch):
+    monkeypatch.setitem(rules.RULES, "all_to_first", lambda cfg: F.expr("DOUBLE(n_first)"))
+    cfg = replace(CFG, channels=(*CFG.channels, *[f"c{i}" for i in range(70)]))
+    data = (touches(spark, [(1, "c69", DAY0), (1, "meta", DAY0 + timedelta(days=1))]), conversions(spark, [(1, DAY0 + timedelta(days=2))]))
+    facts = rules.attribution_facts(journeys.build_touches(*data, cfg), cfg, ["all_to_first", "linear"])
+    got = {(r.model, r.channel): r.share for r in value.attribution_shares(facts, cfg, ["all_to_first", "linear"]).where("share > 0").collect()}
+    assert got == {("all_to_first", "c69"): 1.0, ("linear", "c69"): 0.5, ("linear", "meta"): 0.5}
+    markov = value.attribution_shares(facts, cfg, ["markov"]).where("share > 0").collect()
+    assert sum(r.share for r in markov) == pytest.approx(1.0)
+
+
+def test_credit_that_is_not_conserved_fails_the_report(spark, monkeypatch):
+    monkeypatch.setitem(rules.RULES, "half", lambda cfg: F.expr("n / touches / 2"))
+    data = (touches(spark, [(1, "meta", DAY0)]), conversions(spark, [(1, DAY0 + timedelta(days=1))]))
+    facts = rules.attribution_facts(journeys.build_touches(*data, CFG), CFG, ["half", "linear"])
+    assert value.attribution_shares(facts, CFG, ["linear"]).count() > 0
+    with pytest.raises(Exception, match="not conserved by half"):
+        value.attribution_shares(facts, CFG, ["half"]).collect()

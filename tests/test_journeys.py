@@ -4,13 +4,14 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from frames import CFG, DAY0, conversions, from_specs, touches, toy, ts
+from frames import CFG, DAY0, conversions, from_specs, sample, touches, ts
 from touchtally.config import RULE_MODELS, AttributionConfig
 from touchtally.operators import journeys, rules, slices
+from touchtally.plans import marts
 
 
 def kept(spark, cfg=CFG, data=None):
-    return journeys.build_touches(*(data or toy(spark)), cfg)
+    return journeys.build_touches(*(data or sample(spark)), cfg)
 
 
 def weights(spark, cfg=CFG, data=None, user=1):
@@ -18,25 +19,26 @@ def weights(spark, cfg=CFG, data=None, user=1):
     return [r.asDict() for r in rows.where(F.col("user_id") == user).orderBy("pos_asc").collect()]
 
 
-def test_toy_counts_and_ages(spark):
+def test_sample_counts_and_ages(spark):
+    rows = kept(spark).rows()
     counts = journeys.journey_counts(journeys.journeys(kept(spark), CFG)).first()
-    assert (counts.journeys, counts.conversions, counts.touches) == (3, 2, 7)
-    ages = [r.age_days for r in kept(spark).rows().where("user_id = 1").orderBy("ts").collect()]
-    assert ages == [10.0, 7.0, 3.0, 0.0]
-    assert kept(spark).rows().where("user_id = 3 and age_days is not null").count() == 0
+    assert (counts.journeys, counts.conversions, counts.touches) == (4, 2, 8)
+    assert sorted(r.age_days for r in rows.where("user_id = 11").collect()) == [1.0, 1.5, 4.0]
+    assert rows.where("user_id in (13, 14) and age_days is not null").count() == 0
 
 
-def test_toy_weights(spark):
-    rows = weights(spark)
-    assert [r["weight_first_touch"] for r in rows] == [1, 0, 0, 0]
-    assert [r["weight_last_touch"] for r in rows] == [0, 0, 0, 1]
-    assert [r["weight_linear"] for r in rows] == [0.25] * 4
-    assert [r["weight_position_based"] for r in rows] == pytest.approx([0.4, 0.1, 0.1, 0.4])
-    raw = [0.5 ** (d / 7) for d in (10, 7, 3, 0)]
-    assert [r["weight_time_decay"] for r in rows] == pytest.approx([w / sum(raw) for w in raw], abs=1e-12)
+def test_sample_weights(spark):
+    """Ages 4, 1.5 and 1 day at a half-life of 7: 0.6730, 0.8620 and 0.9057 before they are made to add up to 1."""
+    got = {m: [r[f"weight_{m}"] for r in weights(spark, user=11)] for m in RULE_MODELS}
+    assert got["first_touch"] == [1, 0, 0] and got["last_touch"] == [0, 0, 1]
+    assert got["linear"] == pytest.approx([1 / 3] * 3)
+    assert got["position_based"] == pytest.approx([0.4, 0.2, 0.4])
+    assert got["time_decay"] == pytest.approx([0.2757, 0.3532, 0.3711], abs=1e-4)
+    # A repeated channel holds both ends.
+    assert [r["weight_position_based"] for r in weights(spark, user=12)] == [0.5, 0.5]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 8])
+@pytest.mark.parametrize("n", [1, 2, 4, 11])
 def test_position_weights_add_up(spark, n):
     data = (
         touches(spark, [(1, "meta", DAY0 + timedelta(hours=i)) for i in range(n)]),
@@ -57,14 +59,11 @@ def test_decay_underflow_is_linear(spark):
     assert [r["weight_time_decay"] for r in weights(spark, cfg, data)] == [0.5, 0.5]
 
 
-def test_lookback_drops_old_and_late_touches(spark):
-    data = (
-        touches(spark, [
-            (1, "tiktok", ts("2026-01-01")), (1, "google", ts("2026-06-01")), (1, "email", ts("2026-06-20")),
-        ]),
-        conversions(spark, [(1, ts("2026-06-11"))]),
-    )
-    assert journeys.journey_paths(kept(spark, data=data), CFG).first().path == "google"
+def test_touches_outside_the_lookback_or_after_the_purchase_are_dropped(spark):
+    bought = ts("2026-03-31 12:00")
+    ages = {"referral": 46, "email": 44.9, "meta": 0, "google": -0.5}
+    data = (touches(spark, [(5, c, bought - timedelta(days=d)) for c, d in ages.items()]), conversions(spark, [(5, bought)]))
+    assert journeys.journey_paths(kept(spark, data=data), CFG).first().path == "email > meta"
 
 
 def test_fractional_and_calendar_lookback_differ(spark):
@@ -221,14 +220,19 @@ def test_hot_list_is_bounded_by_share_of_all_touches(spark, monkeypatch):
     assert [r.user_id for r in heavy] == [99]
 
 
-def test_path_too_long_for_a_row_stays_whole_in_segments(spark):
-    cfg = replace(CFG, hot_user_rows=20, max_path_touches=100)
-    parts = kept(spark, cfg, _skewed(spark))
-    paths = journeys.journey_paths(parts, cfg)
-    row = paths.where("user_id = 7").first()
-    # 392 of its 399 touches come before the conversion.
-    assert row.path is None and row.touch_count == 392
-    pieces = journeys.path_segments(parts).where("user_id = 7").orderBy("slice").collect()
-    whole = journeys.journey_paths(parts, replace(cfg, max_path_touches=10**6)).where("user_id = 7").first()
-    assert [c for p in pieces for c in p.channels] == whole.channels
-    assert journeys.path_summary(paths, 50).where("path is null").count() == 1
+def test_long_equal_paths_are_one_path(spark):
+    """With and without slices: two long journeys with the same channels count as one path."""
+    steps = [("meta" if k % 3 else "google", DAY0 + timedelta(minutes=k)) for k in range(300)]
+    end = DAY0 + timedelta(days=1)
+    log = touches(spark, [(u, channel, ts) for u in (7, 8) for channel, ts in steps])
+    bought = conversions(spark, [(u, end) for u in (7, 8)])
+    for rows in (20, None):
+        cfg = replace(CFG, hot_user_rows=rows)
+        parts = journeys.build_touches(log, bought, cfg)
+        paths = journeys.journey_paths(parts, cfg)
+        assert paths.where("path is null").count() == 0
+        assert [(r.conversions, r.path_length) for r in journeys.path_summary(paths).collect()] == [(2, 300)]
+        assert [r.conversions for r in marts.top_paths(paths).collect()] == [2]
+    pieces = journeys.path_segments(journeys.build_touches(log, bought, replace(CFG, hot_user_rows=20)))
+    ordered = pieces.where("user_id = 7").orderBy("slice").collect()
+    assert [c for p in ordered for c in p.channels] == [channel for channel, _ in steps]

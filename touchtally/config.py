@@ -23,9 +23,6 @@ class AttributionConfig:
     Users with more than ``hot_user_rows`` touches are cut into time slices so
     that no single task orders them. ``None`` skips the detection, for logs
     known to be even.
-
-    ``max_path_touches`` is the longest journey whose path fits one row as a
-    string; longer ones have a NULL path and are whole in ``path_segments``.
     """
 
     channels: tuple[str, ...] = CHANNELS
@@ -36,7 +33,6 @@ class AttributionConfig:
     position_middle: float = 0.20
     position_last: float = 0.40
     hot_user_rows: int | None = 5_000_000
-    max_path_touches: int = 50_000_000
 
     def __post_init__(self) -> None:
         if self.lookback_mode not in ("fractional", "calendar"):

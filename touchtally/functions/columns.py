@@ -57,7 +57,8 @@ def rate(flag: Column) -> Column:
 
 
 def clip(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least(high, value))
+    """``value`` held between the bounds; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
 
 
 def bucket_hash(unit_id: Column, salt: Column | str) -> Column:

@@ -346,19 +346,15 @@ def journey_paths(kept: JourneyTouches, cfg: AttributionConfig) -> DataFrame:
         pieces = df.groupBy(*user_cols, "slice").agg(
             F.count("*").alias("n"), _ordered_channels(_touch_list()).alias("piece"), *spans, *facts
         )
-        fits = F.sum("n").over(Window.partitionBy(*user_cols)) <= cfg.max_path_touches
-        ordered = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("slice", "piece"))))
+        ordered = F.array_sort(F.collect_list(F.struct("slice", "piece")))
         return (
-            pieces.withColumn("fits", fits)
-            .withColumn("used", F.array_distinct("piece"))
+            pieces.withColumn("used", F.array_distinct("piece"))
             .withColumn("opening", F.get("piece", F.lit(0)))
             .withColumn("closing", F.element_at("piece", -1))
             .groupBy(*user_cols)
             .agg(
                 F.sum("n").alias("touch_count"),
-                F.when(
-                    F.bool_and("fits"), F.flatten(F.transform(ordered, lambda s: s["piece"]))
-                ).alias("channels"),
+                F.flatten(F.transform(ordered, lambda s: s["piece"])).alias("channels"),
                 F.min("first_touch_ts").alias("first_touch_ts"),
                 F.max("last_touch_ts").alias("last_touch_ts"),
                 *facts,
@@ -376,20 +372,15 @@ def journey_paths(kept: JourneyTouches, cfg: AttributionConfig) -> DataFrame:
 
 
 def path_summary(paths: DataFrame, top_n: int = 10) -> DataFrame:
-    """The most frequent converting paths, ties broken by path.
-
-    A journey too long for a path string counts as a path of its own.
-    """
-    own = F.when(F.col("path").isNull(), F.col("user_id")).alias("own")
+    """The most frequent converting paths, ties broken by path."""
     return (
         paths.where("converted")
-        .groupBy("path", own)
+        .groupBy("path")
         .agg(
             F.count("*").alias("conversions"),
             F.sum("revenue").alias("revenue"),
             F.max("touch_count").alias("path_length"),
         )
-        .drop("own")
-        .orderBy(F.desc("conversions"), F.asc_nulls_last("path"))
+        .orderBy(F.desc("conversions"), "path")
         .limit(top_n)
     )

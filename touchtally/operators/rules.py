@@ -17,6 +17,9 @@ from touchtally.operators.journeys import JourneyTouches, journey_steps
 # ``decay_total`` are the journey's. A single touch is a group of one.
 Rule = Callable[[AttributionConfig], Column]
 
+# Largest error of a model's total credit, relative to the conversions plus one.
+CREDIT_TOLERANCE = 1e-6
+
 
 def _position_based(cfg: AttributionConfig) -> Column:
     first, middle, last = cfg.position_first, cfg.position_middle, cfg.position_last
@@ -62,8 +65,8 @@ def known_channel(channels: Sequence[str]) -> Column:
 
 
 def channel_bit(channel: Column, channels: Sequence[str]) -> Column:
-    """2**i for ``channels[i]``, as a long."""
-    powers = F.create_map(*[F.lit(x) for i, c in enumerate(channels) for x in (c, 1 << i)])
+    """2**i for ``channels[i]``, as a long; 0 for all when there are more than 63, which only Shapley minds."""
+    powers = F.create_map(*[F.lit(x) for i, c in enumerate(channels) for x in (c, 1 << i if len(channels) < 64 else 0)])
     return F.try_element_at(powers, channel).cast("long")
 
 
@@ -79,8 +82,6 @@ def attribution_facts(
     once, for the join on user; later stages move aggregated rows.
     """
     channels = list(cfg.channels)
-    if len(channels) > 63:
-        raise ValueError("at most 63 channels")
     segments = list(kept.segment_cols)
     steps = journey_steps(kept.with_column("channel", known_channel(channels)), cfg)
     credit = [f"{kind}_{m}" for kind in ("credit", "revenue", "net") for m in models]
@@ -161,15 +162,26 @@ def credit_by_channel(
 ) -> DataFrame:
     """Credited conversions and revenue per model and channel, zeros included.
 
-    Columns: segment, model, channel, conversions, revenue, net_revenue.
+    Columns: segment, model, channel, conversions, revenue, net_revenue. Fails the job
+    when a model's credit does not add up to the conversions that the facts count.
     """
     segments = list(segment_cols)
     measures = [f"{kind}_{m}" for kind in ("credit", "revenue", "net") for m in models]
+    within = Window.partitionBy(*segments)
+    won = F.coalesce(F.sum("conversions").over(within), F.lit(0)).alias("won")
     by_channel = (
-        facts.where(F.col("channel_mask").isNull())
+        facts.select("*", won).where(F.col("channel_mask").isNull())
         .groupBy(*segments, F.col("to_state").alias("channel"))
-        .agg(*[F.sum(c).alias(c) for c in measures])
+        .agg(*[F.sum(c).alias(c) for c in measures], F.max("won").alias("won"))
     )
+    checked = {
+        f"credit_{m}": F.when(
+            F.abs(F.coalesce(F.sum(f"credit_{m}").over(within), F.lit(0.0)) - F.col("won")) <= CREDIT_TOLERANCE * (1 + F.col("won")),
+            F.col(f"credit_{m}"),
+        ).otherwise(F.raise_error(F.lit(f"credit is not conserved by {m}")).cast("double"))
+        for m in models
+    }
+    by_channel = by_channel.withColumns(checked).drop("won")
     whole = _per_channel(by_channel, segments, cfg.channels, measures)
     per_model = F.array(*[
         F.struct(

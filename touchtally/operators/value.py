@@ -19,7 +19,7 @@ from touchtally.config import (
 )
 from touchtally.functions.columns import clip, guarded_ratio
 from touchtally.operators.markov import markov_attribution
-from touchtally.operators.rules import credit_by_channel, credit_shares
+from touchtally.operators.rules import RULES, credit_by_channel, credit_shares
 from touchtally.operators.shapley import coalition_values, shapley_attribution
 
 ALL_MODELS = (*RULE_MODELS, *DATA_DRIVEN_MODELS)
@@ -70,10 +70,11 @@ def data_driven_shares(facts: DataFrame, channels: Sequence[str], models: Sequen
 
 
 def _split_models(models: Sequence[str]) -> tuple[list[str], list[str]]:
-    unknown = sorted(set(models) - set(ALL_MODELS))
+    known = [*RULES, *DATA_DRIVEN_MODELS]
+    unknown = sorted(set(models) - set(known))
     if unknown or not models:
-        raise ValueError(f"unknown models {unknown}; known: {list(ALL_MODELS)}")
-    return [m for m in models if m in RULE_MODELS], [m for m in models if m in DATA_DRIVEN_MODELS]
+        raise ValueError(f"unknown models {unknown}; known: {known}")
+    return [m for m in models if m in RULES], [m for m in models if m in DATA_DRIVEN_MODELS]
 
 
 def attribution_shares(facts: DataFrame, cfg: AttributionConfig, models: Sequence[str] = ALL_MODELS) -> DataFrame:
@@ -145,7 +146,8 @@ def roi_table(
 def reallocation_plan(roi: DataFrame, max_shift: float = 0.30) -> DataFrame:
     """Budget-neutral move toward value share, capped at ``max_shift`` per channel.
 
-    What the cap leaves over goes once, pro rata, to the channels' headroom.
+    What the cap leaves over goes once, pro rata, to the channels' headroom. A
+    model without value shares has no plan: NULLs, and the reason.
     """
     if not 0 <= max_shift <= 1:
         raise ValueError("max_shift must be in [0, 1]")
@@ -175,13 +177,14 @@ def reallocation_plan(roi: DataFrame, max_shift: float = 0.30) -> DataFrame:
         "delta", guarded_ratio(F.col("delta"), spent).alias("delta_pct"), "cac", "roas",
         guarded_ratio(F.col("delta") * F.col("credited_conversions"), spent).alias("delta_conversions"),
         guarded_ratio(F.col("delta") * F.col("credited_revenue"), spent).alias("delta_revenue"),
+        F.when(F.col("delta").isNull(), F.lit("the model gives no value shares")).alias("reason"),
     )
 
 
 def reallocation_summary(plan: DataFrame) -> DataFrame:
     """Dollars moved and expected change in conversions and revenue per model."""
     return plan.groupBy("model").agg(
-        F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(F.lit(0.0))).alias("dollars_moved"),
+        F.sum(F.when(F.col("delta").isNotNull(), F.greatest("delta", F.lit(0.0)))).alias("dollars_moved"),
         F.sum("delta_conversions").alias("expected_incremental_conversions"),
         F.sum("delta_revenue").alias("expected_incremental_revenue"),
     )
@@ -206,7 +209,7 @@ def misallocation(roi: DataFrame, incumbent: str = "last_touch", challenger: str
 
 
 def recovery_scores(shares: DataFrame, truth: DataFrame, baseline: str = "last_touch") -> DataFrame:
-    """Error of each model's shares against the true ones, best first."""
+    """Error of each model's shares against the true ones, best first; models without shares last."""
     error = F.abs(F.col("share") - F.col("true_share"))
     scores = (
         shares.join(truth, "channel")
@@ -220,7 +223,7 @@ def recovery_scores(shares: DataFrame, truth: DataFrame, baseline: str = "last_t
     base = F.max(F.when(F.col("model") == baseline, F.col("mae"))).over(Window.partitionBy())
     return scores.withColumn(
         "error_reduction_vs_baseline", F.lit(1.0) - guarded_ratio(F.col("mae"), base)
-    ).orderBy("mae", "model")
+    ).orderBy(F.asc_nulls_last("mae"), "model")
 
 
 def shares_against_truth(shares: DataFrame, truth: DataFrame) -> DataFrame:

@@ -389,7 +389,7 @@ def V4_roi_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def V5_reallocation_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_run(spark, sf).reallocation(bridge.spend(spark, sf)), 4)
+    return rounded(_run(spark, sf).reallocation(bridge.spend(spark, sf)), 4).drop("reason")
 
 
 @query
