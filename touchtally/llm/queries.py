@@ -94,6 +94,72 @@ SELECT doc_id, size, source_size, target,
   CAST((certain + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
 """
 
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS k
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+f AS (SELECT k, min(struct_pack(a := doc_id, b := i)) AS first FROM p GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM (SELECT p.doc_id, p.i FROM p JOIN f USING (k) WHERE struct_pack(a := p.doc_id, b := p.i) <> first)),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+t AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.j) FILTER (c.j IS NULL) AS kept, count(c.j) AS gone FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.j = u.j GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+# Bytes as pairs of hexadecimal digits.
+_OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+m AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p SEMI JOIN m USING (k)),
+o AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 400 AS b FROM o GROUP BY doc_id, span),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, (2 * since + 1)::BIGINT, (2 * (a - since))::BIGINT), '' ORDER BY a) AS kept
+      FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+_OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS j FROM d),
+o AS (SELECT * FROM u WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+n AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM o)),
+s AS (SELECT DISTINCT id, substr(line, i, 8) AS k FROM (SELECT id, line, unnest(range(1, greatest(length(line) - 6, 2))) AS i FROM n)),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.k = b.k AND a.id < b.id GROUP BY a.id, b.id),
+l AS (SELECT a, b FROM c JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT a AS id, min(b) AS class FROM r GROUP BY a),
+f AS (SELECT doc_id, j, row_number() OVER (PARTITION BY class ORDER BY doc_id, j) > 1 AS gone FROM o JOIN n USING (line) JOIN g USING (id)),
+t AS (SELECT u.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY u.j) FILTER (gone IS NOT TRUE) AS kept
+      FROM u LEFT JOIN f ON f.doc_id = u.doc_id AND f.j = u.j GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
 LLM_ORACLES = {
+    "op2_near_duplicates": _OP2,
+    "op3_substring_dedup": _OP3,
     "op5_mix_sources": _OP5,
+    "op7_line_dedup": _OP7,
+    "op8_suffix_array_dedup": _OP8,
 }
