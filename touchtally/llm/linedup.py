@@ -35,6 +35,8 @@ SHINGLE = 8
 PERCENT = 80
 BANDS, ROWS = 10, 3
 SMALL_BUCKET = 32
+# Shingles that one row of the signature aggregate holds.
+PER_ROW = 4
 PIVOTS = 4
 # Equal minima of 30 that a pair at 0.8 has, five standard deviations below its mean.
 AGREEING = 13
@@ -58,16 +60,21 @@ def _starts(coded: Column) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """name, other (second hash, lowest and highest), size (characters) and minima of every distinct line."""
+    """name, other (second hash, lowest and highest) and minima of every distinct line."""
     lines = exploded_lines(docs).select(
         "name", F.xxhash64(F.lit("second"), "line").alias("other"), F.encode("line", "UTF-16BE").alias("coded")
     )
-    hashed = lines.select("name", "other", F.explode(_starts(F.col("coded"))).alias("at"), "coded").select(
-        "name", "other", "at", F.hash(F.substring(F.col("coded"), F.col("at"), F.lit(2 * SHINGLE))).alias("h")
-    )
+    # A row holds several neighbouring shingles, so the aggregate is entered less often; past the end the last one repeats.
+    last = F.greatest(F.lit(1), F.length("coded") - (2 * SHINGLE - 1))
+    rows = lines.select("name", "other", "coded", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * PER_ROW))).alias("at"))
+    places = [F.least(F.col("at") + 2 * k, F.col("last")) for k in range(PER_ROW)]
+    hashed = rows.select("name", "other", *[
+        F.hash(F.substring(F.col("coded"), place, F.lit(2 * SHINGLE))).alias(f"h{k}") for k, place in enumerate(places)
+    ])
+    hashes = [F.col(f"h{k}") for k in range(PER_ROW)]
     return hashed.groupBy("name").agg(
-        F.min("other").alias("other"), F.max("other").alias("other_high"), F.max("at").alias("last"),
-        *[F.min(F.col("h").bitwiseXOR(F.lit(seed))).alias(f"m{i}") for i, seed in enumerate(_SEEDS)],
+        F.min("other").alias("other"), F.max("other").alias("other_high"),
+        *[F.min(F.least(*[h.bitwiseXOR(F.lit(seed)) for h in hashes])).alias(f"m{i}") for i, seed in enumerate(_SEEDS)],
     )
 
 
