@@ -448,14 +448,14 @@ def M3_mart_experiment_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def M4_top_paths(spark: SparkSession, sf: str) -> DataFrame:
     mart = marts.user_journeys(bridge.touchpoints(spark, sf), bridge.conversions(spark, sf), CFG)
-    return marts.top_paths(mart, 5).select("path", "conversions")
+    return marts.top_paths(mart, 5)
 
 
 @query
 def M4_channel_listing(spark: SparkSession, sf: str) -> DataFrame:
     return marts.channel_listing(marts.channel_roi(
         bridge.touchpoints(spark, sf), bridge.conversions(spark, sf), bridge.spend(spark, sf), CFG
-    )).select("channel", "monthly_spend", "last_touch_conversions", "cac_last_touch")
+    ))
 
 
 # --- assignment and integrity --------------------------------------------------------------
