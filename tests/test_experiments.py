@@ -316,3 +316,28 @@ def test_sample_size_power_and_mde_are_consistent(spark):
     assert row.factor == pytest.approx(0.64) and row.fewer == 2459
     with pytest.raises(ValueError):
         design.duration_days(F.lit(1), F.lit(1), 0.0)
+
+
+def test_looks_of_given_statistics(spark):
+    """Any metric: only z is needed. The first experiment crosses at its third look, the second never."""
+    plan = spark.createDataFrame(
+        [(e, [0.25, 0.5, 0.75, 1.0], 0.05, "obrien_fleming") for e in ("up", "flat")],
+        "experiment_id string, looks array<double>, alpha double, spending string",
+    )
+    z = {"up": [1.2, 2.4, 3.1, 3.3], "flat": [0.4, None, -1.1, 0.9]}
+    given = spark.createDataFrame([(e, i + 1, v) for e, values in z.items() for i, v in enumerate(values)], "experiment_id string, look int, z double")
+    looks = sequential.looks_of_statistics(given, plan)
+    got = {e: [r.crossed for r in looks.where(F.col("experiment_id") == e).orderBy("look").collect()] for e in z}
+    assert got == {"up": [False, False, True, True], "flat": [False] * 4}
+    decided = {r.experiment_id: (r.look, r.crossed, r.stop) for r in sequential.sequential_decision(looks).collect()}
+    assert decided == {"up": (3, True, True), "flat": (4, False, True)}
+
+
+def test_added_spending_functions(spark, monkeypatch):
+    monkeypatch.setitem(sequential.SPENDING, "late", lambda t, alpha: alpha * t**4)
+    monkeypatch.setitem(sequential.SPENDING, "falling", lambda t, alpha: alpha * (1 - t))
+    row = spark.range(1).select(sequential.spent_column("late", F.lit(0.5), F.lit(0.08)).alias("spent")).first()
+    assert row.spent == pytest.approx(0.005)
+    assert sequential.boundaries((0.5, 1.0), 0.08, "late")[0][1] == pytest.approx(0.005)
+    with pytest.raises(ValueError, match="falls"):
+        sequential.boundaries((0.3, 0.6), 0.05, "falling")

@@ -43,6 +43,17 @@ def alpha_spent(spending: str, t: float, alpha: float) -> float:
     return alpha if t >= 1 else SPENDING[spending](t, alpha)
 
 
+def _spent_by(spending: str):
+    """A registered function without a column form, for aggregated rows."""
+    rule = SPENDING[spending]
+
+    @F.pandas_udf(T.DoubleType())
+    def spent(t: pd.Series, alpha: pd.Series) -> pd.Series:
+        return pd.Series([rule(x, level) for x, level in zip(t, alpha)], dtype="float64")
+
+    return spent
+
+
 def spent_column(spending: str, t: Column, alpha: Column) -> Column:
     """``alpha_spent`` as a column, for any fractions and levels."""
     inside = F.greatest(F.least(t, F.lit(1.0)), F.lit(1e-12))
@@ -54,6 +65,8 @@ def spent_column(spending: str, t: Column, alpha: Column) -> Column:
         spent = 2 * normal_sf(normal_quantile(1 - alpha / 2) / F.sqrt(inside))
     elif spending in forms:
         spent = forms[spending]
+    elif spending in SPENDING:
+        spent = _spent_by(spending)(inside, alpha)
     else:
         raise ValueError(f"unknown spending function {spending!r}; known: {sorted(SPENDING)}")
     return F.when(t <= 0, F.lit(0.0)).when(t >= 1, alpha).otherwise(spent)
@@ -92,6 +105,8 @@ def boundaries(fractions: tuple[float, ...], alpha: float, spending: str) -> tup
             kernel = np.exp(-lags**2 / (2 * increment)) / math.sqrt(2 * math.pi * increment)
             density = np.convolve(density, kernel, mode="valid") * step
         total = alpha_spent(spending, t, alpha)
+        if total < spent - 1e-12:
+            raise ValueError(f"spending function {spending!r} falls at fraction {t}")
         # Mass at or beyond each grid point, both sides, from the outside in.
         one_side = density[_GRID_POINTS // 2:]
         beyond = 2 * step * (np.cumsum(one_side[::-1])[::-1] - one_side[-1] / 2)
@@ -178,9 +193,21 @@ def _at_looks(daily: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFra
 def interim_looks(assignments: DataFrame, config: DataFrame) -> DataFrame:
     """z at every planned look, against its boundary."""
     looks = _at_looks(_daily_counts(assignments, ["experiment_id"]), look_plan(config), ["experiment_id"])
+    return _judged(looks, "day", "n_c", "n_t", F.col("x_c").alias("conversions_c"), F.col("x_t").alias("conversions_t"))
+
+
+def looks_of_statistics(statistics: DataFrame, config: DataFrame) -> DataFrame:
+    """The same for z computed elsewhere: ``statistics`` has experiment_id, look and z, for any metric.
+
+    Looks that the plan does not have are left out; a look without z does not cross.
+    """
+    looks = statistics.select("experiment_id", "look", "z").join(look_plan(config), ["experiment_id", "look"])
+    return _judged(looks.withColumn("crossed", F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False))))
+
+
+def _judged(looks: DataFrame, *columns: Column | str) -> DataFrame:
     return looks.select(
-        "experiment_id", "look", "information_fraction", "day", "n_c", "n_t",
-        F.col("x_c").alias("conversions_c"), F.col("x_t").alias("conversions_t"),
+        "experiment_id", "look", "information_fraction", *columns,
         "z", "z_boundary", (2 * normal_sf(F.abs("z"))).alias("nominal_p"), "crossed",
         (F.col("crossed") | F.col("is_final")).alias("stop"),
         F.when(F.col("crossed"), "STOP: boundary crossed")
@@ -191,7 +218,7 @@ def interim_looks(assignments: DataFrame, config: DataFrame) -> DataFrame:
 
 def sequential_decision(looks: DataFrame) -> DataFrame:
     """The look that decides: the first crossing, else the last look."""
-    order = F.when(F.col("crossed"), F.col("look")).otherwise(F.lit(1_000_000) - F.col("look"))
+    order = F.struct(~F.col("crossed"), F.when(F.col("crossed"), F.col("look")).otherwise(-F.col("look")))
     fields = ["look", "z", "z_boundary", "nominal_p", "crossed", "stop", "reason"]
     return looks.groupBy("experiment_id").agg(
         F.min_by(F.struct(*fields), order).alias("d")

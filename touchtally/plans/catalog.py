@@ -647,6 +647,27 @@ def X18_alpha_spending(spark: SparkSession, sf: str) -> DataFrame:
     ])
 
 
+@query
+def X19_plan_alphas(spark: SparkSession, sf: str) -> DataFrame:
+    """Look plans at the fractions that each experiment had reached by the ends of its months, under three functions."""
+    month = F.date_trunc("month", F.col("assign_ts"))
+    monthly = _experiments(spark, sf).groupBy("experiment_id", month.alias("month")).agg(F.count("*").alias("units"))
+    so_far = Window.partitionBy("experiment_id").orderBy(F.col("month").asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    reached = monthly.withColumn("t", F.sum("units").over(so_far) / F.sum("units").over(Window.partitionBy("experiment_id")))
+    # One list entry per month.
+    measured = reached.groupBy("experiment_id").agg(F.array_sort(F.collect_set("t")).alias("looks")).withColumn("alpha", F.lit(0.05))
+    plans = None
+    for name in sequential.SPENDING:
+        plan = sequential.look_plan(measured.withColumn("spending", F.lit(name))).select(
+            F.lit(name).alias("spending"), "experiment_id", "look", r("information_fraction").alias("information_fraction"),
+            r("cumulative_alpha").alias("cumulative_alpha"), r("incremental_alpha").alias("incremental_alpha"), "is_final",
+        )
+        plans = plan if plans is None else plans.unionByName(plan)
+    return plans
+
+
 @query
 def X19_X20_interim_looks(spark: SparkSession, sf: str) -> DataFrame:
     looks = sequential.interim_looks(_experiments(spark, sf), bridge.config(spark))
