@@ -9,7 +9,8 @@
    with probability 0.999. Every line meets its bucket's first. Pairs
    that this has not connected follow: all of a bucket of up to ``SMALL_BUCKET`` lines; in a larger one
    those with ``PIVOTS`` of its lines, and then those of lines outside the bucket's largest component
-   with all lines whose signatures agree enough.
+   with all lines whose signatures agree enough. That last step grows with the square of the lines that stay
+   unconnected in one bucket; it caps nothing.
 3. Exact Jaccard similarity on shingle sets confirms a pair.
 4. Components of confirmed pairs keep the one line that comes first: smallest doc_id, then line number.
 
