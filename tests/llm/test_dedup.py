@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -164,3 +165,27 @@ def test_native_lines(frame):
     """No Python in the plan."""
     plan = linedup.dedup_lines(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def hot_texts():
+    """A passage that all texts share, with each one's own words around it, and some contexts twice."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(150))
+    own = [" ".join(f"{rng.randrange(10**6)}" for _ in range(80)) for _ in range(60)]
+    return [f"{own[k % 50]} {passage} {own[(7 * k) % 60]}" for k in range(70)]
+
+
+def test_hot_byte_anchor(spark, monkeypatch):
+    """Distinct contexts of one passage are not collected in a task."""
+    corpus = list(enumerate(hot_texts()))
+    monkeypatch.setattr(bytesdup, "SHARD_BYTES", 8000)
+    starts = bytesdup.repeated_starts
+
+    def bounded(segments, several, size):
+        assert sum(len(s) for s in segments) <= 3 * 8000
+        return starts(segments, several, size)
+
+    monkeypatch.setattr(bytesdup, "repeated_starts", bounded)
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bytesdup.remove_repeated_bytes(docs).collect()}
+    assert got == brute_bytes(corpus)

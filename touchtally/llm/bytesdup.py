@@ -11,6 +11,8 @@ anywhere else, in the same document or another.
 3. A task joins the segments of its anchors to one text, up to ``SHARD_BYTES`` at a time, and sorts
    its suffixes by external induction. Windows whose common prefix with a neighbour in the suffix
    array reaches ``size`` are repeated. Segments of an anchor that goes on stay for the next text.
+   An anchor with more than ``SHARD_BYTES`` of distinct segments is hot: its windows go apart, each under its
+   own hash, where sorted neighbours with 128 equal bits are equal, so no task holds a hot anchor's bytes.
 4. Runs of repeated windows return to their documents.
 
 The texts are shuffled once; the plan uses that shuffle twice.
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 
 from touchtally.llm.common import _P, _RANDOM_BYTE, prefix, row_slices, span_hash, string_buffer
 from touchtally.llm.induced import suffix_array
-from touchtally.llm.repeats import NO_ID, _first_of_equal, _keyed, _repeated_only, _spread
+from touchtally.llm.repeats import (
+    HOT_SLICE, MAX_BROADCAST_ANCHORS, NO_ID, _ANCHOR, _first_of_equal, _keyed, _loads, _repeated_places, _spread, _window_runs, window_names,
+)
+from touchtally.sources.checkpoints import broadcast_if_small
 
 SIZE = 400
 ANCHOR = 64
@@ -69,21 +74,25 @@ def byte_anchors(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 def _anchor_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in _batches(batches):
-            _, anchor, groups, _ = byte_anchors(raw, offsets, size)
+            window, anchor, groups, sums = byte_anchors(raw, offsets, size)
             if not len(anchor):
                 continue
-            anchor = anchor[np.flatnonzero(np.diff(anchor, prepend=-1))]
+            begin = np.flatnonzero(np.diff(anchor, prepend=-1))
+            n = np.diff(np.append(begin, len(anchor))) + size - 1
+            anchor, first = anchor[begin], window[begin]
+            content = span_hash(sums, first, first + n, _P)
             key = groups[anchor]
             row = np.searchsorted(offsets, anchor, side="right") - 1
             ids, place = part.column("key").to_numpy()[row], anchor - offsets[row]
             order = np.lexsort((place, ids, key))
             head, sure = _first_of_equal(order, key)
+            load = _loads(order, head, key, content, n)
             rest = order[~head]
             key[rest] = _spread(ids[rest], place[rest])
             known = np.zeros(len(key), dtype=bool)
             known[order] = sure
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids), pa.array(place, pa.int32()), pa.array(known)],
-                                  names=["anchor", "key", "place", "known"])
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids), pa.array(place, pa.int32()), pa.array(known), pa.array(load)],
+                                  names=["anchor", "key", "place", "known", "load"])
 
     return run
 
@@ -132,6 +141,71 @@ def _segment_rows(size: int):
     return run
 
 
+def _hot_windows(size: int):
+    """Windows of hot anchors, each a row under its own hash; other rows pass.
+
+    ``other`` is the window's second hash. Equal windows of a batch are answered here, and
+    one is sent, with n = 0.
+    """
+
+    def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data = part.column("data")
+        offsets = np.concatenate([[0], np.cumsum([len(d) for d in data.to_pylist()])])
+        raw = np.frombuffer(b"".join(data.to_pylist()), dtype=np.uint8)
+        n = part.column("n").to_numpy()
+        owner = np.repeat(np.arange(part.num_rows), n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        name, other = window_names(_RANDOM_BYTE[raw], offsets[owner] + inside, size)
+        ids, place = part.column("key").to_numpy()[owner], part.column("first").to_numpy()[owner] + inside
+        order = np.lexsort((other, name))
+        head, equal = _first_of_equal(order, name, other)
+        done, send = np.zeros(len(order), dtype=bool), order[head]
+        done[order[equal]] = True
+        yield _window_rows(name[send], ids[send], place[send], np.where(done[send], 0, 1), other[send])
+        at, k = _window_runs(done, owner)
+        if len(at):
+            yield _window_rows(_spread(ids[at], place[at]), ids[at], place[at], k, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column("hot").fill_null(False).to_numpy(zero_copy_only=False) & batch.column("data").is_valid().to_numpy(zero_copy_only=False)
+            cold = batch.filter(pa.array(~hot)).select(["anchor", "key", "first", "n", "data"])
+            yield pa.record_batch([*cold.columns, pa.nulls(cold.num_rows, pa.int64())], names=[*cold.schema.names, "other"])
+            warm = batch.filter(pa.array(hot))
+            for lo in range(0, warm.num_rows, HOT_SLICE):
+                yield from rows(warm.slice(lo, HOT_SLICE))
+
+    return run
+
+
+def _window_rows(anchor: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
+    rows = len(anchor)
+    return pa.record_batch(
+        [pa.array(anchor.view(np.int64)), pa.array(ids), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.nulls(rows, pa.binary()),
+         pa.nulls(rows, pa.int64()) if other is None else pa.array(other.view(np.int64))],
+        names=["anchor", "key", "first", "n", "data", "other"],
+    )
+
+
+def _met_windows(rows: pa.RecordBatch, left: pa.RecordBatch | None) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Marks of windows with an equal beside them, and the last row, which may meet more; a row that is met has n = 2."""
+    if left is not None:
+        rows = pa.Table.from_batches([left, rows]).combine_chunks().to_batches()[0]
+    name, other, n = (rows.column(c).to_numpy().copy() for c in ("anchor", "other", "n"))
+    same = (name[1:] == name[:-1]) & (other[1:] == other[:-1])
+    met = np.zeros(len(n), dtype=bool)
+    met[1:] |= same
+    met[:-1] |= same
+    n[met & (n == 1)] = 2
+    rows = rows.set_column(rows.schema.get_field_index("n"), "n", pa.array(n))
+    return _met_marks(rows.slice(0, rows.num_rows - 1)), rows.slice(rows.num_rows - 1)
+
+
+def _met_marks(rows: pa.RecordBatch) -> pa.RecordBatch:
+    met = rows.filter(pa.array(rows.column("n").to_numpy() == 2))
+    return pa.record_batch([met.column("key"), met.column("first"), pa.array(np.ones(met.num_rows), pa.int32())], names=["key", "first", "n"])
+
+
 def repeated_starts(segments: list[bytes], several: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Which starts of the joined text have a window that occurs twice, and where each segment begins.
 
@@ -188,7 +262,14 @@ def _sorted_rows(size: int):
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["key", "first", "n"])
 
         limit = SHARD_BYTES
+        left: pa.RecordBatch | None = None
         for batch in batches:
+            if "other" in batch.schema.names:
+                windows = batch.filter(batch.column("other").is_valid())
+                batch = batch.filter(batch.column("other").is_null())
+                if windows.num_rows:
+                    met, left = _met_windows(windows, left)
+                    yield met
             done = batch.filter(batch.column("data").is_null())
             if done.num_rows:
                 yield done.select(["key", "first", "n"])
@@ -200,6 +281,8 @@ def _sorted_rows(size: int):
                 places = held.setdefault(data, [])
                 load += len(data) if not places else 0
                 places.append((anchor, key, first, n))
+        if left is not None:
+            yield _met_marks(left)
         if held:
             yield answer(None)
 
@@ -210,11 +293,13 @@ def repeated_runs(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """key (doc_id, null as the smallest long), first and n: runs of repeated windows by first byte."""
     keyed = _keyed(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = keyed.mapInArrow(_anchor_rows(size), "anchor long, key long, place int, known boolean")
-    repeated = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeated_only, "key long, place int")
-    places = repeated.groupBy("key").agg(F.collect_list("place").alias("places"))
+    places, hot = _repeated_places(keyed.mapInArrow(_anchor_rows(size), _ANCHOR), SHARD_BYTES, "byte-places")
     segments = keyed.join(places.hint("shuffle_hash"), "key").mapInArrow(_segment_rows(size), _SEGMENT)
-    return segments.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_rows(size), "key long, first int, n int")
+    order = ["anchor"]
+    if not hot.isEmpty():
+        segments = segments.join(broadcast_if_small(hot, MAX_BROADCAST_ANCHORS), "anchor", "left").mapInArrow(_hot_windows(size), _SEGMENT + ", other long")
+        order.append("other")
+    return segments.repartition(parts, "anchor").sortWithinPartitions(*order).mapInArrow(_sorted_rows(size), "key long, first int, n int")
 
 
 def _without(size: int):

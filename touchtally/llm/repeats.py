@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import BATCH_BYTES, Words, mix64, row_slices, span_hash, string_buffer, words_of, _Q
+from touchtally.llm.common import BATCH_BYTES, Words, mix64, prefix, row_slices, span_hash, string_buffer, words_of, written, _P, _Q
 
 SIZE = 20
 ANCHOR = 8
@@ -43,6 +43,10 @@ ANCHOR = 8
 RUN_SUFFIXES = 1 << 19
 GROUP_SUFFIXES = 1 << 14
 NO_ID = -(2**63)
+# Segments of hot anchors whose windows are compared at once.
+HOT_SLICE = 2000
+# Hot anchors are one long each.
+MAX_BROADCAST_ANCHORS = 1_000_000
 
 
 def window_anchors(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +85,31 @@ def _first_of_equal(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, n
     return head, equals
 
 
+def _loads(order: np.ndarray, head: np.ndarray, key: np.ndarray, content: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For the first row of each key in ``order``, the summed size of its distinct contents; 0 for others."""
+    by_content = np.lexsort((content, key))
+    new, _ = _first_of_equal(by_content, key, content)
+    group, _ = _first_of_equal(by_content, key)
+    out = np.zeros(len(order), dtype=np.int64)
+    out[order[head]] = np.bincount(np.cumsum(group) - 1, weights=np.where(new, size[by_content], 0)).astype(np.int64)
+    return out
+
+
+def window_names(values: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes, 128 bits together, of the windows that start at ``at``."""
+    other = mix64(values ^ np.uint64(0x2545F4914F6CDD1D))
+    return span_hash(prefix(values, _P), at, at + size, _P), span_hash(prefix(other, _Q), at, at + size, _Q)
+
+
+def _window_runs(marked: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and length of the runs of marked windows of one segment."""
+    at = np.flatnonzero(marked)
+    opens = np.ones(len(at), dtype=bool)
+    opens[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
+    begin = np.flatnonzero(opens)
+    return at[begin], np.diff(np.append(begin, len(at)))
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         raw, offsets = string_buffer(batch.column("text"))
@@ -92,29 +121,41 @@ def _anchor_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in _batches(batches):
             words = words_of(raw, offsets)
-            _, anchor, groups = window_anchors(words, size)
+            window, anchor, groups = window_anchors(words, size)
             if not len(anchor):
                 continue
-            anchor = anchor[np.flatnonzero(np.diff(anchor, prepend=-1))]
+            begin = np.flatnonzero(np.diff(anchor, prepend=-1))
+            n = np.diff(np.append(begin, len(anchor)))
+            anchor, first = anchor[begin], window[begin]
+            content = span_hash(words.sums, first, first + n + size - 1, _Q)
             key = groups[anchor].copy()
             row = words.row[anchor]
             ids, place = part.column("key").to_numpy()[row], anchor - words.first[row]
             order = np.lexsort((place, ids, key))
             head, sure = _first_of_equal(order, key)
+            load = _loads(order, head, key, content, n)
             rest = order[~head]
             key[rest] = _spread(ids[rest], place[rest])
             known = np.zeros(len(key), dtype=bool)
             known[order] = sure
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids), pa.array(place, pa.int32()), pa.array(known)],
-                                  names=["anchor", "key", "place", "known"])
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids), pa.array(place, pa.int32()), pa.array(known), pa.array(load)],
+                                  names=["anchor", "key", "place", "known", "load"])
 
     return run
 
 
-def _repeated_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows known to be repeated, or beside one with the same anchor; the input is sorted by anchor."""
+# Stands for the place in rows whose key is a hot anchor.
+HOT_ROW = -1
+
+
+def _repeated_only(batches: Iterator[pa.RecordBatch], limit: int = 2**62) -> Iterator[pa.RecordBatch]:
+    """Rows known to be repeated, or beside one with the same anchor; the input is sorted by anchor.
+
+    An anchor whose loads sum to more than ``limit`` is named by one row more.
+    """
     rest: pa.RecordBatch | None = None
     last = None
+    loaded: tuple[int | None, int] = (None, 0)  # the last anchor, and its load so far
 
     def pick(table: pa.RecordBatch, final: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
         anchor = table.column("anchor").to_numpy()
@@ -128,9 +169,24 @@ def _repeated_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         chosen = table.slice(0, n).filter(pa.array(keep[:n]))
         return chosen.select(["key", "place"]), None if final else table.slice(n)
 
+    def hot(table: pa.RecordBatch) -> pa.RecordBatch:
+        """Anchors that pass the limit in these rows."""
+        nonlocal loaded
+        anchor, load = table.column("anchor").to_numpy(), table.column("load").to_numpy()
+        begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        sums, before = np.add.reduceat(load, begin), np.zeros(len(begin), dtype=np.int64)
+        if anchor[0] == loaded[0]:
+            before[0] = loaded[1]
+        loaded = int(anchor[-1]), int(before[-1] + sums[-1])
+        found = anchor[begin[(before <= limit) & (before + sums > limit)]]
+        return pa.record_batch([pa.array(found), pa.array(np.full(len(found), HOT_ROW), pa.int32())], names=["key", "place"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
+        found = hot(batch)
+        if found.num_rows:
+            yield found
         if rest is not None:
             batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
         out, rest = pick(batch, False)
@@ -141,6 +197,20 @@ def _repeated_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pick(rest, True)[0]
 
 
+_ANCHOR = "anchor long, key long, place int, known boolean, load long"
+
+
+def _repeated_places(anchors: DataFrame, limit: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Places of repeated anchors as a list per key, and the anchors whose segments are more than ``limit``."""
+    parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(
+        lambda batches: _repeated_only(batches, limit), "key long, place int"
+    )
+    rows = written(rows, name)
+    hot = rows.filter(F.col("place") == HOT_ROW).select(F.col("key").alias("anchor"), F.lit(True).alias("hot"))
+    return rows.filter(F.col("place") != HOT_ROW).groupBy("key").agg(F.collect_list("place").alias("places")), hot
+
+
 _SEGMENT = "anchor long, key long, first int, n int, codes binary"
 
 
@@ -308,9 +378,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """key (doc_id, null as the smallest long), first and n: runs of repeated windows by first word."""
     keyed = _keyed(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = keyed.mapInArrow(_anchor_rows(size), "anchor long, key long, place int, known boolean")
-    repeated = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeated_only, "key long, place int")
-    places = repeated.groupBy("key").agg(F.collect_list("place").alias("places"))
+    places, hot = _repeated_places(keyed.mapInArrow(_anchor_rows(size), _ANCHOR), RUN_SUFFIXES, "passage-places")
     segments = keyed.join(places.hint("shuffle_hash"), "key").mapInArrow(_segment_rows(size), _SEGMENT)
     return segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "key", "first").mapInArrow(_tree_rows(size), "key long, first int, n int")
 
