@@ -167,12 +167,12 @@ def test_native_lines(frame):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def hot_texts():
+def hot_texts(n=70):
     """A passage that all texts share, with each one's own words around it, and some contexts twice."""
     rng = random.Random(8)
     passage = " ".join(f"p{rng.randrange(900)}" for _ in range(150))
-    own = [" ".join(f"{rng.randrange(10**6)}" for _ in range(80)) for _ in range(60)]
-    return [f"{own[k % 50]} {passage} {own[(7 * k) % 60]}" for k in range(70)]
+    own = [" ".join(f"{rng.randrange(10**6)}" for _ in range(80)) for _ in range(n - 10)]
+    return [f"{own[k % (n - 20)]} {passage} {own[(7 * k) % (n - 10)]}" for k in range(n)]
 
 
 def test_hot_byte_anchor(spark, monkeypatch):
@@ -189,3 +189,34 @@ def test_hot_byte_anchor(spark, monkeypatch):
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(7)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bytesdup.remove_repeated_bytes(docs).collect()}
     assert got == brute_bytes(corpus)
+
+
+def expected_passages(corpus):
+    """(words, words gone, hash) of each text, in order of id."""
+    seen, expect = set(), {}
+    for i, text in sorted(corpus):
+        w = words(text)
+        gone = set()
+        for j in range(len(w) - 19):
+            window = tuple(w[j : j + 20])
+            if window in seen:
+                gone.update(range(j, j + 20))
+            seen.add(window)
+        expect[i] = (len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone)))
+    return expect
+
+
+def test_hot_passage_anchor(spark, monkeypatch):
+    """Distinct contexts of one passage are not collected in a run."""
+    corpus = list(enumerate(hot_texts(400)))
+    monkeypatch.setattr(repeats, "RUN_SUFFIXES", 200)
+    later = repeats._later_occurrences
+
+    def bounded(codes, begins, counts, size):
+        assert sum(counts) <= 3 * 200
+        return later(codes, begins, counts, size)
+
+    monkeypatch.setattr(repeats, "_later_occurrences", bounded)
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
+    assert got == expected_passages(corpus)

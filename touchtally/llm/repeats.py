@@ -14,6 +14,8 @@ earlier: in a document with a smaller id, or before it in the same one.
    takes to get small groups; each group's suffix tree is built from its sorted suffixes
    and their common prefixes. Internal nodes of depth ``size`` or more are the repeats; all
    occurrences but the earliest are marked. Earliest ones stay for the next run.
+   An anchor with more than ``RUN_SUFFIXES`` distinct windows is hot: its windows go apart, each under its
+   own hash, where the first of neighbours with 128 equal bits is the earliest, so no run holds a hot anchor.
 4. Marks return to their documents, as runs of windows.
 
 Documents meet the lists of anchors and of marks on one shuffle of the texts, which the plan
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchtally.llm.common import BATCH_BYTES, Words, mix64, prefix, row_slices, span_hash, string_buffer, words_of, written, _P, _Q
+from touchtally.sources.checkpoints import broadcast_if_small
 
 SIZE = 20
 ANCHOR = 8
@@ -263,6 +266,67 @@ def _segment_rows(size: int):
     return run
 
 
+def _hot_windows(size: int):
+    """Windows of hot anchors, each a row under its own hash; other rows pass.
+
+    ``other`` is the window's second hash. Of equal windows of a batch the earliest is sent, and the others are answered here.
+    """
+
+    def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), dtype=np.uint32)
+        n = part.column("n").to_numpy()
+        owner = np.repeat(np.arange(part.num_rows), n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begins = np.cumsum(n + size - 1) - (n + size - 1)
+        name, other = window_names(mix64(codes.astype(np.uint64)), begins[owner] + inside, size)
+        ids, place = part.column("key").to_numpy()[owner], part.column("first").to_numpy()[owner] + inside
+        order = np.lexsort((place, ids, other, name))
+        head, _ = _first_of_equal(order, name, other)
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        done, send = np.zeros(len(order), dtype=bool), order[head]
+        done[order] = ~head & ((ids[order] != ids[lead]) | (place[order] != place[lead]))
+        yield _window_rows(name[send], ids[send], place[send], np.ones(len(send)), other[send])
+        at, k = _window_runs(done, owner)
+        if len(at):
+            yield _window_rows(_spread(ids[at], place[at]), ids[at], place[at], k, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column("hot").fill_null(False).to_numpy(zero_copy_only=False) & batch.column("codes").is_valid().to_numpy(zero_copy_only=False)
+            cold = batch.filter(pa.array(~hot)).select(["anchor", "key", "first", "n", "codes"])
+            yield pa.record_batch([*cold.columns, pa.nulls(cold.num_rows, pa.int64())], names=[*cold.schema.names, "other"])
+            warm = batch.filter(pa.array(hot))
+            for lo in range(0, warm.num_rows, HOT_SLICE):
+                yield from rows(warm.slice(lo, HOT_SLICE))
+
+    return run
+
+
+def _window_rows(anchor: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
+    rows = len(anchor)
+    return pa.record_batch(
+        [pa.array(anchor.view(np.int64)), pa.array(ids), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.nulls(rows, pa.binary()),
+         pa.nulls(rows, pa.int64()) if other is None else pa.array(other.view(np.int64))],
+        names=["anchor", "key", "first", "n", "codes", "other"],
+    )
+
+
+def _later_windows(rows: pa.RecordBatch, lead: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+    """Marks of windows after the first of their equals, for rows in order; and the first of the last ones."""
+    name, other, ids, place = (rows.column(c).to_numpy() for c in ("anchor", "other", "key", "first"))
+    if lead is not None:
+        name, other, ids, place = (np.append(np.array([x], dtype=np.int64), y) for x, y in zip(lead, (name, other, ids, place)))
+    new = np.ones(len(name), dtype=bool)
+    new[1:] = (name[1:] != name[:-1]) | (other[1:] != other[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+    later = (ids != ids[first]) | (place != place[first])
+    end = int(first[-1])
+    marks = pa.record_batch(
+        [pa.array(ids[later]), pa.array(place[later], pa.int32()), pa.array(np.ones(later.sum()), pa.int32())], names=["key", "first", "n"]
+    )
+    return marks, tuple(int(x[end]) for x in (name, other, ids, place))
+
+
 def prefix_groups(codes: np.ndarray, suffix: np.ndarray, size: int, limit: int) -> Iterator[tuple[int, np.ndarray]]:
     """Groups of suffixes with one prefix, as (prefix length, suffixes); longer prefixes where a group is above ``limit``."""
     waiting = [(0, suffix)]
@@ -344,7 +408,14 @@ def _tree_rows(size: int):
             held, load = stay, sum(h[3] for h in stay)
             return _marks(rows)
 
+        lead: tuple | None = None
         for batch in batches:
+            if "other" in batch.schema.names:
+                windows = batch.filter(batch.column("other").is_valid())
+                batch = batch.filter(batch.column("other").is_null())
+                if windows.num_rows:
+                    later, lead = _later_windows(windows, lead)
+                    yield later
             done = batch.filter(batch.column("codes").is_null())
             if done.num_rows:
                 yield done.select(["key", "first", "n"])
@@ -380,7 +451,11 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places, hot = _repeated_places(keyed.mapInArrow(_anchor_rows(size), _ANCHOR), RUN_SUFFIXES, "passage-places")
     segments = keyed.join(places.hint("shuffle_hash"), "key").mapInArrow(_segment_rows(size), _SEGMENT)
-    return segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "key", "first").mapInArrow(_tree_rows(size), "key long, first int, n int")
+    order = ["anchor", "key", "first"]
+    if not hot.isEmpty():
+        segments = segments.join(broadcast_if_small(hot, MAX_BROADCAST_ANCHORS), "anchor", "left").mapInArrow(_hot_windows(size), _SEGMENT + ", other long")
+        order.insert(1, "other")
+    return segments.repartition(parts, "anchor").sortWithinPartitions(*order).mapInArrow(_tree_rows(size), "key long, first int, n int")
 
 
 def _without(size: int):
