@@ -220,3 +220,19 @@ def test_hot_passage_anchor(spark, monkeypatch):
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(7)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
     assert got == expected_passages(corpus)
+
+
+def test_line_minima_are_independent(spark):
+    """Short lines at similarity 0.8 meet as often as 30 independent minima let them: 0.1 % share no band."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(1500):
+        # 25 shingles in the union: 20 of both, 5 of the longer line only.
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32))
+        rows += [(2 * k, line), (2 * k + 1, line[:27])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = {r.name: r.doc_id for r in linedup.exploded_lines(docs).select("doc_id", "name").collect()}
+    minima = {names[r.name]: [r[f"m{i}"] for i in range(30)] for r in linedup.signatures(docs).collect()}
+    equal = [[x == y for x, y in zip(minima[2 * k], minima[2 * k + 1])] for k in range(1500)]
+    assert sum(not any(all(e[b : b + 3]) for b in range(0, 30, 3)) for e in equal) <= 5
+    assert all(sum(e) >= linedup.AGREEING for e in equal)

@@ -2,8 +2,8 @@
 
 1. Lines with a word are named by a 64-bit hash (a second hash finds the rare name that two
    texts share; such lines are left alone). Each of a line's 8-character shingles is hashed once,
-   and ``BANDS * ROWS`` minima over that hash, XORed with fixed seeds, are the
-   signature. One aggregate keyed by the line's name makes signatures and merges equal
+   and ``BANDS * ROWS`` minima over that hash, times a fixed odd factor and plus a summand
+   of each row's own, are the signature. One aggregate keyed by the line's name makes signatures and merges equal
    lines, before the shuffle already.
 2. A band of three equal minima puts lines into one bucket: a pair at similarity 0.8 meets
    with probability 0.999. Every line meets its bucket's first. Pairs
@@ -46,7 +46,8 @@ PAIRS_PER_TASK = 1500
 MAX_TASKS = 20_000
 # Line names are one long each.
 MAX_BROADCAST_NAMES = 1_000_000
-_SEEDS = [random.Random(f"line-{i}").getrandbits(31) for i in range(BANDS * ROWS)]
+# Odd factor and summand of each row's mix of the shingle's hash.
+_MIXES = [(r.getrandbits(31) | 1, r.getrandbits(31)) for r in (random.Random(f"line-{i}") for i in range(BANDS * ROWS))]
 
 
 def exploded_lines(docs: DataFrame) -> DataFrame:
@@ -70,15 +71,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     rows = lines.select("name", "other", "coded", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * PER_ROW))).alias("at"))
     places = [F.least(F.col("at") + 2 * k, F.col("last")) for k in range(PER_ROW)]
     hashed = rows.select("name", "other", *[
-        F.hash(F.substring(F.col("coded"), place, F.lit(2 * SHINGLE))).alias(f"h{k}") for k, place in enumerate(places)
+        F.hash(F.substring(F.col("coded"), place, F.lit(2 * SHINGLE))).cast("long").alias(f"h{k}") for k, place in enumerate(places)
     ])
     hashes = [F.col(f"h{k}") for k in range(PER_ROW)]
     return hashed.groupBy("name").agg(
         F.min("other").alias("other"), F.max("other").alias("other_high"),
-        *[F.min(F.least(*[h.bitwiseXOR(F.lit(seed)) for h in hashes])).alias(f"m{i}") for i, seed in enumerate(_SEEDS)],
+        *[F.min(F.least(*[_mixed(h, *mix) for h in hashes]).cast("int")).alias(f"m{i}") for i, mix in enumerate(_MIXES)],
     )
 
 
+def _mixed(h: Column, factor: int, summand: int) -> Column:
+    """31 bits of a 32-bit hash held as long; the product stays below 2**62."""
+    return (h * F.lit(factor).cast("long") + F.lit(summand).cast("long")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+
+
 def _agreeing(a: str, b: str) -> Column:
     equal = [(F.col(f"{a}.m{i}") == F.col(f"{b}.m{i}")).cast("int") for i in range(BANDS * ROWS)]
     total = equal[0]
