@@ -236,3 +236,30 @@ def test_line_minima_are_independent(spark):
     equal = [[x == y for x, y in zip(minima[2 * k], minima[2 * k + 1])] for k in range(1500)]
     assert sum(not any(all(e[b : b + 3]) for b in range(0, 30, 3)) for e in equal) <= 5
     assert all(sum(e) >= linedup.AGREEING for e in equal)
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    """Ids, null too, with several texts: what is repeated in one is not in the other."""
+    rng = random.Random(6)
+    shared, *own = (" ".join(f"{rng.randrange(10**6)}" for _ in range(90)) for _ in range(5))
+    rows = [(1, shared), (None, shared), (None, own[0]), (7, own[1] + "\n" + shared), (7, own[2] + "\n" + own[3])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_texts_under_one_id(twins):
+    rows, docs = twins
+    size = {text: (len(words(text)), len(text)) for _, text in rows}
+    shared = rows[0][1]
+    # Of the shared passage the row without an id keeps its words; bytes go from all three.
+    passages = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in repeats.remove_repeats(docs).collect())
+    assert passages == sorted((i or 0, size[t][0], 90 if shared in t and i else 0) for i, t in rows)
+    strings = sorted((r.doc_id or 0, r.n_bytes, r.n_removed > 0) for r in bytesdup.remove_repeated_bytes(docs).collect())
+    assert strings == sorted((i or 0, size[t][1], shared in t) for i, t in rows)
+
+
+def test_lines_under_one_id(twins):
+    rows, docs = twins
+    shared = rows[0][1]
+    got = sorted((r.doc_id or 0, r.text) for r in linedup.dedup_lines(docs).collect())
+    assert got == sorted((i or 0, t.replace("\n" + shared, "").replace(shared, "") if i else t) for i, t in rows)

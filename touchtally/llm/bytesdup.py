@@ -18,7 +18,7 @@ anywhere else, in the same document or another.
 The texts are shuffled once; the plan uses that shuffle twice.
 
 Cases: null text counts as empty; texts below ``size`` bytes have no window; repeated rows are
-documents of their own, so both lose what they share; null doc_id is a key like others; texts of any
+documents of their own, so both lose what they share; null doc_id is an id like others, and one id may have several texts; texts of any
 length are read whole; an empty table gives an empty result.
 """
 
@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import _P, _RANDOM_BYTE, prefix, row_slices, span_hash, string_buffer
+from touchtally.llm.common import _P, _RANDOM_BYTE, prefix, row_keys, row_slices, span_hash, string_buffer, without_row_key
 from touchtally.llm.induced import suffix_array
 from touchtally.llm.repeats import (
-    HOT_SLICE, MAX_BROADCAST_ANCHORS, NO_ID, _ANCHOR, _first_of_equal, _keyed, _loads, _repeated_places, _spread, _window_runs, window_names,
+    HOT_SLICE, MAX_BROADCAST_ANCHORS, _ANCHOR, _first_of_equal, _keyed, _loads, _repeated_places, _spread, _window_runs, window_names,
 )
 from touchtally.sources.checkpoints import broadcast_if_small
 
@@ -289,10 +289,9 @@ def _sorted_rows(size: int):
     return run
 
 
-def repeated_runs(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """key (doc_id, null as the smallest long), first and n: runs of repeated windows by first byte."""
-    keyed = _keyed(docs)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def repeated_runs(keyed: DataFrame, size: int = SIZE) -> DataFrame:
+    """key, first and n: runs of repeated windows by first byte."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places, hot = _repeated_places(keyed.mapInArrow(_anchor_rows(size), _ANCHOR), SHARD_BYTES, "byte-places")
     segments = keyed.join(places.hint("shuffle_hash"), "key").mapInArrow(_segment_rows(size), _SEGMENT)
     order = ["anchor"]
@@ -334,7 +333,9 @@ def _without(size: int):
 
 def remove_repeated_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every row."""
-    marks = repeated_runs(docs, size).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
-    joined = _keyed(docs).join(marks.hint("shuffle_hash"), "key", "left")
+    keys = row_keys(docs)
+    keyed = _keyed(docs, keys)
+    marks = repeated_runs(keyed, size).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    joined = keyed.join(marks.hint("shuffle_hash"), "key", "left")
     out = joined.mapInArrow(_without(size), "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    return without_row_key(out, keys).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")

@@ -22,6 +22,8 @@ from touchtally.sources.checkpoints import _ensure_folder
 # A word, as all contracts on word counts state it.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 1 << 20
+# Stands for a null doc_id in keys; it comes first.
+NO_ID = -(2**63)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,6 +50,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _row_name(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_twin", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def row_keys(docs: DataFrame) -> DataFrame | None:
+    """A key for each doc_id and text, in order of doc_id, if one doc_id (null too) has several texts; else None."""
+    named = _row_name(docs.select("doc_id", "text")).select("_doc", "_twin")
+    several = named.groupBy("_doc").agg(F.min("_twin").alias("low"), F.max("_twin").alias("high")).filter("low <> high")
+    if several.isEmpty():
+        return None
+    return written(named.distinct().orderBy("_doc", "_twin").withColumn("_key", F.monotonically_increasing_id()), "row-keys")
+
+
+def with_row_key(docs: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """docs with ``_key``: the row's key, or the doc_id (null as the smallest long) where that names one text."""
+    if keys is None:
+        return docs.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID)))
+    return _row_name(docs).join(keys, ["_doc", "_twin"]).drop("_doc", "_twin")
+
+
+def without_row_key(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """rows with the doc_id of their ``key``."""
+    if keys is not None:
+        rows = rows.join(keys.select(F.col("_key").alias("key"), "_doc"), "key").withColumn("key", F.col("_doc")).drop("_doc")
+    return rows.withColumn("doc_id", F.nullif("key", F.lit(NO_ID)))
+
+
 def word_count(text="text"):
     """Words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -16,7 +16,8 @@
 
 Cases: lines without a word stay; lines shorter than a shingle are one shingle; null text stays null;
 a text that loses all its lines becomes empty and its row stays; repeated rows count
-as one document: their equal lines stay or go together; null doc_id comes first;
+as one document: their equal lines stay or go together; other texts under one doc_id are documents
+of their own, in order of their hash; null doc_id comes first;
 texts of any length are read whole.
 Characters are UTF-16 units. An empty table gives an empty result; other columns pass through.
 """
@@ -28,7 +29,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import WORD, written
+from touchtally.llm.common import WORD, row_keys, with_row_key, written
 from touchtally.llm.components import components
 from touchtally.sources.checkpoints import broadcast_if_small
 
@@ -194,8 +195,10 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their kept lines as ``text``, and n_lines and n_removed."""
-    dropped = written(line_decisions(docs), "line-dropped").select(F.col("doc_id").alias("_doc"), F.col("dropped").alias("_dropped"))
-    joined = docs.drop("n_lines", "n_removed").join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    keyed = with_row_key(docs.drop("n_lines", "n_removed"), row_keys(docs))
+    decided = line_decisions(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    dropped = written(decided, "line-dropped").select(F.col("doc_id").alias("_key"), F.col("dropped").alias("_dropped"))
+    joined = keyed.join(dropped, "_key", "left").drop("_key")
     lines = F.split("text", "\n")
     kept = F.array_join(
         F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("no")),

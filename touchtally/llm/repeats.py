@@ -22,9 +22,9 @@ Documents meet the lists of anchors and of marks on one shuffle of the texts, wh
 uses twice. Anchors and segments that a task has already answered get random keys,
 so no key is hot.
 
-Cases: null and short texts have no window; repeated rows, with equal ids, are one
-document, whose windows do not mark each other; null doc_id is the smallest id; texts of
-any length are read whole; an empty table gives an empty result.
+Cases: null and short texts have no window; repeated rows, with equal ids and texts, are one
+document, whose windows do not mark each other; other texts under one id are documents of their own,
+in order of their hash; null doc_id is the smallest id; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import BATCH_BYTES, Words, mix64, prefix, row_slices, span_hash, string_buffer, words_of, written, _P, _Q
+from touchtally.llm.common import (
+    BATCH_BYTES, Words, mix64, prefix, row_keys, row_slices, span_hash, string_buffer, with_row_key, without_row_key, words_of, written, _P, _Q,
+)
 from touchtally.sources.checkpoints import broadcast_if_small
 
 SIZE = 20
@@ -45,7 +47,6 @@ ANCHOR = 8
 # Suffixes of one run and of one prefix group.
 RUN_SUFFIXES = 1 << 19
 GROUP_SUFFIXES = 1 << 14
-NO_ID = -(2**63)
 # Segments of hot anchors whose windows are compared at once.
 HOT_SLICE = 2000
 # Hot anchors are one long each.
@@ -441,14 +442,13 @@ def _marks(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "first", "n"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("key"), "text")
+def _keyed(docs: DataFrame, keys: DataFrame | None) -> DataFrame:
+    return with_row_key(docs.select("doc_id", "text"), keys).select(F.col("_key").alias("key"), "text")
 
 
-def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """key (doc_id, null as the smallest long), first and n: runs of repeated windows by first word."""
-    keyed = _keyed(docs)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def repeated_windows(keyed: DataFrame, size: int = SIZE) -> DataFrame:
+    """key, first and n: runs of repeated windows by first word."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places, hot = _repeated_places(keyed.mapInArrow(_anchor_rows(size), _ANCHOR), RUN_SUFFIXES, "passage-places")
     segments = keyed.join(places.hint("shuffle_hash"), "key").mapInArrow(_segment_rows(size), _SEGMENT)
     order = ["anchor", "key", "first"]
@@ -490,7 +490,9 @@ def _without(size: int):
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256 of every row."""
-    marks = repeated_windows(docs, size).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
-    joined = _keyed(docs).join(marks.hint("shuffle_hash"), "key", "left")
+    keys = row_keys(docs)
+    keyed = _keyed(docs, keys)
+    marks = repeated_windows(keyed, size).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    joined = keyed.join(marks.hint("shuffle_hash"), "key", "left")
     out = joined.mapInArrow(_without(size), "key long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return out.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256")
+    return without_row_key(out, keys).select("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")
