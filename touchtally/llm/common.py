@@ -37,6 +37,12 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own, not made yet, in the shared checkpoint folder."""
+    _ensure_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -44,8 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     survives lost executors.
     """
     spark = df.sparkSession
-    _ensure_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchtally.llm import bytesdup, cws, language, linedup, mixing, neardup, passages, pieces, repeats, rules
-from touchtally.llm.common import read_documents, word_count, written
+from touchtally.llm import bytesdup, cws, language, linedup, manifest, mixing, neardup, passages, pieces, repeats, rules, tokencache, whitening
+from touchtally.llm.common import new_folder, read_documents, word_count, written
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,23 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of ``documents``: proofs of all rows, and what a tampered row folds to."""
+    return manifest.manifest(read_documents(spark, sf_dir)).drop("position", "tree", "tampered_leaf")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable rows of ``embeddings`` on the four leading components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str, model: str = pieces.MODEL, cache: str | None = None) -> DataFrame:
+    """Tokens of all ``documents``. Without a cache folder a new one is begun, so that a run's work doesn't depend on earlier runs."""
+    version = tokencache.TokenizerVersion.load(model)
+    counted = tokencache.token_counts(read_documents(spark, sf_dir), version, cache or new_folder(spark, "token-cache"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokencache.TOKEN_LIMIT).alias("over_limit"))
+
+
 LLM_QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op10_fingerprints": op10_fingerprints,
@@ -76,6 +93,9 @@ LLM_QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_counts": op13_token_counts,
 }
 
 _OP5 = r"""
@@ -156,7 +176,42 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)
 FROM d LEFT JOIN t USING (doc_id)
 """
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+# The crc32 goes bit by bit over the digits of doc_id.
+_OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF} AS head, text,
+  list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))) AS crc FROM documents),
+e AS (SELECT doc_id, source, sha256(head || {_FIELD.format('text')}) AS leaf, sha256(head || {_FIELD.format("replace(text, chr(10), '')")}) AS other,
+  coalesce(xor(crc, 4294967295) % 2 = 0, false) AS bad FROM d),
+l AS (SELECT doc_id, source, leaf, CASE WHEN bad THEN other ELSE leaf END AS shown,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM e),
+n(source, lvl, pos, m, h) AS (SELECT source, 0, pos, m, leaf FROM l
+  UNION ALL SELECT source, lvl + 1, pos // 3, (m + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM n WHERE m > 1 GROUP BY source, lvl, pos // 3, m),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS m FROM n WHERE m = 1),
+t(lvl, pos, m, h) AS (SELECT 0, pos, m, h FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, (m + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE m > 1 GROUP BY lvl, pos // 3, m),
+a AS (SELECT x.source, x.lvl, x.pos, y.pos AS sib, y.h FROM n x JOIN n y ON x.source IS NOT DISTINCT FROM y.source AND x.lvl = y.lvl AND x.pos // 3 = y.pos // 3 WHERE x.m > 1),
+b AS (SELECT x.lvl, x.pos, y.pos AS sib, y.h FROM t x JOIN t y ON x.lvl = y.lvl AND x.pos // 3 = y.pos // 3 WHERE x.m > 1),
+w(source, leafpos, pos, lvl, m, h) AS (SELECT source, pos, pos, 0, m, shown FROM l
+  UNION ALL SELECT w.source, w.leafpos, w.pos // 3, w.lvl + 1, (w.m + 2) // 3, sha256(string_agg(CASE WHEN a.sib = w.pos THEN w.h ELSE a.h END, '' ORDER BY a.sib))
+  FROM w JOIN a ON a.source IS NOT DISTINCT FROM w.source AND a.lvl = w.lvl AND a.pos = w.pos GROUP BY w.source, w.leafpos, w.pos, w.lvl, w.m),
+v(source, leafpos, pos, lvl, m, h) AS (SELECT w.source, w.leafpos, s.pos, 0, s.m, w.h FROM w JOIN s ON s.source IS NOT DISTINCT FROM w.source WHERE w.m = 1
+  UNION ALL SELECT v.source, v.leafpos, v.pos // 3, v.lvl + 1, (v.m + 2) // 3, sha256(string_agg(CASE WHEN b.sib = v.pos THEN v.h ELSE b.h END, '' ORDER BY b.sib))
+  FROM v JOIN b ON b.lvl = v.lvl AND b.pos = v.pos GROUP BY v.source, v.leafpos, v.pos, v.lvl, v.m),
+g AS (SELECT w.source, w.leafpos, string_agg(a.h, '' ORDER BY a.lvl, a.sib) AS own
+  FROM w JOIN a ON a.source IS NOT DISTINCT FROM w.source AND a.lvl = w.lvl AND a.pos = w.pos AND a.sib <> w.pos GROUP BY w.source, w.leafpos),
+k AS (SELECT v.source, v.leafpos, string_agg(b.h, '' ORDER BY b.lvl, b.sib) AS top FROM v JOIN b ON b.lvl = v.lvl AND b.pos = v.pos AND b.sib <> v.pos GROUP BY v.source, v.leafpos)
+SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM t WHERE m = 1) AS root, sha256(coalesce(g.own, '') || coalesce(k.top, '')) AS proof_sha256,
+  v.h AS folded_root, v.h = (SELECT h FROM t WHERE m = 1) AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN v ON v.source IS NOT DISTINCT FROM l.source AND v.leafpos = l.pos AND v.m = 1
+LEFT JOIN g ON g.source IS NOT DISTINCT FROM l.source AND g.leafpos = l.pos LEFT JOIN k ON k.source IS NOT DISTINCT FROM l.source AND k.leafpos = l.pos
+"""
+
 LLM_ORACLES = {
+    "op11_merkle_manifest": _OP11,
     "op2_near_duplicates": _OP2,
     "op3_substring_dedup": _OP3,
     "op5_mix_sources": _OP5,
