@@ -1,11 +1,14 @@
+import math
 from dataclasses import replace
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from frames import CFG, DAY0, conversions, from_specs, touches
 from touchtally.operators import journeys, markov, rules, shapley, value
+from touchtally.plans.attribution import AttributionRun
 
 CH = CFG.channels
 
@@ -17,13 +20,21 @@ def shap(spark, specs):
     return values, phi, {r.channel: (r.phi, r.share) for r in phi.collect()}
 
 
-def test_markov_total_removal(spark):
-    facts = from_specs(spark, [(("google",), True, 50), (("meta",), False, 50)])
-    rows = {r.channel: r for r in markov.markov_attribution(facts, CH).collect()}
-    assert rows["google"].base_probability == pytest.approx(0.5)
-    assert rows["google"].removal_effect == pytest.approx(1.0)
-    assert rows["meta"].removal_effect == pytest.approx(0.0)
-    assert rows["google"].share == pytest.approx(1.0)
+LOOP = [(("meta", "email", "meta"), True, 2), (("email",), True, 1), (("meta",), False, 1), (("tiktok", "email"), False, 2)]
+
+
+def test_markov_with_a_loop_by_hand(spark):
+    """meta and email lead to each other and both to the end; meta opens and closes a path.
+
+    From meta the end is reached with m = 2/5 e + 2/5, from email with e = 2/5 m + 1/5: m = 4/7 and e = 3/7. The start
+    goes to meta 3, email 1 and tiktok 2 times of 6, so 1/2 converts; 1/10 without meta, 1/5 without email, 5/14 without tiktok.
+    """
+    rows = {r.channel: r for r in markov.markov_attribution(from_specs(spark, LOOP), CH).collect()}
+    assert all(r.base_probability == pytest.approx(1 / 2) for r in rows.values())
+    without = {"meta": 1 / 10, "email": 1 / 5, "tiktok": 5 / 14, "google": 1 / 2, "referral": 1 / 2}
+    assert {c: r.probability_without for c, r in rows.items()} == pytest.approx(without)
+    shares = {"meta": 28 / 59, "email": 21 / 59, "tiktok": 10 / 59, "google": 0, "referral": 0}
+    assert {c: r.share for c, r in rows.items()} == pytest.approx(shares)
 
 
 def test_transition_rows_add_up_with_loops_and_unvisited_states(spark):
@@ -45,17 +56,102 @@ def test_markov_without_conversions_gives_a_reason(spark):
     assert len(rows) == 5 and all(r.share is None and r.reason == "no path converts" for r in rows)
 
 
-def test_shapley_efficiency(spark):
-    specs = [(("google", "meta"), True, 25), (("meta",), False, 25), (("email",), True, 25), (("tiktok", "email"), False, 25)]
-    values, phi, _ = shap(spark, specs)
+def test_shapley_by_hand(spark):
+    """Rates 1/4 for google, 1/2 email, 0 referral, 1/2 for google and email, 5/12 google and referral, 1/3 email and referral, 1/2 for all."""
+    sets = [(("google",), 4, 1), (("email",), 6, 3), (("email", "google"), 2, 2), (("referral",), 3, 0), (("referral", "google"), 5, 4)]
+    specs = [(s, True, c) for s, _, c in sets if c] + [(s, False, n - c) for s, n, c in sets if n > c]
+    values, phi, got = shap(spark, specs)
+    expected = {"google": 5 / 24, "email": 7 / 24, "referral": 0, "meta": 0, "tiktok": 0}
+    assert {c: v for c, (v, _) in got.items()} == pytest.approx(expected)
+    assert {c: v for c, (_, v) in got.items()} == pytest.approx({"google": 5 / 12, "email": 7 / 12, "referral": 0, "meta": 0, "tiktok": 0})
     assert shapley.efficiency_residual(phi, values, CH).first().residual < 1e-12
 
 
-def test_shapley_symmetry(spark):
-    specs = [(("google",), True, 20), (("meta",), True, 20), (("google", "meta"), True, 20), (("google",), False, 20),
-             (("meta",), False, 20)]
+def test_shapley_follows_names(spark):
+    """Renaming channels renames the values, also when the new names are in another order."""
+    specs = [(("google", "tiktok"), True, 7), (("tiktok",), False, 9), (("referral", "google"), True, 3), (("referral",), False, 2)]
+    names = {"google": "referral", "tiktok": "google", "referral": "meta"}
     _, _, got = shap(spark, specs)
-    assert got["google"][0] == pytest.approx(got["meta"][0])
+    _, _, moved = shap(spark, [(tuple(names[c] for c in path), *rest) for path, *rest in specs])
+    assert {names[c]: got[c][0] for c in names} == pytest.approx({names[c]: moved[names[c]][0] for c in names})
+
+
+def exact_phi(sets, n):
+    """Shapley values of the conversion rate game by numpy over all coalitions; sets are {mask: (journeys, conversions)}."""
+    support, won = np.zeros(1 << n), np.zeros(1 << n)
+    for mask, (journeys, conversions) in sets.items():
+        support[mask] += journeys
+        won[mask] += conversions
+    every = np.arange(1 << n)
+    for i in range(n):
+        with_i = every[every >> i & 1 == 1]
+        support[with_i] += support[with_i ^ (1 << i)]
+        won[with_i] += won[with_i ^ (1 << i)]
+    value = np.divide(won, support, out=np.zeros(1 << n), where=support > 0)
+    size = np.array([bin(c).count("1") for c in range(1 << n)])
+    weight = np.array([math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n) if k < n else 0 for k in range(n + 1)])
+    out = []
+    for i in range(n):
+        outside = every[every >> i & 1 == 0]
+        out.append(float((weight[size[outside]] * (value[outside | 1 << i] - value[outside])).sum()))
+    return out
+
+
+def random_sets(rng, n, k):
+    sets = {}
+    for _ in range(k):
+        mask = sum(1 << int(i) for i in rng.choice(n, rng.integers(1, 5), replace=False))
+        journeys = int(rng.integers(1, 40))
+        sets[mask] = (journeys, int(rng.integers(0, journeys + 1)))
+    return sets
+
+
+def as_facts(spark, sets, bits, **more):
+    """Facts of channel sets, bit i of a mask moved to bits[i]."""
+    rows = [(sum(1 << b for i, b in enumerate(bits) if m >> i & 1), n, c, *more.values()) for m, (n, c) in sets.items()]
+    return spark.createDataFrame(rows, ", ".join(["channel_mask long, journeys long, conversions long", *[f"{k} string" for k in more]]))
+
+
+def test_unseen_channels_leave_the_game(spark):
+    """Thirty declared channels of which twelve are seen: the exact values, zeros for the others."""
+    rng = np.random.default_rng(2)
+    sets, bits = random_sets(rng, 12, 60), sorted(rng.choice(30, 12, replace=False).tolist())
+    sets[(1 << 12) - 1] = (5, 2)
+    names = [f"c{i}" for i in range(30)]
+    rows = {r.channel: r for r in shapley.shapley_credit(as_facts(spark, sets, bits), names).collect()}
+    expected = dict.fromkeys(names, 0.0) | {f"c{b}": v for b, v in zip(bits, exact_phi(sets, 12))}
+    assert {c: r.phi for c, r in rows.items()} == pytest.approx(expected, abs=1e-12)
+    assert all(r.standard_error == 0 for r in rows.values()) and sum(r.share for r in rows.values()) == pytest.approx(1)
+
+
+def test_sampled_values_cover_exact_ones(spark):
+    """Twenty-two seen channels, above the limit: intervals of 4 standard errors hold the exact values, and the sum is exact."""
+    n = 22
+    sets = random_sets(np.random.default_rng(3), n, 150)
+    sets[(1 << n) - 1] = (20, 9)
+    names = [f"c{i}" for i in range(25)]
+    rows = {r.channel: r for r in shapley.shapley_credit(as_facts(spark, sets, range(n)), names).collect()}
+    exact = exact_phi(sets, n)
+    assert all(rows[f"c{i}"].standard_error > 0 for i in range(n)) and rows["c24"].phi == rows["c24"].standard_error == 0
+    assert all(abs(rows[f"c{i}"].phi - exact[i]) <= 4 * rows[f"c{i}"].standard_error for i in range(n))
+    total = sum(c for _, c in sets.values()) / sum(j for j, _ in sets.values())
+    assert sum(r.phi for r in rows.values()) == pytest.approx(total)
+
+
+def test_sampling_25_equal_channels_and_segments(spark):
+    """Exchangeable channels have equal values; a segment is sampled apart from others."""
+    n = 25
+    equal = {1 << i: (10, 3) for i in range(n)} | {1 << i | 1 << (i + 1) % n: (4, 3) for i in range(n)}
+    one = {1: (5, 5), 1 << 24: (5, 0)}
+    facts = as_facts(spark, equal, range(n), seg="a").unionByName(as_facts(spark, one, range(n), seg="b"))
+    rows = shapley.shapley_credit(facts.repartition(3), [f"c{i}" for i in range(n)], ["seg"], blocks=40).collect()
+    value = (3 * n + 3 * n) / (14 * n)
+    a = [r for r in rows if r.seg == "a"]
+    assert len(rows) == 2 * n and all(abs(r.phi - value / n) <= 4.5 * r.standard_error + 1e-12 for r in a)
+    b = {r.channel: r.phi for r in rows if r.seg == "b"}
+    assert b["c0"] == pytest.approx(0.75, abs=0.12) and sum(b.values()) == pytest.approx(0.5)
+    with pytest.raises(ValueError):
+        shapley.shapley_credit(facts, [f"c{i}" for i in range(64)], ["seg"])
 
 
 def test_shapley_null_players(spark):
@@ -219,3 +315,116 @@ def test_credit_that_is_not_conserved_fails_the_report(spark, monkeypatch):
     assert value.attribution_shares(facts, CFG, ["linear"]).count() > 0
     with pytest.raises(Exception, match="not conserved by half"):
         value.attribution_shares(facts, CFG, ["half"]).collect()
+
+
+# --- segments ------------------------------------------------------------------------
+
+
+def _segmented(spark):
+    """Two segments with conversions and one without; users of a segment are apart."""
+    rows, bought, user = [], [], 0
+    for seg, specs in {"x": MIXED, "y": LOOP, "z": [(("meta", "email"), False, 4)], None: [(("google",), True, 2)]}.items():
+        for path, converts, copies in specs:
+            for _ in range(copies):
+                user += 1
+                rows += [(user, c, DAY0 + timedelta(days=i), seg) for i, c in enumerate(path)]
+                if converts:
+                    bought.append((user, DAY0 + timedelta(days=len(path))))
+    log = spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "touch_id long, user_id long, channel string, ts timestamp_ntz, seg string"
+    )
+    return log, conversions(spark, bought)
+
+
+MONTHLY = {"google": 100.0, "meta": 300.0, "email": 50.0, "referral": 20.0, "tiktok": 10.0}
+
+
+def test_reports_per_segment_equal_runs_of_each(spark):
+    log, bought = _segmented(spark)
+    run = AttributionRun.start(log, bought, CFG, ["seg"])
+    spend = _spend(spark, MONTHLY)
+    truth = spark.createDataFrame([(c, 0.2) for c in CH], "channel string, true_share double")
+
+    def reports(r, keep=None):
+        frames = {
+            "shares": r.shares(), "matrix": r.attribution_matrix(), "value": r.credited_value(), "roi": r.roi(spend), "plan": r.reallocation(spend, "markov"),
+            "mis": r.misallocation(spend), "truth": r.recovery(truth),
+        }
+        # Shapley weights depend on how many channels the other segments have seen, so the last bits may differ.
+        def told(row):
+            return str([round(x, 9) + 0.0 if isinstance(x, float) else x for x in row])
+
+        return {k: sorted(map(told, (f if keep is None else f.where(keep).drop("seg")).collect())) for k, f in frames.items()}
+
+    for seg in ("y", None):
+        here = F.col("seg").eqNullSafe(F.lit(seg))
+        alone = reports(AttributionRun.start(log.where(here), bought, CFG))
+        assert reports(run, here) == alone
+
+
+def test_a_segment_without_conversion_says_why(spark):
+    log, bought = _segmented(spark)
+    run = AttributionRun.start(log, bought, CFG, ["seg"])
+    shares = run.shares().where("seg = 'z'").collect()
+    assert len(shares) == 35 and all(r.share is None for r in shares)
+    assert {r.model: r.reason for r in shares} == dict.fromkeys(rules.RULES, "no journey converts") | {
+        "markov": "no path converts", "shapley": "no channel adds value"}
+    plan = run.reallocation(_spend(spark, MONTHLY)).where("seg = 'z'").collect()
+    assert len(plan) == 5 and all(r.proposed_spend is None and r.reason == "the model gives no value shares" for r in plan)
+    assert all(r.reason is None for r in run.shares().where("seg <> 'z'").collect())
+
+
+def test_spend_of_a_segment(spark):
+    """A log with the segment's columns gives each segment its own spend and months; a segment it lacks has no basis."""
+    log, bought = _segmented(spark)
+    spend = _spend(spark, {"google": 60.0}, 30).withColumn("seg", F.lit("x")).unionByName(
+        _spend(spark, {"meta": 40.0, "radio": 1.0}, 15).withColumn("seg", F.lit("y")))
+    run = AttributionRun.start(log, bought, CFG, ["seg"])
+    rows = {(r.seg, r.channel): r for r in run.roi(spend, ["linear"]).collect()}
+    assert rows["x", "google"].monthly_spend == pytest.approx(60) and rows["y", "meta"].monthly_spend == pytest.approx(80)
+    assert rows["y", "google"].monthly_spend == 0 and rows["y", "google"].reason is None
+    linear = {(r.seg, r.channel): r.conversions for r in run.credited_value(["linear"]).collect()}
+    assert rows["y", "email"].credited_conversions == pytest.approx(linear["y", "email"] / 0.5)
+    assert rows["z", "meta"].reason == rows[None, "meta"].reason == "no spend in the segment: no monthly basis"
+    assert rows[None, "google"].credited_conversions is None
+
+
+def test_spend_is_read_once(spark, tmp_path):
+    facts = from_specs(spark, MIXED)
+    _spend(spark, MONTHLY).write.parquet(str(tmp_path / "spend"))
+    roi = value.roi_table(value.credited_value(facts, CFG, ["linear"]), spark.read.parquet(str(tmp_path / "spend")), CH)
+    plan = roi._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Expand" not in plan
+
+
+def test_days_before_1970_and_far_apart(spark):
+    from datetime import date
+
+    rows = [(date(y, 1, 1), "google", "x", 10.0, 1, 1) for y in (1, 1890, 1969, 1970, 2026, 9999)] + [(None, "google", "x", 40.0, 1, 1), (date(2026, 1, 1), "radio", "x", None, 1, 1)]
+    spend = spark.createDataFrame(rows, "date date, channel string, campaign string, spend double, impressions long, clicks long")
+    got = {r.channel: r for r in value.spend_basis(spend, CH).collect()}
+    assert got["google"].monthly_spend == pytest.approx(100.0 / (6 / 30)) and got["google"].months == pytest.approx(6 / 30)
+
+
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_results_do_not_depend_on_tasks(spark, partitions):
+    """Thirds and sevenths, summed in any order, give the same bits."""
+    specs = [(tuple(CH[(i + k) % 5] for k in range(i % 7 + 1)), i % 3 > 0, 1) for i in range(60)]
+    rows, bought = [], []
+    for user, (path, converts, _) in enumerate(specs):
+        rows += [(user, c, DAY0 + timedelta(hours=i)) for i, c in enumerate(path)]
+        if converts:
+            bought.append((user, DAY0 + timedelta(days=1), 0.1 * user + 0.01, user % 5 == 0))
+    spend = _spend(spark, MONTHLY)
+
+    def bits(parts):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            run = AttributionRun.start(touches(spark, rows).repartition(parts), conversions(spark, bought).repartition(parts), CFG)
+            frames = run.roi(spend.repartition(parts)), run.shares()
+            return [sorted(map(repr, f.collect())) for f in frames]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    assert bits(partitions) == bits(1)

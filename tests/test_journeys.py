@@ -121,7 +121,7 @@ def test_path_summary_ties_and_length(spark):
     rows = [(u, c, DAY0 + timedelta(hours=i)) for u, path in enumerate(["ab", "ab", "c", "b", "b"], 1)
             for i, c in enumerate(path)]
     data = (touches(spark, rows), conversions(spark, [(u, DAY0 + timedelta(days=1)) for u in range(1, 6)]))
-    top = journeys.path_summary(journeys.journey_paths(kept(spark, data=data), CFG), 2).collect()
+    top = journeys.path_summary(kept(spark, data=data), 2).collect()
     assert [(r.path, r.conversions, r.revenue, r.path_length) for r in top] == [
         ("a > b", 2, 192.0, 2), ("b", 2, 192.0, 1),
     ]
@@ -205,34 +205,138 @@ def test_sliced_users_give_the_same_results(spark):
 
 def test_slices_are_small_and_ordered(spark):
     parts = kept(spark, replace(CFG, hot_user_rows=20), _skewed(spark))
-    sizes = parts.hot.groupBy("user_id", "slice").count()
-    assert sizes.count() > 20
-    assert sizes.agg(F.max("count")).first()[0] <= 200
-    bounds = parts.hot.groupBy("slice").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("slice").collect()
+    hot = parts.touches.where("slice > 0")
+    sizes = hot.groupBy("user_id", "slice").count()
+    assert sizes.count() > 15
+    assert sizes.agg(F.max("count")).first()[0] <= 20
+    place = F.struct("ts", "touch_id")
+    bounds = hot.groupBy("slice").agg(F.min(place).alias("a"), F.max(place).alias("b")).orderBy("slice").collect()
     assert all(x.b < y.a for x, y in zip(bounds, bounds[1:]))
-    assert parts.regular.where("user_id = 7").count() == 0
+    assert {r.user_id for r in hot.select("user_id").distinct().collect()} == {7}
+    assert parts.touches.where("slice = 0 and user_id = 7").count() == 0
+
+
+def test_one_timestamp_is_cut(spark):
+    """A user whose touches share one stamp is in several tasks, with the positions of one task."""
+    rows = [(7, CFG.channels[(i * i) % 5], DAY0) for i in range(500)] + [(8, "meta", DAY0)]
+    data = (touches(spark, rows), conversions(spark, [(7, DAY0 + timedelta(days=1))]))
+    cfg = replace(CFG, hot_user_rows=40)
+    parts = kept(spark, cfg, data)
+    sizes = [r["count"] for r in parts.touches.where("user_id = 7").groupBy("slice").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 40
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = journeys.touch_positions(parts, cfg).where("user_id = 7").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in placed}) > 1 and sorted(r.pos_asc for r in placed) == list(range(1, 501))
+    assert _snapshot(spark, data, cfg) == _snapshot(spark, data, replace(CFG, hot_user_rows=None))
+
+
+def test_many_cuts_are_found_in_lists(spark):
+    """More cuts than one list holds."""
+    rows = [(7, "meta", DAY0 + timedelta(seconds=i // 3)) for i in range(1200)]
+    cuts = slices.user_cuts(touches(spark, rows), 4)
+    assert [len(part) for part in cuts.first()["cuts"]] == [256, 43]
+    parts = kept(spark, replace(CFG, hot_user_rows=4), (touches(spark, rows), conversions(spark, [])))
+    ordered = parts.touches.orderBy("ts", "touch_id").collect()
+    assert all(x.slice <= y.slice for x, y in zip(ordered, ordered[1:]))
+    assert {r["count"] for r in parts.touches.groupBy("slice").count().collect()} <= {3, 4, 5}
+    assert set(r.slice for r in ordered) <= set(cuts.select(F.explode(slices.slice_numbers())).toPandas()["col"])
+
+
+def test_repeated_rows_of_a_cut_user(spark):
+    log = spark.createDataFrame([(i // 50, 7, "meta" if i < 100 else "email", DAY0) for i in range(200)], touches(spark, [(1, "a", DAY0)]).schema)
+    cfg = replace(CFG, hot_user_rows=20)
+    rows = journeys.touch_positions(kept(spark, cfg, (log, conversions(spark, []))), cfg)
+    assert sorted(r.pos_asc for r in rows.collect()) == list(range(1, 201))
 
 
 def test_hot_list_is_bounded_by_share_of_all_touches(spark, monkeypatch):
     monkeypatch.setattr(slices, "MAX_HEAVY_USERS", 4)
     rows = [(u, "meta", DAY0) for u in range(10) for _ in range(10)] + [(99, "meta", DAY0)] * 60
-    heavy = slices.heavy_users(touches(spark, rows), 5).collect()
-    assert [r.user_id for r in heavy] == [99]
+    cuts = slices.user_cuts(touches(spark, rows), 5).collect()
+    assert [r.user_id for r in cuts] == [99]
+    monkeypatch.setattr(slices, "MAX_CUTS", 3)
+    assert sum(len(part) for r in slices.user_cuts(touches(spark, rows), 5).collect() for part in r.cuts) <= 3
 
 
-def test_long_equal_paths_are_one_path(spark):
-    """With and without slices: two long journeys with the same channels count as one path."""
+def test_log_without_hot_users_has_no_cuts(spark):
+    assert slices.user_cuts(touches(spark, [(u, "meta", DAY0) for u in range(50)]), 5) is None
+    assert slices.user_cuts(touches(spark, []), 5) is None
+
+
+def scans(df):
+    """Reads of files in a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+
+
+def test_one_read_of_the_log(spark, tmp_path):
+    """Beside the detection, which has run by then, reports read the touch log and the conversions once, cut users or not."""
+    for name, frame in zip(("log", "bought"), _skewed(spark)):
+        frame.write.parquet(str(tmp_path / name))
+    log, bought = (spark.read.parquet(str(tmp_path / n)) for n in ("log", "bought"))
+    for rows in (20, 5_000_000):
+        cfg = replace(CFG, hot_user_rows=rows)
+        facts = rules.attribution_facts(journeys.build_touches(log, bought, cfg), cfg)
+        assert scans(rules.credit_shares(rules.credit_by_channel(facts, cfg))) == 2
+        assert scans(marts.user_journeys(log, bought, cfg)) == 2
+
+
+def _long_paths(spark, extra=()):
     steps = [("meta" if k % 3 else "google", DAY0 + timedelta(minutes=k)) for k in range(300)]
     end = DAY0 + timedelta(days=1)
-    log = touches(spark, [(u, channel, ts) for u in (7, 8) for channel, ts in steps])
-    bought = conversions(spark, [(u, end) for u in (7, 8)])
+    rows = [(u, channel, ts) for u in (7, 8) for channel, ts in steps]
+    rows += [(9, c, t) for c, t in [*steps[:-1], ("email", steps[-1][1])]] + list(extra)
+    users = {r[0] for r in rows}
+    return steps, touches(spark, rows), conversions(spark, [(u, end) for u in users])
+
+
+def test_long_equal_paths_are_one_path(spark):
+    """With and without slices: two long journeys with the same channels count as one path, one that differs at its end doesn't."""
+    steps, log, bought = _long_paths(spark)
+    text = " > ".join(c for c, _ in steps)
     for rows in (20, None):
         cfg = replace(CFG, hot_user_rows=rows)
         parts = journeys.build_touches(log, bought, cfg)
-        paths = journeys.journey_paths(parts, cfg)
-        assert paths.where("path is null").count() == 0
-        assert [(r.conversions, r.path_length) for r in journeys.path_summary(paths).collect()] == [(2, 300)]
-        assert [r.conversions for r in marts.top_paths(paths).collect()] == [2]
+        got = [(r.path, r.conversions, r.path_length) for r in journeys.path_summary(parts).collect()]
+        other = text[: text.rindex(" ")] + " email"
+        assert got == [(text, 2, 300), (other, 1, 300)]
+        assert [(r.path, r.conversions, r.mean_touches) for r in marts.top_paths(log, bought, cfg, 1).collect()] == [(text, 2, 300.0)]
     pieces = journeys.path_segments(journeys.build_touches(log, bought, replace(CFG, hot_user_rows=20)))
     ordered = pieces.where("user_id = 7").orderBy("slice").collect()
     assert [c for p in ordered for c in p.channels] == [channel for channel, _ in steps]
+
+
+def test_path_keys_hold_no_path(spark):
+    """Keys are the same in slices and in one piece, and no row is as long as a path."""
+    _, log, bought = _long_paths(spark, [(1, "meta", DAY0), (2, None, DAY0), (3, "meta", DAY0), (3, None, DAY0)])
+    keys = []
+    for rows in (20, 7, None):
+        cfg = replace(CFG, hot_user_rows=rows)
+        got = journeys.path_keys(journeys.build_touches(log, bought, cfg)).collect()
+        assert max(len(r.head) for r in got) <= 11 * journeys.HEAD_CHANNELS
+        keys.append({r.user_id: (tuple(r.path_key), r.head) for r in got})
+    assert keys[0] == keys[1] == keys[2]
+    assert keys[0][7] == keys[0][8] != keys[0][9]
+    # A touch without a channel is not in the text.
+    assert keys[0][1] == keys[0][3] and keys[0][2][1] == ""
+
+
+def test_ties_among_long_paths_are_broken_by_whole_texts(spark):
+    steps, log, bought = _long_paths(spark)
+    cfg = replace(CFG, hot_user_rows=20)
+    late = [("tiktok", "b"), ("referral", "c"), ("email", "d")]
+    rows = [(20 + k, c, t) for k, (last, _) in enumerate(late) for c, t in [*steps[:-1], (last, steps[-1][1])]]
+    log, bought = touches(spark, rows), conversions(spark, [(20 + k, DAY0 + timedelta(days=1)) for k in range(3)])
+    got = [r.path.split(" > ")[-1] for r in journeys.path_summary(journeys.build_touches(log, bought, cfg), 2).collect()]
+    assert got == ["email", "referral"]
+
+
+def test_fingerprints_match_plain_arithmetic(spark):
+    from touchtally.functions import prints
+
+    rows = spark.createDataFrame([(k,) for k in [0, 1, 63, 64, 4095, 10**6, 2**41 + 12345]], "k long")
+    for h in range(prints.HASHES):
+        for r in rows.select("k", prints.power(F.col("k"), h).alias("p")).collect():
+            assert r.p == pow(prints._BASES[h], r.k, prints.PRIME)

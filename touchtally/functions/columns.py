@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
@@ -69,6 +69,41 @@ def bucket_hash(unit_id: Column, salt: Column | str) -> Column:
     return top64.cast("double") / F.lit(2.0**64)
 
 
+# Type of exact totals: fixed-point numbers with 12 digits.
+EXACT = "decimal(38,12)"
+
+
+def exact_parts(value: str, name: str, whole: int = 6, rest: int = 6) -> list[Column]:
+    """Two aggregates of longs that make an exact total, whatever the order of the rows.
+
+    Each value counts in units of 10**-(whole + rest), its multiples of 10**-whole apart from the
+    rest. The totals must fit a long in units of 10**-whole; there may be 9e18 / 10**rest rows.
+    """
+    high = f"floor(({value}) * 1e{whole})"
+    return [
+        F.expr(f"sum(bigint({high})) AS {name}__whole"),
+        F.expr(f"sum(bigint(round((({value}) * 1e{whole} - {high}) * 1e{rest}))) AS {name}__rest"),
+    ]
+
+
+def exact_total(name: str, whole: int = 6, rest: int = 6) -> str:
+    """SQL for the ``EXACT`` total of ``exact_parts``."""
+    return (
+        f"CAST(CAST({name}__whole AS decimal(20,0)) * CAST('1e-{whole}' AS decimal({whole},{whole})) "
+        f"+ CAST({name}__rest AS decimal(20,0)) * CAST('1e-{whole + rest}' AS decimal({whole + rest},{whole + rest})) AS {EXACT})"
+    )
+
+
+# Money counts in cents and 10**-9, so that totals may reach 9e16; shares of one in 10**-6 and 10**-12.
+MONEY = (2, 7)
+
+
+def steady_sum(value: Column, window: WindowSpec | None = None) -> Column:
+    """Sum of a few doubles that doesn't depend on their order."""
+    total = F.sum(value.cast("decimal(38,15)"))
+    return (total if window is None else total.over(window)).cast("double")
+
+
 def derive(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:
     """Add columns in one projection; later ones may refer to earlier ones by name.
 

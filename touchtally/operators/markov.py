@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchtally.config import CONVERSION, NULL_STATE, START
+from touchtally.functions.columns import steady_sum
 
 
 def transition_counts(facts: DataFrame, segment_cols: Sequence[str] = ()) -> DataFrame:
@@ -122,7 +123,7 @@ def markov_attribution(
                 (F.col("base_probability") - F.col("probability")) / F.col("base_probability"),
             ),
         )
-        .withColumn("total_effect", F.sum("removal_effect").over(whole))
+        .withColumn("total_effect", steady_sum(F.col("removal_effect"), whole))
     )
     return effects.select(
         *segments, F.col("removed").alias("channel"), "base_probability",

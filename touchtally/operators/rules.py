@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchtally.config import CONVERSION, NULL_STATE, RULE_MODELS, AttributionConfig
-from touchtally.functions.columns import net_of_refund
+from touchtally.functions.columns import EXACT, MONEY, exact_parts, exact_total, net_of_refund, steady_sum
 from touchtally.operators.journeys import JourneyTouches, journey_steps
 
 # A rule is a weight for a group of touches of one journey, in SQL over these
@@ -78,51 +78,48 @@ def attribution_facts(
     Rows are (segment, from_state, to_state, channel_mask): at most
     (channels + 1) * channels rows for touches, and one row per outcome, last
     channel and channel set for journey ends. ``channel_mask`` has bit i set for
-    ``cfg.channels[i]`` and is NULL on touch rows. The touch log is shuffled
+    ``cfg.channels[i]`` and is NULL on touch rows. Credit and revenue are exact decimals, so that
+    they don't depend on the order of tasks. The touch log is shuffled
     once, for the join on user; later stages move aggregated rows.
     """
     channels = list(cfg.channels)
     segments = list(kept.segment_cols)
-    steps = journey_steps(kept.with_column("channel", known_channel(channels)), cfg)
-    credit = [f"{kind}_{m}" for kind in ("credit", "revenue", "net") for m in models]
-
-    def rows(df: DataFrame) -> DataFrame:
-        user = Window.partitionBy(*kept.user_cols)
-        placed = df.select(
-            "*", F.sum("n").over(user).alias("touches"), F.sum("decay").over(user).alias("decay_total"),
-            F.bit_or(channel_bit(F.col("channel"), channels)).over(user).alias("mask"),
-            net_of_refund(F.col("revenue"), F.col("is_refunded")).alias("net_revenue"),
-        )
-        return placed.select(
-            *segments, "from_state", "channel", "converted", "n", "revenue", "net_revenue",
-            *[F.when(F.col("converted"), rule_weight(m, cfg)).alias(f"credit_{m}") for m in models],
-            F.expr("CASE WHEN n_last > 0 THEN mask END AS end_mask"),
-        )
-
-    def summed(*measures: str) -> list[Column]:
-        return [F.expr(measure) for measure in measures]
-
+    known = kept.with_column("channel", known_channel(channels))
+    steps = journey_steps(known, cfg, F.bit_or(channel_bit(F.col("channel"), channels))).withColumnRenamed("used", "mask")
+    if kept.cut:
+        of_all = F.aggregate("of_used", F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(channel_bit(c, channels)))
+        steps = steps.withColumn("mask", F.coalesce(of_all, "mask"))
+    rows = steps.select(
+        *segments, "from_state", "channel", "converted", "n", "revenue",
+        net_of_refund(F.col("revenue"), F.col("is_refunded")).alias("net_revenue"),
+        *[F.when(F.col("converted"), rule_weight(m, cfg)).alias(f"credit_{m}") for m in models],
+        F.expr("CASE WHEN n_last > 0 THEN mask END AS end_mask"),
+    )
     converting_end = "converted AND end_mask IS NOT NULL"
-    by_step = steps.each(rows, rows).groupBy(
-        *segments, "from_state", "channel", "converted", "end_mask"
-    ).agg(*summed(
-        "sum(n) AS transitions",
-        *[f"sum(credit_{m}) AS credit_{m}" for m in models],
-        *[f"sum(credit_{m} * revenue) AS revenue_{m}" for m in models],
-        *[f"sum(credit_{m} * net_revenue) AS net_{m}" for m in models],
-        "count(end_mask) AS journeys",
-        f"sum(CASE WHEN {converting_end} THEN revenue END) AS revenue",
-        f"sum(CASE WHEN {converting_end} THEN net_revenue END) AS net_revenue",
-    ))
+    measured = {
+        **{f"credit_{m}": (f"credit_{m}", 6, 6) for m in models},
+        **{f"revenue_{m}": (f"credit_{m} * revenue", *MONEY) for m in models},
+        **{f"net_{m}": (f"credit_{m} * net_revenue", *MONEY) for m in models},
+        **{name: (f"CASE WHEN {converting_end} THEN {name} END", *MONEY) for name in ("revenue", "net_revenue")},
+    }
+    credit = [name for name in measured if name not in ("revenue", "net_revenue")]
+    by_step = rows.groupBy(*segments, "from_state", "channel", "converted", "end_mask").agg(
+        F.expr("sum(n) AS transitions"), F.expr("count(end_mask) AS journeys"),
+        *[part for name, (value, *units) in measured.items() for part in exact_parts(value, name, *units)],
+    )
+    by_step = by_step.selectExpr(
+        *segments, "from_state", "channel", "converted", "end_mask", "transitions", "journeys",
+        *[f"{exact_total(name, *units)} AS {name}" for name, (_, *units) in measured.items()],
+    )
     # From here on only these few rows are handled: touches and journey ends part.
     touch = ", ".join([
         "from_state AS from_state", "channel AS to_state", "BIGINT(NULL) AS channel_mask",
         "transitions AS transitions", *[f"{c} AS {c}" for c in credit],
-        "0L AS journeys", "0L AS conversions", "DOUBLE(NULL) AS revenue", "DOUBLE(NULL) AS net_revenue",
+        "0L AS journeys", "0L AS conversions", f"CAST(NULL AS {EXACT}) AS revenue", f"CAST(NULL AS {EXACT}) AS net_revenue",
     ])
     end = ", ".join([
         "channel AS from_state", f"IF(converted, '{CONVERSION}', '{NULL_STATE}') AS to_state",
-        "end_mask AS channel_mask", "journeys AS transitions", *[f"DOUBLE(NULL) AS {c}" for c in credit],
+        "end_mask AS channel_mask", "journeys AS transitions", *[f"CAST(NULL AS {EXACT}) AS {c}" for c in credit],
         "journeys AS journeys", "IF(converted, journeys, 0L) AS conversions",
         "revenue AS revenue", "net_revenue AS net_revenue",
     ])
@@ -131,9 +128,8 @@ def attribution_facts(
         f"explode(IF(end_mask IS NULL, array(struct({touch})), array(struct({touch}), struct({end})))) AS row",
     ).select(*segments, "row.*")
     keys = [*segments, "from_state", "to_state", "channel_mask"]
-    return parted.groupBy(*keys).agg(
-        *summed(*[f"sum({c}) AS {c}" for c in parted.columns if c not in keys])
-    )
+    totals = parted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parted.columns if c not in keys])
+    return totals.select(*[F.col(c).cast(EXACT) if c in measured else F.col(c) for c in totals.columns])
 
 
 def _per_channel(
@@ -172,7 +168,7 @@ def credit_by_channel(
     by_channel = (
         facts.select("*", won).where(F.col("channel_mask").isNull())
         .groupBy(*segments, F.col("to_state").alias("channel"))
-        .agg(*[F.sum(c).alias(c) for c in measures], F.max("won").alias("won"))
+        .agg(*[F.sum(c).cast("double").alias(c) for c in measures], F.max("won").alias("won"))
     )
     checked = {
         f"credit_{m}": F.when(
@@ -199,7 +195,7 @@ def credit_by_channel(
 
 def credit_shares(credit: DataFrame, segment_cols: Sequence[str] = ()) -> DataFrame:
     """Share of all credited conversions per model and channel."""
-    total = F.sum("conversions").over(Window.partitionBy(*segment_cols, "model"))
+    total = steady_sum(F.col("conversions"), Window.partitionBy(*segment_cols, "model"))
     return credit.select(
         *segment_cols, "model", "channel",
         F.when(total > 0, F.col("conversions") / total).alias("share"),
@@ -217,7 +213,7 @@ def conservation(facts: DataFrame, models: Sequence[str] = RULE_MODELS, toleranc
     """Per model: total credit against the number of converting journeys."""
     totals = facts.agg(
         F.coalesce(F.sum("conversions"), F.lit(0)).alias("conversions"),
-        *[F.coalesce(F.sum(f"credit_{m}"), F.lit(0.0)).alias(m) for m in models],
+        *[F.coalesce(F.sum(f"credit_{m}").cast("double"), F.lit(0.0)).alias(m) for m in models],
     )
     return totals.unpivot(["conversions"], list(models), "model", "credited").withColumn(
         "conserved", F.abs(F.col("credited") - F.col("conversions")) <= F.lit(tolerance)

@@ -1,87 +1,75 @@
-"""Time slices for users whose touches are too many for one task.
+"""Slices for users whose touches are too many for one task.
 
-Order matters only inside a user's journey. For most users one window per user
-is fine. A user with more touches than ``rows_per_slice`` is cut along time into
-slices that are ordered independently and joined again by the operators. The
-slice of a touch is arithmetic on its timestamp, so every branch of a plan and
-every retried task finds the same slice.
+Order matters only inside a user's journey. For most users one window per user is fine.
+A user with more touches than ``rows_per_slice`` is cut into slices that are ordered
+independently and joined again by the operators. Cuts are places in the order
+(ts, touch_id), so a burst, and even a single timestamp, is cut like anything else; only
+touches equal in both stay together.
+
+Cuts come from a sample that a hash of the touch picks, so they are quantiles of the user's
+touches, and a slice holds about ``rows_per_slice`` of them. The slice of a touch is
+a comparison with the written cuts: every branch of a plan and every retried task finds the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchtally.functions.columns import epoch_micros
+from touchtally.sources.checkpoints import materialise
 
-# Slice widths in microseconds (day, hour, minute, second), then
-# the finest one for users who overfill single seconds.
-_WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000)
-_FINEST_WIDTH = 1_000
-# Largest list of users that is broadcast.
+# Sampled touches that a slice spans.
+SAMPLES_PER_SLICE = 64
+# Bounds of the lists that are broadcast.
 MAX_HEAVY_USERS = 100_000
-# Microseconds between 0001-01-01 and 1970-01-01: keeps slice numbers positive.
-_EPOCH_SHIFT = 62_135_596_800_000_000
+MAX_CUTS = 200_000
+# Cuts are kept in lists of this length, so that a place is found in two short searches.
+_CUTS_PER_LIST = 256
 
 
-def heavy_users(touches: DataFrame, rows_per_slice: int) -> DataFrame:
-    """Users with about ``rows_per_slice`` touches or more, at most ``MAX_HEAVY_USERS``.
+def user_cuts(touches: DataFrame, rows_per_slice: int) -> DataFrame | None:
+    """(user_id, cuts) of users with about ``rows_per_slice`` touches or more, written; None if there are none.
 
-    This only decides how a user's touches are spread over tasks, never which are
-    used, so for large thresholds one touch in ``step`` is counted, picked by its
-    hash: a heavy user still has 50,000 of those, and the count stays cheap. In a
-    log so large that more users could pass, the threshold is raised to
-    1 / MAX_HEAVY_USERS of all touches, which fewer users than that can exceed. So
-    the list may be broadcast whatever the size of the log.
+    One read of the log finds users and cuts. This only decides how a user's touches are
+    spread over tasks, never which are used. However large the log, fewer than ``MAX_HEAVY_USERS`` users and
+    about ``MAX_CUTS`` cuts come out, because the thresholds rise with the sample; so both may be broadcast.
     """
-    step = max(1, rows_per_slice // 50_000)
-    counted = touches if step == 1 else touches.where(F.expr(f"pmod(xxhash64(user_id, ts, touch_id), {step}) = 0"))
-    counts = counted.groupBy("user_id").agg(F.count("*").alias("touches"))
-    floor = counts.agg(F.coalesce(F.expr(f"sum(touches) div {MAX_HEAVY_USERS}"), F.lit(0))).scalar()
-    return counts.where(F.col("touches") > F.greatest(F.lit(rows_per_slice // step), floor)).select("user_id")
-
-
-def _cell_counts(touches: DataFrame, users: DataFrame, width: int) -> DataFrame:
-    """Touches of ``users`` per cell of ``width`` microseconds."""
-    return (
-        touches.join(F.broadcast(users), "user_id", "left_semi")
-        .groupBy("user_id", F.expr(f"micros div {width}").alias("cell"))
-        .agg(F.count("*").alias("n"))
+    step = max(1, rows_per_slice // SAMPLES_PER_SLICE)
+    span = rows_per_slice // step
+    picked = touches.select("user_id", "ts", "touch_id")
+    if step > 1:
+        picked = picked.where(F.expr(f"pmod(xxhash64(user_id, ts, touch_id), {step}) = 0"))
+    picked = materialise(picked)
+    counts = picked.groupBy("user_id").agg(F.count("*").alias("n"))
+    floor = counts.agg(F.coalesce(F.expr(f"sum(n) div {MAX_HEAVY_USERS}"), F.lit(0))).scalar()
+    heavy = materialise(counts.where(F.col("n") > F.greatest(F.lit(span), floor)))
+    if heavy.isEmpty():
+        return None
+    apart = heavy.agg(F.greatest(F.lit(span), F.expr(f"sum(n) div {MAX_CUTS}"))).scalar()
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "touch_id"))
+    at = F.col("place") / F.col("apart")
+    cuts = (
+        picked.join(F.broadcast(heavy), "user_id")
+        .withColumn("place", place)
+        .withColumn("apart", apart)
+        .where((F.col("place") % F.col("apart") == 0) & (F.col("place") < F.col("n")))
+        .groupBy("user_id", F.floor((at - 1) / _CUTS_PER_LIST).alias("list"))
+        .agg(F.array_sort(F.collect_set(F.struct("ts", "touch_id"))).alias("cuts"))
     )
-
-
-def slice_widths(touches: DataFrame, heavy: DataFrame, rows_per_slice: int) -> DataFrame:
-    """``(user_id, slice_width)``: the widest slice that stays within ``rows_per_slice``.
-
-    Counts per minute are summed up to hours and days, so only counts are
-    shuffled. Users who overfill a minute are looked at per second.
-    """
-    minute = _WIDTHS[2]
-    steps = ", ".join(f"struct({width}L AS width, cell div {width // minute} AS cell)" for width in _WIDTHS[:3])
-    coarse = (
-        _cell_counts(touches, heavy, minute)
-        .selectExpr("user_id", "n", f"inline(array({steps})) AS (width, coarse_cell)")
-        .groupBy("user_id", "width", "coarse_cell")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("user_id", "width")
-        .agg(F.max("n").alias("busiest"))
-        .groupBy("user_id")
-        .agg(F.max(F.when(F.col("busiest") <= rows_per_slice, F.col("width"))).alias("slice_width"))
-    )
-    bursty = coarse.where(F.col("slice_width").isNull()).select("user_id")
-    fine = (
-        _cell_counts(touches, bursty, _WIDTHS[3])
-        .groupBy("user_id")
-        .agg(F.expr(f"IF(max(n) <= {rows_per_slice}, {_WIDTHS[3]}L, {_FINEST_WIDTH}L)").alias("slice_width"))
-    )
-    return coarse.where(F.col("slice_width").isNotNull()).unionByName(fine)
-
-
-def with_micros(touches: DataFrame) -> DataFrame:
-    """Add ``micros``, the timestamp as a positive count of microseconds."""
-    return touches.withColumn("micros", epoch_micros(F.col("ts")) + F.lit(_EPOCH_SHIFT))
+    lists = F.array_sort(F.collect_list(F.struct("list", "cuts")))
+    return materialise(cuts.groupBy("user_id").agg(F.transform(lists, lambda x: x["cuts"]).alias("cuts")))
 
 
 def slice_number() -> Column:
-    """Slice of a touch with ``micros`` and ``slice_width``; it never falls as time goes on."""
-    return F.expr("micros div slice_width")
+    """Slice of a touch with ``ts``, ``touch_id`` and its user's ``cuts``: 0 without cuts, else from 1, rising in order."""
+    here = F.struct("ts", "touch_id")
+    passed = F.size(F.filter("cuts", lambda part: part[0] <= here))
+    inside = F.size(F.filter(F.get("cuts", F.greatest(passed, F.lit(1)) - 1), lambda cut: cut <= here))
+    number = F.greatest(passed - 1, F.lit(0)) * _CUTS_PER_LIST + inside + 1
+    return F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(number).cast("long")
+
+
+def slice_numbers() -> Column:
+    """All numbers that ``slice_number`` can give a user with these ``cuts``."""
+    most = (F.size("cuts") - 1) * _CUTS_PER_LIST + F.size(F.element_at("cuts", -1)) + 1
+    return F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), most)).cast("array<long>")

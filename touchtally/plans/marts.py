@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchtally.config import DAYS_PER_MONTH, AttributionConfig
 from touchtally.functions.columns import guarded_ratio, rate
-from touchtally.operators.journeys import build_touches, journey_paths
+from touchtally.operators.journeys import build_touches, frequent_paths, journey_paths
 from touchtally.operators.rules import attribution_facts
 
 MARTS = ("mart_user_journeys", "mart_channel_roi", "mart_experiment_metrics")
@@ -45,9 +45,9 @@ def channel_roi(
         .groupBy(F.col("to_state").alias("channel"))
         .agg(
             F.sum("transitions").alias("touches"),
-            F.coalesce(F.sum("credit_last_touch"), F.lit(0.0)).cast("long").alias("last_touch_conversions"),
-            F.coalesce(F.sum("credit_first_touch"), F.lit(0.0)).cast("long").alias("first_touch_conversions"),
-            F.coalesce(F.sum("credit_linear"), F.lit(0.0)).alias("linear_conversions"),
+            F.coalesce(F.sum("credit_last_touch"), F.lit(0)).cast("long").alias("last_touch_conversions"),
+            F.coalesce(F.sum("credit_first_touch"), F.lit(0)).cast("long").alias("first_touch_conversions"),
+            F.coalesce(F.sum("credit_linear").cast("double"), F.lit(0.0)).alias("linear_conversions"),
         )
     )
     spent = spend.groupBy("channel").agg(
@@ -105,15 +105,11 @@ def build_marts(
     return counts
 
 
-def top_paths(user_journey_mart: DataFrame, top_n: int = 5) -> DataFrame:
-    """The most frequent converting paths of the journey mart."""
-    return (
-        user_journey_mart.where("converted")
-        .groupBy("path")
-        .agg(F.count("*").alias("conversions"), F.round(F.avg("touch_count"), 1).alias("mean_touches"))
-        .orderBy(F.desc("conversions"), "path")
-        .limit(top_n)
-    )
+def top_paths(touches: DataFrame, conversions: DataFrame, cfg: AttributionConfig, top_n: int = 5) -> DataFrame:
+    """The most frequent converting paths of the journey mart, by their keys."""
+    kept = build_touches(touches, conversions, calendar_mode(cfg))
+    top = frequent_paths(kept, top_n, F.round(F.avg("touch_count"), 1).alias("mean_touches"))
+    return top.select("path", "conversions", "mean_touches")
 
 
 def channel_listing(channel_roi_mart: DataFrame) -> DataFrame:
