@@ -1,11 +1,15 @@
 import hashlib
+import math
+import statistics
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from frames import moments_row
 from touchtally.operators import assignment, bayes, design, estimators, guardrails, integrity, moments, sequential
+from touchtally.operators.ranks import ranked
 from touchtally.sources.tables import experiment_config
 
 ASSIGNMENT = (
@@ -68,21 +72,26 @@ def test_splits_and_their_limits(spark):
 # --- integrity ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("sizes, shares, passed", [
-    ({"control": 29967, "treatment": 30033}, {"control": 0.5, "treatment": 0.5}, True),
-    ({"control": 30000, "treatment": 28800}, {"control": 0.5, "treatment": 0.5}, False),
-    ({"control": 54000, "treatment": 6000}, {"control": 9, "treatment": 1}, True),
-    ({"control": 54000, "treatment": 6000}, {"control": 1, "treatment": 1}, False),
-    ({"a": 20000, "b": 20100, "c": 19900}, {"a": 1, "b": 1, "c": 1}, True),
+# Sizes, weights and the statistic by hand: the squared distances from the expected sizes over those.
+@pytest.mark.parametrize("sizes, shares, chi_square, passed", [
+    ({"control": 1030, "treatment": 970}, {"control": 1, "treatment": 1}, 2 * 30**2 / 1000, True),
+    ({"control": 1200, "treatment": 1000}, {"control": 1, "treatment": 1}, 2 * 100**2 / 1100, False),
+    ({"control": 330, "treatment": 90}, {"control": 3, "treatment": 1}, 15**2 / 315 + 15**2 / 105, True),
+    ({"control": 330, "treatment": 90}, {"control": 1, "treatment": 1}, 2 * 120**2 / 210, False),
+    ({"x": 90, "y": 110, "z": 100}, {"x": 2, "y": 2, "z": 2}, 2.0, True),
+    # A published split, with its statistic and p-value.
+    ({"control": 29967, "treatment": 30033}, {"control": 0.5, "treatment": 0.5}, 0.0726, True),
 ])
-def test_sample_ratio(spark, sizes, shares, passed):
+def test_sample_ratio(spark, sizes, shares, chi_square, passed):
     row = integrity.srm_check(arm_sizes(spark, sizes), weights(spark, **shares)).first()
     assert row.passed is passed and row.error is None and row.degrees_of_freedom == len(sizes) - 1
-    if sizes["control" if "control" in sizes else "a"] == 29967:
-        assert row.chi_square == pytest.approx(0.0726) and row.p_value == pytest.approx(0.788, abs=5e-4)
-        assert row.worst_variant == "control"
-    if sizes.get("treatment") == 28800:
-        assert abs(row.worst_delta_units) == 600 and row.p_value == pytest.approx(7.47e-7, rel=1e-3)
+    assert row.chi_square == pytest.approx(chi_square)
+    if row.degrees_of_freedom == 2:
+        assert row.p_value == pytest.approx(math.exp(-chi_square / 2))
+    else:
+        assert row.p_value == pytest.approx(math.erfc(math.sqrt(chi_square / 2)), rel=1e-6)
+    total, weight = sum(sizes.values()), sum(shares.values())
+    assert abs(row.worst_delta_units) == pytest.approx(max(abs(n - total * shares[v] / weight) for v, n in sizes.items()))
 
 
 def test_sample_ratio_errors_stay_in_their_row(spark):
@@ -102,17 +111,17 @@ def test_detectable_loss(spark):
 
 
 def test_drift_and_duplicates(spark):
-    ids = spark.range(20_000).withColumnRenamed("id", "user_id").withColumn("experiment_id", F.lit("e"))
+    """Every thirtieth of 1200 units is in the other arm: 40 of them."""
+    ids = spark.range(1200).withColumnRenamed("id", "user_id").withColumn("experiment_id", F.lit("e"))
     good = assignment.assign(ids, "salt-e", 0.5)
-    flipped = good.withColumn("variant", F.when(
-        F.col("user_id") < 50, F.when(F.col("variant") == "control", "treatment").otherwise("control")
-    ).otherwise(F.col("variant")))
-    row = integrity.assignment_reproducibility(flipped, config(spark, "e")).first()
-    assert row.mismatch_rate == pytest.approx(0.0025) and row.all_match is False
-    assert integrity.mismatched_units(flipped, config(spark, "e")).count() == 50
+    other = F.when(F.col("variant") == "control", "treatment").otherwise("control")
+    moved = good.withColumn("variant", F.when(F.col("user_id") % 30 == 7, other).otherwise(F.col("variant")))
+    row = integrity.assignment_reproducibility(moved, config(spark, "e")).first()
+    assert row.mismatch_rate == pytest.approx(1 / 30) and row.all_match is False
+    assert {r.user_id for r in integrity.mismatched_units(moved, config(spark, "e")).collect()} == set(range(7, 1200, 30))
     assert integrity.assignment_reproducibility(good, config(spark, "e")).first().all_match is True
-    units = spark.createDataFrame([("e", i) for i in (1, 2, 3, 2, 4, 4, 4)], "experiment_id string, user_id long")
-    assert {r.user_id for r in integrity.duplicate_units(units).collect()} == {2, 4}
+    units = spark.createDataFrame([("e", i) for i in (8, 3, 3, 9, 8, 8, 1)], "experiment_id string, user_id long")
+    assert {r.user_id for r in integrity.duplicate_units(units).collect()} == {3, 8}
 
 
 # --- estimators --------------------------------------------------------------------------
@@ -229,23 +238,118 @@ def test_first_crossing_decides(spark):
     assert got == {"late": (5, True), "early": (2, True), "never": (2, False)}
 
 
-def test_interim_looks_count_units_up_to_each_day(spark):
-    looks = sequential.interim_looks(units(spark, 480), config(spark, "e")).orderBy("look").collect()
-    assert [r.n_c + r.n_t for r in looks] == [96, 192, 288, 384, 480]
-    final = estimators.two_proportion_test(
-        moments.arm_moments(units(spark, 480)), "conversions_c", "n_c", "conversions_t", "n_t", 0.05).first()
+def looks_by_hand(rows, fractions, metric):
+    """Counts, sums and z of each look over the first ceil(fraction * n) units in order of (time, user)."""
+    rows = sorted(rows, key=lambda r: (r[3] is None, r[3] or datetime.max, r[0]))
+    out = []
+    for t in fractions:
+        first = rows[: math.ceil(Fraction(str(t)) * len(rows))]
+        arms = {v: [metric(r) for r in first if r[2] == v] for v in ("control", "treatment")}
+        out.append((arms["control"], arms["treatment"], first[-1][3]))
+    return out
+
+
+def uneven(n=203):
+    """Units of few days, many at one time, some without a time; the metric grows with the user."""
+    start, rows = datetime(2026, 6, 1), []
+    for u in range(n):
+        when = None if u % 40 == 3 else start + timedelta(days=(u * u) % 3, seconds=(u % 4) * 30)
+        rows.append((u, "e", "control" if u % 3 else "treatment", when, None, float(u % 5 == 0), False, 1e6 + u % 17 + (3 if u % 3 == 0 else 0)))
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_looks_count_exactly_their_units(spark, partitions):
+    rows, fractions = uneven(), (0.1, 0.15, 0.2, 0.333, 0.6, 0.95, 1.0)
+    df = spark.createDataFrame(rows, ASSIGNMENT).repartition(partitions)
+    plan = config(spark, "e", looks=list(fractions))
+    looks = sequential.interim_looks(df, plan).orderBy("look").collect()
+    hand = looks_by_hand(rows, fractions, lambda r: r[5])
+    assert [(r.n_c, r.n_t, r.conversions_c, r.conversions_t) for r in looks] == [(len(c), len(t), sum(c), sum(t)) for c, t, _ in hand]
+    assert [r.n_c + r.n_t for r in looks] == [21, 31, 41, 68, 122, 193, 203]
+    assert [r.reached_at for r in looks] == [when for *_, when in hand] and looks[-1].reached_at is None
+    # The first looks fall in one day and still differ.
+    assert len({r.reached_at.date() for r in looks[:3]}) == 1
+    final = estimators.two_proportion_test(moments.arm_moments(df), "conversions_c", "n_c", "conversions_t", "n_t", 0.05).first()
     assert looks[-1].z == pytest.approx(final.statistic) and looks[-1].stop
 
 
-def test_units_without_time_enter_at_the_last_look(spark):
-    df = units(spark, 480).withColumn("assign_ts", F.when(F.col("user_id") >= 48, F.col("assign_ts")))
-    looks = sequential.interim_looks(df, config(spark, "e")).orderBy("look").collect()
-    assert looks[-1].n_c + looks[-1].n_t == 480 and looks[-1].day is None
-
-
-def test_audit_rates_are_shares_of_draws(spark):
-    row = sequential.aa_audit(units(spark, 2000), config(spark, "e"), resamples=40).first()
-    assert row.draws == 40 and row.spending_rate <= row.fixed_level_rate <= 0.5
+def test_mean_looks_are_welch_statistics(spark):
+    rows, fractions = uneven(), (0.02, 0.3, 0.55, 1.0)
+    df = spark.createDataFrame(rows, ASSIGNMENT).withColumn(
+        "guardrail_latency_ms", F.when(F.col("user_id") % 11 != 0, F.col("guardrail_latency_ms")))
+    plan = config(spark, "e", looks=list(fractions))
+    looks = sequential.mean_looks(df, plan, "guardrail_latency_ms").orderBy("look").collect()
+    for row, (c, t, _) in zip(looks, looks_by_hand(rows, fractions, lambda r: (r[0], r[7]))):
+        c, t = ([y for u, y in arm if u % 11] for arm in (c, t))
+        assert (row.n_c, row.n_t) == (len(c), len(t))
+        if len(c) > 1 and len(t) > 1:
+            z = (statistics.mean(t) - statistics.mean(c)) / math.sqrt(statistics.variance(c) / len(c) + statistics.variance(t) / len(t))
+            assert row.z == pytest.approx(z) and row.crossed == (abs(z) >= row.z_boundary)
+        else:
+            assert row.z is None and not row.crossed
+    assert looks[-1].mean_t - looks[-1].mean_c > 2 and looks[-1].crossed
+
+
+def test_looks_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], ASSIGNMENT)
+    assert sequential.interim_looks(empty, config(spark, "e")).collect() == []
+    assert sequential.mean_looks(empty, config(spark, "e"), "guardrail_latency_ms").collect() == []
+    assert sequential.aa_audit(empty, config(spark, "e")).collect() == []
+
+
+def test_ranks_of_a_group_in_many_tasks(spark):
+    rows = [("a", i % 50, i) for i in range(3000)] + [("b", 5, 1), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, x long, y long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranked(df.where("g IS NOT NULL"), ["g"], ["x", "y"])
+        tasks = got.where("g = 'a'").select(F.spark_partition_id()).distinct().count()
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+    ordered = sorted((x, y) for g, x, y in rows if g == "a")
+    assert {r.rank: (r.x, r.y) for r in got if r.g == "a"} == dict(enumerate(ordered, 1))
+    assert [r.rank for r in got if r.g == "b"] == [1]
+
+
+def test_audit_draws_match_hashlib(spark):
+    """Each draw by plain Python: bit i of the unit's hash is draw i, looks at exact counts."""
+    rows, fractions = uneven(90), (0.5, 1.0)
+    plan = config(spark, "e", looks=list(fractions))
+    got = sequential.aa_audit(spark.createDataFrame(rows, ASSIGNMENT), plan, 300).first()
+    bounds = [r.z_boundary for r in sequential.look_plan(plan).orderBy("look").collect()]
+    peeked = crossed = 0
+    for d in range(300):
+        def arm(u):
+            digest = hashlib.sha256(f"salt-e#{d // 256 + 1}:{u}".encode()).digest()
+            return "treatment" if digest[d % 256 // 8] >> (7 - d % 8) & 1 else "control"
+
+        zs = []
+        for c, t, _ in looks_by_hand([(r[0], r[1], arm(r[0]), *r[3:]) for r in rows], fractions, lambda r: r[5]):
+            p = (sum(c) + sum(t)) / (len(c) + len(t))
+            zs.append((sum(t) / len(t) - sum(c) / len(c)) / math.sqrt(p * (1 - p) * (1 / len(c) + 1 / len(t))))
+        peeked += any(abs(z) >= 1.959963984540054 for z in zs)
+        crossed += any(abs(z) >= b for z, b in zip(zs, bounds))
+    assert (got.draws, got.fixed_level_rate, got.spending_rate) == (300, pytest.approx(peeked / 300), pytest.approx(crossed / 300))
+
+
+def test_audit_tells_peeking_from_spending(spark):
+    """At 256 draws a fixed level with five looks is seen to err more often than the plan, for any control share."""
+    rows = [(u, "e", "control", datetime(2026, 6, 1) + timedelta(minutes=u), None, float(u % 3 == 0), False, 0.0) for u in range(2000)]
+    df = spark.createDataFrame(rows, ASSIGNMENT)
+    for share in (0.5, 0.25, 0.3):
+        row = sequential.aa_audit(df, config(spark, "e", control_share=share)).first()
+        assert row.draws == 256 and 0.01 <= row.spending_rate <= 0.1 < row.fixed_level_rate < 0.25
+
+
+def test_audit_multiplies_no_unit(spark, tmp_path):
+    """No row generator in the plan, whatever the number of draws."""
+    units = sequential._units(spark.createDataFrame(uneven(), ASSIGNMENT), "primary_metric").withColumns(
+        {"look": F.lit(1), "words": F.lit(b"0" * 32), "control_share": F.lit(0.5)})
+    plan = sequential._redrawn_sums(units, 256, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
 
 
 # --- guardrails --------------------------------------------------------------------------------

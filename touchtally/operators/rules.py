@@ -90,27 +90,28 @@ def attribution_facts(
         of_all = F.aggregate("of_used", F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(channel_bit(c, channels)))
         steps = steps.withColumn("mask", F.coalesce(of_all, "mask"))
     rows = steps.select(
-        *segments, "from_state", "channel", "converted", "n", "revenue",
-        net_of_refund(F.col("revenue"), F.col("is_refunded")).alias("net_revenue"),
+        *segments, "from_state", "channel", "converted", "n", "revenue", "is_refunded",
         *[F.when(F.col("converted"), rule_weight(m, cfg)).alias(f"credit_{m}") for m in models],
         F.expr("CASE WHEN n_last > 0 THEN mask END AS end_mask"),
     )
-    converting_end = "converted AND end_mask IS NOT NULL"
     measured = {
         **{f"credit_{m}": (f"credit_{m}", 6, 6) for m in models},
         **{f"revenue_{m}": (f"credit_{m} * revenue", *MONEY) for m in models},
-        **{f"net_{m}": (f"credit_{m} * net_revenue", *MONEY) for m in models},
-        **{name: (f"CASE WHEN {converting_end} THEN {name} END", *MONEY) for name in ("revenue", "net_revenue")},
+        "revenue": ("CASE WHEN converted AND end_mask IS NOT NULL THEN revenue END", *MONEY),
     }
-    credit = [name for name in measured if name not in ("revenue", "net_revenue")]
-    by_step = rows.groupBy(*segments, "from_state", "channel", "converted", "end_mask").agg(
+    # Refunded revenue is added up apart, so that the net needs no sums of its own.
+    by_step = rows.groupBy(*segments, "from_state", "channel", "converted", "end_mask", "is_refunded").agg(
         F.expr("sum(n) AS transitions"), F.expr("count(end_mask) AS journeys"),
         *[part for name, (value, *units) in measured.items() for part in exact_parts(value, name, *units)],
     )
     by_step = by_step.selectExpr(
-        *segments, "from_state", "channel", "converted", "end_mask", "transitions", "journeys",
+        *segments, "from_state", "channel", "converted", "end_mask", "is_refunded", "transitions", "journeys",
         *[f"{exact_total(name, *units)} AS {name}" for name, (_, *units) in measured.items()],
     )
+    nets = {"net_revenue": "revenue", **{f"net_{m}": f"revenue_{m}" for m in models}}
+    by_step = by_step.withColumns({net: net_of_refund(F.col(gross), F.col("is_refunded")).cast(EXACT) for net, gross in nets.items()})
+    measured = [*[f"{kind}_{m}" for kind in ("credit", "revenue", "net") for m in models], "revenue", "net_revenue"]
+    credit = measured[:-2]
     # From here on only these few rows are handled: touches and journey ends part.
     touch = ", ".join([
         "from_state AS from_state", "channel AS to_state", "BIGINT(NULL) AS channel_mask",

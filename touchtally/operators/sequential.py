@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchtally.functions.columns import bucket_hash
 from touchtally.functions.special import norm_ppf, norm_sf, normal_quantile, normal_sf
-from touchtally.operators.assignment import two_way_variant
 from touchtally.operators.estimators import z_statistic
-from touchtally.sources.checkpoints import broadcast_if_small
+from touchtally.operators.ranks import ranked
+from touchtally.sources.checkpoints import is_small, materialise
 
 # The integration grid on the B-value scale.
 _GRID_LIMIT, _GRID_POINTS = 8.0, 2001
@@ -152,57 +152,150 @@ def look_plan(config: DataFrame) -> DataFrame:
     )
 
 
-def _daily_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    control, treatment = F.col("variant") == "control", F.col("variant") == "treatment"
-    y = F.col("primary_metric")
-    return rows.where(control | treatment).groupBy(*keys, F.to_date("assign_ts").alias("day")).agg(
-        F.count_if(control).alias("n_c"), F.count_if(treatment).alias("n_t"),
-        F.coalesce(F.sum(F.when(control, y)), F.lit(0.0)).alias("x_c"),
-        F.coalesce(F.sum(F.when(treatment, y)), F.lit(0.0)).alias("x_t"),
+# Bucket of units without an assignment time: after all days.
+_NO_DAY = 2**31 - 1
+_ARMS = ("control", "treatment")
+
+
+def _units(assignments: DataFrame, metric: str) -> DataFrame:
+    """Units of both arms in buckets of a day; ``y`` is the metric. Written, so that the assignments are read once."""
+    return materialise(assignments.where(F.col("variant").isin(*_ARMS)).select(
+        "experiment_id", "user_id", "variant", "assign_ts", F.col(metric).cast("double").alias("y"),
+        F.coalesce(F.datediff("assign_ts", F.lit("1970-01-01").cast("date")), F.lit(_NO_DAY)).alias("bucket"),
+    ))
+
+
+def _arm_moments() -> list[Column]:
+    """Per arm: units, units with a metric, its sum, mean and squared deviation."""
+    out = []
+    for arm, suffix in zip(_ARMS, "ct"):
+        y = F.when(F.col("variant") == arm, F.col("y"))
+        out += [
+            F.count_if(F.col("variant") == arm).alias(f"n_{suffix}"), F.count(y).alias(f"k_{suffix}"),
+            F.coalesce(F.sum(y), F.lit(0.0)).alias(f"x_{suffix}"), F.coalesce(F.avg(y), F.lit(0.0)).alias(f"m_{suffix}"),
+            F.coalesce(F.var_pop(y) * F.count(y), F.lit(0.0)).alias(f"q_{suffix}"),
+        ]
+    return out
+
+
+def _about(centre: str) -> list[Column]:
+    """Moments as sums about one centre per experiment: these add up, and don't cancel."""
+    return [
+        column
+        for s in "ct"
+        for column in (
+            F.expr(f"k_{s} * (m_{s} - {centre}) AS d_{s}"),
+            F.expr(f"q_{s} + k_{s} * (m_{s} - {centre}) * (m_{s} - {centre}) AS e_{s}"),
+        )
+    ]
+
+
+_SUMS = [f"{c}_{s}" for s in "ct" for c in ("n", "k", "x", "d", "e")]
+
+
+def _histogram(units: DataFrame) -> DataFrame:
+    """Units, and sums before the bucket, per experiment and bucket; written, a row per day of an experiment."""
+    per_bucket = units.groupBy("experiment_id", "bucket").agg(*_arm_moments())
+    whole = Window.partitionBy("experiment_id")
+    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    centre = F.sum(F.col("x_c") + F.col("x_t")).over(whole) / F.greatest(F.sum(F.col("k_c") + F.col("k_t")).over(whole), F.lit(1))
+    shifted = per_bucket.withColumn("centre", centre).select("*", *_about("centre"), (F.col("n_c") + F.col("n_t")).alias("units"))
+    return materialise(shifted.select(
+        "experiment_id", "bucket", "centre", "units", F.sum("units").over(whole).alias("total"),
+        F.coalesce(F.sum("units").over(before), F.lit(0)).alias("earlier"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in _SUMS],
+    ))
+
+
+def _look_targets(histogram: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per look: its ``target`` of units, ceil(fraction * total), the bucket it falls in, and ``need``, its rank there."""
+    target = F.ceil(F.col("information_fraction").cast("decimal(20,12)") * F.col("total").cast("decimal(19,0)")).cast("long")
+    return materialise(
+        histogram.join(plan, "experiment_id")
+        .withColumn("target", target)
+        .where((F.col("target") > F.col("earlier")) & (F.col("target") <= F.col("earlier") + F.col("units")))
+        .withColumn("need", F.col("target") - F.col("earlier"))
     )
 
 
-def _at_looks(daily: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Running counts at the end of the day on which each look's fraction is reached.
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _ranked_units(units: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
+    """The units of the buckets that a look falls in, with ``rank`` by (assign_ts, user_id); only these are sorted."""
+    split = _small(targets.select("experiment_id", "bucket").distinct(), few)
+    near = units.join(split, ["experiment_id", "bucket"], "left_semi")
+    return ranked(near, ["experiment_id", "bucket"], ["assign_ts", "user_id", "variant", "y"], few_groups=few)
+
 
-    Windows span the days of one experiment. Units without an assignment time
-    come last.
+def _sums_at_looks(assignments: DataFrame, config: DataFrame, metric: str) -> DataFrame:
+    """Per look: units and moments of each arm over exactly its target of units.
+
+    Units count in order of (assign_ts, user_id); those without assignment time come last. Whole days come from a
+    histogram; of the few days that a look falls in, the units up to the look are added.
     """
-    running = Window.partitionBy(*keys).orderBy(F.col("day").asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    units = _units(assignments, metric)
+    plan = materialise(look_plan(config))
+    few = is_small(plan)  # what follows per look has no more rows than the plan
+    targets = _look_targets(_histogram(units), _small(plan, few))
+    near = _small(targets.select("experiment_id", "bucket", "look", "need", "centre"), few)
+    inside = _ranked_units(units, targets, few).join(near, ["experiment_id", "bucket"]).where("rank <= need")
+    # A unit is here once for each look of its own day.
+    part = inside.groupBy("experiment_id", "look").agg(
+        *_arm_moments(), F.max("centre").alias("centre"), F.max("assign_ts").alias("reached_at"), F.max("bucket").alias("last")
+    )
+    part = part.select("experiment_id", "look", "last", "reached_at", *[c for c in _SUMS if c[0] in "nkx"], *_about("centre"))
+    more = part.select("experiment_id", "look", *[F.col(c).alias(f"more_{c}") for c in _SUMS], F.when(F.col("last") != _NO_DAY, F.col("reached_at")).alias("reached_at"))
+    return targets.join(more, ["experiment_id", "look"]).select(
+        *[c for c in targets.columns if c not in _SUMS], "reached_at",
+        *[(F.col(c) + F.col(f"more_{c}")).alias(c) for c in _SUMS],
     )
-    total = F.sum(F.col("n_c") + F.col("n_t")).over(Window.partitionBy(*keys))
-    so_far = daily.select(
-        *keys, "day", (F.col("n_c") + F.col("n_t")).alias("units_of_day"), total.alias("total_units"),
-        *[F.sum(c).over(running).alias(c) for c in ("n_c", "x_c", "n_t", "x_t")],
-    ).withColumn("units", F.col("n_c") + F.col("n_t"))
-    fraction = F.col("units") / F.col("total_units")
-    before = (F.col("units") - F.col("units_of_day")) / F.col("total_units")
-    t = F.col("information_fraction")
-    # Both sides are per experiment: days times looks at most.
-    return (
-        so_far.withColumn("reached", fraction)
-        .withColumn("before", before)
-        .join(plan, "experiment_id")
-        .where((t > F.col("before")) & (t <= F.col("reached")))
+
+
+def interim_looks(assignments: DataFrame, config: DataFrame) -> DataFrame:
+    """z of the conversions at every planned look, against its boundary.
+
+    A look counts exactly ceil(fraction * n) units; ``reached_at`` is the last one's assignment time.
+    """
+    looks = (
+        _sums_at_looks(assignments, config, "primary_metric")
         .withColumn("z", F.expr(z_statistic("x_c", "n_c", "x_t", "n_t")))
         .withColumn("crossed", F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False)))
     )
+    return _judged(looks, "reached_at", "n_c", "n_t", F.col("x_c").alias("conversions_c"), F.col("x_t").alias("conversions_t"))
 
 
-def interim_looks(assignments: DataFrame, config: DataFrame) -> DataFrame:
-    """z at every planned look, against its boundary."""
-    looks = _at_looks(_daily_counts(assignments, ["experiment_id"]), look_plan(config), ["experiment_id"])
-    return _judged(looks, "day", "n_c", "n_t", F.col("x_c").alias("conversions_c"), F.col("x_t").alias("conversions_t"))
+def mean_statistics(assignments: DataFrame, config: DataFrame, metric: str) -> DataFrame:
+    """(experiment_id, look, z) of Welch's test on a metric's means at every planned look, with counts, means and variances.
+
+    Units without the metric are counted by the look but not by the test. z is NULL until both arms have two of it and some variance.
+    """
+    sums = _sums_at_looks(assignments, config, metric)
+    moments = sums.select("experiment_id", "look", "target", "reached_at", *[
+        F.expr(text)
+        for s in "ct"
+        for text in (
+            f"k_{s} AS n_{s}", f"IF(k_{s} > 0, centre + d_{s} / k_{s}, NULL) AS mean_{s}",
+            f"IF(k_{s} > 1, greatest(e_{s} - d_{s} * d_{s} / k_{s}, 0D) / (k_{s} - 1), NULL) AS var_{s}",
+        )
+    ])
+    spread = F.expr("var_c / n_c + var_t / n_t")
+    return moments.withColumn("z", F.when(spread > 0, (F.col("mean_t") - F.col("mean_c")) / F.sqrt(spread)))
+
+
+def mean_looks(assignments: DataFrame, config: DataFrame, metric: str) -> DataFrame:
+    """``interim_looks`` for the mean of any metric of the assignments."""
+    return looks_of_statistics(mean_statistics(assignments, config, metric), config, "n_c", "n_t", "mean_c", "mean_t")
 
 
-def looks_of_statistics(statistics: DataFrame, config: DataFrame) -> DataFrame:
+def looks_of_statistics(statistics: DataFrame, config: DataFrame, *also: str) -> DataFrame:
     """The same for z computed elsewhere: ``statistics`` has experiment_id, look and z, for any metric.
 
-    Looks that the plan does not have are left out; a look without z does not cross.
+    Looks that the plan does not have are left out; a look without z does not cross. Columns in ``also`` are kept.
     """
-    looks = statistics.select("experiment_id", "look", "z").join(look_plan(config), ["experiment_id", "look"])
-    return _judged(looks.withColumn("crossed", F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False))))
+    looks = statistics.select("experiment_id", "look", "z", *also).join(look_plan(config), ["experiment_id", "look"])
+    return _judged(looks.withColumn("crossed", F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False))), *also)
 
 
 def _judged(looks: DataFrame, *columns: Column | str) -> DataFrame:
@@ -225,31 +318,98 @@ def sequential_decision(looks: DataFrame) -> DataFrame:
     ).select("experiment_id", "d.*")
 
 
-def aa_audit(assignments: DataFrame, config: DataFrame, resamples: int = 20) -> DataFrame:
+def _look_of_units(units: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """Units with the first look that counts them; units after the last look are left out."""
+    targets = _look_targets(_histogram(units), _small(plan, few))
+    looks = targets.groupBy("experiment_id").agg(F.array_sort(F.collect_list(F.struct("look", "bucket", "need"))).alias("looks"))
+    split = _small(targets.select("experiment_id", "bucket").distinct(), few)
+    whole = units.join(split, ["experiment_id", "bucket"], "left_anti").withColumn("rank", F.lit(0).cast("long"))
+    rows = whole.unionByName(_ranked_units(units, targets, few)).join(_small(looks, few), "experiment_id")
+    open_ = F.filter(
+        "looks",
+        lambda x: (x["bucket"] > F.col("bucket")) | ((x["bucket"] == F.col("bucket")) & (x["need"] >= F.col("rank"))),
+    )
+    return rows.withColumn("look", F.get(open_, F.lit(0))["look"]).drop("looks", "rank").where("look IS NOT NULL")
+
+
+# Widest word that a draw takes of a hash.
+MAX_WORD_BITS = 16
+HASH_BITS = 256
+
+
+def _redrawn_sums(units: DataFrame, draws: int, bits: int) -> DataFrame:
+    """(experiment_id, look, draw, n, x, n_c, x_c): units and metric of a look, and those a draw puts into control.
+
+    ``units`` have ``words``, their hashes one after the other, and ``control_share``. A task cuts the words into draws and adds
+    up per experiment and look, so it sends draws x looks rows per experiment, and no unit is ever multiplied.
+    """
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            width = len(batch.column("words")[0].as_py()) if batch.num_rows else 0
+            raw = np.frombuffer(b"".join(batch.column("words").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, width)
+            cut = np.unpackbits(raw, axis=1)[:, : draws * bits].reshape(batch.num_rows, draws, bits)
+            word = cut @ (1 << np.arange(bits)[::-1])
+            control = word < (batch.column("control_share").to_numpy(zero_copy_only=False) * 2.0**bits)[:, None]
+            y = np.nan_to_num(batch.column("y").to_numpy(zero_copy_only=False).astype(float))
+            keys = pd.MultiIndex.from_arrays([batch.column("experiment_id").to_pandas(), batch.column("look").to_pandas()])
+            place, groups = pd.factorize(keys)
+            for at, group in enumerate(groups):
+                rows = place == at
+                total = sums.setdefault(group, np.zeros((4, draws)))
+                total[0] += rows.sum()
+                total[1] += y[rows].sum()
+                total[2] += control[rows].sum(axis=0)
+                total[3] += y[rows] @ control[rows]
+        for (experiment, look), total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([experiment] * draws, pa.string()), pa.array(np.full(draws, look, dtype=np.int32)),
+                    pa.array(np.arange(1, draws + 1, dtype=np.int32)), *[pa.array(row) for row in total],
+                ],
+                ["experiment_id", "look", "draw", "n", "x", "n_c", "x_c"],
+            )
+
+    kinds = "experiment_id string, look int, draw int, n double, x double, n_c double, x_c double"
+    partial = units.select("experiment_id", "look", "words", "control_share", "y").mapInArrow(add_up, kinds)
+    return partial.groupBy("experiment_id", "look", "draw").agg(*[F.sum(c).alias(c) for c in ("n", "x", "n_c", "x_c")])
+
+
+def aa_audit(assignments: DataFrame, config: DataFrame, draws: int = 256) -> DataFrame:
     """How often re-drawn splits of the same units would stop with no effect.
 
-    Each unit is hashed with ``resamples`` derived salts. The expanded rows are
-    counted per day before any shuffle, so what moves is experiments x salts x
-    days. Per experiment: the share of salts that ever cross the fixed critical
+    A unit's salted 256-bit hash is cut into words, one per draw: below the control share the unit is in control. A share of
+    one half takes a word of one bit, so a hash is 256 draws; other shares take up to ``MAX_WORD_BITS``. Looks are at
+    exact counts of units. Per experiment: the share of draws that ever cross the fixed critical
     value, and of those that ever cross the planned boundaries.
     """
-    keys = ["experiment_id", "draw"]
-    redrawn = (
-        assignments.select("experiment_id", "user_id", "assign_ts", "primary_metric")
-        .join(broadcast_if_small(config.select("experiment_id", "salt", "control_share")), "experiment_id")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-        .withColumn("salt", F.concat("salt", F.lit("#"), F.col("draw").cast("string")))
-        .withColumn("variant", two_way_variant(bucket_hash(F.col("user_id"), F.col("salt")), F.col("control_share")))
-    )
-    plan = look_plan(config).join(
+    share = F.col("control_share")
+    fits = [F.when(share * F.lit(2.0**w) == F.floor(share * F.lit(2.0**w)), F.lit(w)) for w in range(1, MAX_WORD_BITS)]
+    needed = config.agg(F.max(F.coalesce(*fits, F.lit(MAX_WORD_BITS)))).first()[0]
+    bits = 1 << max(int(needed or 1) - 1, 0).bit_length()  # words that divide a hash
+    plan = materialise(look_plan(config).join(
         config.select("experiment_id", normal_quantile(1 - F.col("alpha") / 2).alias("fixed")), "experiment_id"
+    ))
+    few = is_small(plan)  # settings and looks have no more rows than the plan
+    units = _look_of_units(_units(assignments, "primary_metric"), plan.drop("fixed"), few)
+    units = units.join(_small(config.select("experiment_id", "salt", "control_share"), few), "experiment_id")
+    words = [
+        F.unhex(F.sha2(F.concat("salt", F.lit(f"#{block}:"), F.col("user_id").cast("string")), 256))
+        for block in range(1, -(-draws * bits // HASH_BITS) + 1)
+    ]
+    sums = _redrawn_sums(units.withColumn("words", F.concat(*words)), draws, bits)
+    so_far = Window.partitionBy("experiment_id", "draw").orderBy("look").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = sums.select(
+        "experiment_id", "look", "draw", *[F.sum(c).over(so_far).alias(c) for c in ("n_c", "x_c")],
+        (F.sum("n").over(so_far) - F.sum("n_c").over(so_far)).alias("n_t"), (F.sum("x").over(so_far) - F.sum("x_c").over(so_far)).alias("x_t"),
     )
     per_draw = (
-        _at_looks(_daily_counts(redrawn, keys), plan, keys)
-        .groupBy(*keys)
+        counted.join(_small(plan, few), ["experiment_id", "look"])
+        .withColumn("z", F.expr(z_statistic("x_c", "n_c", "x_t", "n_t")))
+        .groupBy("experiment_id", "draw")
         .agg(
             F.bool_or(F.coalesce(F.abs("z") >= F.col("fixed"), F.lit(False))).alias("peeked"),
-            F.bool_or("crossed").alias("crossed"),
+            F.bool_or(F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False))).alias("crossed"),
         )
     )
     return per_draw.groupBy("experiment_id").agg(

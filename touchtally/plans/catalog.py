@@ -715,7 +715,7 @@ def X19_plan_alphas(spark: SparkSession, sf: str) -> DataFrame:
 def X19_X20_interim_looks(spark: SparkSession, sf: str) -> DataFrame:
     looks = sequential.interim_looks(_experiments(spark, sf), bridge.config(spark))
     return looks.select(
-        "experiment_id", "look", r("information_fraction").alias("information_fraction"), "day", "n_c", "n_t",
+        "experiment_id", "look", r("information_fraction").alias("information_fraction"), "reached_at", "n_c", "n_t",
         r("conversions_c").alias("conversions_c"), r("conversions_t").alias("conversions_t"), r("z").alias("z"),
         r("z_boundary", 2).alias("z_boundary"), r("nominal_p").alias("nominal_p"), "crossed", "stop",
     )
@@ -729,9 +729,20 @@ def X20_sequential_decision(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def X20_mean_looks(spark: SparkSession, sf: str) -> DataFrame:
+    """Looks at the mean of a metric that isn't a rate."""
+    looks = sequential.mean_looks(_experiments(spark, sf), bridge.config(spark), "guardrail_latency_ms")
+    return looks.select(
+        "experiment_id", "look", r("information_fraction").alias("information_fraction"), "n_c", "n_t",
+        r("mean_c").alias("mean_c"), r("mean_t").alias("mean_t"), r("z").alias("z"),
+        r("z_boundary", 2).alias("z_boundary"), r("nominal_p").alias("nominal_p"), "crossed", "stop",
+    )
+
+
 @query
 def X21_aa_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sequential.aa_audit(_experiments(spark, sf), bridge.config(spark), 20))
+    return rounded(sequential.aa_audit(_experiments(spark, sf), bridge.config(spark)))
 
 
 # --- guardrails and decision ------------------------------------------------------------------------
