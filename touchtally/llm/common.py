@@ -1,8 +1,9 @@
 """What the corpus operators share: reading documents, written intermediates, word arrays.
 
 Word arrays work on the UTF-8 buffer of an Arrow column: no Python object is made
-per document or word. Hashes are polynomial prefix sums modulo 2**64 over random
-byte values with an odd multiplier, so any span's hash is two look-ups.
+per document or word. Hashes are polynomial prefix sums over random byte values, so any span's hash is
+two look-ups. There are two sums, modulo the prime 2**31 - 1 and with bases of their own: modulo a power of two
+some texts would have one hash whatever the base is.
 """
 
 from __future__ import annotations
@@ -108,24 +109,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
+_PRIME = (1 << 31) - 1
+_MASK, _SHIFT = np.uint64(_PRIME), np.uint64(31)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, up to the prime itself and a little more, for x below 2**63; in place."""
+    high = x >> _SHIFT
+    x &= _MASK
+    x += high
+    return x
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**63; in place."""
+    x = _reduced(_reduced(x))
+    x[x >= _MASK] -= _MASK
+    return x
+
+
+@lru_cache(maxsize=16)
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**i modulo the prime for i < n, a power of two, by doubling."""
+    out = np.ones(n, dtype=np.uint64)
+    done = 1
+    while done < n:
+        out[done : 2 * done] = _residue(out[:done] * np.uint64(pow(base, done, _PRIME)))
+        done *= 2
+    return out
+
+
+def _lanes(base: int) -> tuple[int, int]:
+    return base % _PRIME, (base >> 32) % _PRIME
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; sizes are rounded up so that they are reused."""
-    size = 1 << max(12, int(n - 1).bit_length())
-    return _powers(base, size)[:n], _powers(pow(base, -1, 2**64), size)[:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i for i < n; sizes are rounded up so that they are reused."""
+    return _powers(base, 1 << max(12, int(n - 1).bit_length()))[:n]
 
 
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, one longer than ``values``."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    if len(values):
-        np.cumsum(values * powers(base, len(values))[0], out=out[1:])
+    """Prefix sums of values[i] * base**i in two lanes, one longer than ``values``; the lanes take 31 bits of a value each."""
+    out = np.zeros((2, len(values) + 1), dtype=np.uint64)
+    for lane, b in enumerate(_lanes(base)):
+        x = values >> np.uint64(31 * lane)
+        x &= _MASK
+        x *= powers(b, len(values))
+        # Below 2**33 each, so up to 2**30 of them add up exactly.
+        np.cumsum(_reduced(x), out=out[lane, 1:])
     return out
 
 
@@ -133,7 +164,12 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     """Position-free hash of the spans [start, end) of the values behind ``sums``."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    return mix64((sums[ends] - sums[starts]) * powers(base, len(sums))[1][starts])
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for lane, b in enumerate(_lanes(base)):
+        x = _residue(sums[lane][ends] - sums[lane][starts])
+        x *= powers(pow(b, -1, _PRIME), sums.shape[1])[starts]
+        out |= _residue(x) << np.uint64(31 * lane)
+    return mix64(out)
 
 
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

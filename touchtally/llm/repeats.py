@@ -205,14 +205,14 @@ _ANCHOR = "anchor long, key long, place int, known boolean, load long"
 
 
 def _repeated_places(anchors: DataFrame, limit: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Places of repeated anchors as a list per key, and the anchors whose segments are more than ``limit``."""
+    """Places of repeated anchors as a set per key (repeated rows share a key and their places), and the anchors whose segments are more than ``limit``."""
     parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: _repeated_only(batches, limit), "key long, place int"
     )
     rows = written(rows, name)
     hot = rows.filter(F.col("place") == HOT_ROW).select(F.col("key").alias("anchor"), F.lit(True).alias("hot"))
-    return rows.filter(F.col("place") != HOT_ROW).groupBy("key").agg(F.collect_list("place").alias("places")), hot
+    return rows.filter(F.col("place") != HOT_ROW).groupBy("key").agg(F.collect_set("place").alias("places")), hot
 
 
 _SEGMENT = "anchor long, key long, first int, n int, codes binary"
@@ -492,7 +492,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256 of every row."""
     keys = row_keys(docs)
     keyed = _keyed(docs, keys)
-    marks = repeated_windows(keyed, size).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    marks = repeated_windows(keyed, size).groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("marks"))
     joined = keyed.join(marks.hint("shuffle_hash"), "key", "left")
     out = joined.mapInArrow(_without(size), "key long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return without_row_key(out, keys).select("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")
