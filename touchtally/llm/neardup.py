@@ -13,7 +13,8 @@
    a block's task all pairs not yet connected are estimated by their sketches, and confirmed by exact
    Jaccard similarity on whole sets; only confirmed links that connect something leave the task.
    Blocks share some of the cluster's members, so most of a large group is one component after
-   that. Members outside the largest component then meet every other block.
+   that. Members outside the largest component are dealt to blocks of their own, and each of those
+   meets every block of the cluster: a task holds two blocks, however many such members there are.
 4. Confirmed links give the result's components.
 
 Cases: null text, and text without words, has an empty set and is linked with nothing; a text
@@ -163,10 +164,10 @@ def _bits(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def block_links(ids: list[int], labels: list[int], fixed: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def block_links(ids: list[int], labels: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Confirmed links that join components not yet joined, among one block's members.
 
-    ``fixed`` marks members whose pairs with each other are left to their own block.
+    Members of one side other than 0 are not compared with each other here: another task does that.
     """
     n = len(ids)
     size = np.array([len(s) for s in sets])
@@ -178,7 +179,7 @@ def block_links(ids: list[int], labels: list[int], fixed: np.ndarray, sets: list
         hi = min(lo + 64, n)
         a, b = np.nonzero(np.arange(lo, hi)[:, None] < np.arange(n)[None, :])
         a += lo
-        ok = (root[a] != root[b]) & ~(fixed[a] & fixed[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        ok = (root[a] != root[b]) & ~((side[a] == side[b]) & (side[a] > 0)) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
         a, b = a[ok], b[ok]
         if not len(a):
             continue
@@ -209,20 +210,20 @@ def union_sketch(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def confirm(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b); members are (id, block, label, fixed), a row for each block that an id takes part in."""
+    """Confirmed links (a, b); members are (id, block, label, side), a row for each block that an id takes part in."""
     tagged = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(
         broadcast_if_small(members), F.col("doc_id") == F.col("id")
     )
     # Repeated rows of an id: one is enough.
-    need = tagged.select("id", "block", "label", "fixed", "text")
+    need = tagged.select("id", "block", "label", "side", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, values, first in _sets(batch.column("text"), shingle):
                 data = values.tobytes()
                 cells = [data[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.record_batch([*[batch.column(c)[lo:hi] for c in ("id", "block", "label", "fixed")], pa.array(cells, pa.binary())],
-                                      names=["id", "block", "label", "fixed", "shingles"])
+                yield pa.record_batch([*[batch.column(c)[lo:hi] for c in ("id", "block", "label", "side")], pa.array(cells, pa.binary())],
+                                      names=["id", "block", "label", "side", "shingles"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -231,26 +232,26 @@ def confirm(members: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
         def close() -> None:
             if len(held) > 1:
-                ids, labels, fixed, sets = zip(*held)
-                out.extend(block_links(list(ids), list(labels), np.array(fixed), [np.frombuffer(s, dtype=np.uint64) for s in sets], percent))
+                ids, labels, side, sets = zip(*held)
+                out.extend(block_links(list(ids), list(labels), np.array(side), [np.frombuffer(s, dtype=np.uint64) for s in sets], percent))
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "id", "label", "fixed", "shingles")]
-            for block, i, label, fixed, data in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("block", "id", "label", "side", "shingles")]
+            for block, i, label, side, data in zip(*columns):
                 if block != current:
                     close()
                     current, held = block, []
                 if not held or held[-1][0] != i:
-                    held.append((i, label, fixed, data))
+                    held.append((i, label, side, data))
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
         close()
         yield _pairs(out)
 
-    sets = need.mapInArrow(to_sets, "id long, block string, label long, fixed boolean, shingles binary")
+    sets = need.mapInArrow(to_sets, "id long, block string, label long, side int, shingles binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(parts, "block").sortWithinPartitions("block", "fixed", "id").mapInArrow(link, "a long, b long")
+    return sets.repartition(parts, "block").sortWithinPartitions("block", "side", "id").mapInArrow(link, "a long, b long")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -280,10 +281,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     name = F.concat_ws("/", F.col("component"), F.col("block"))
     pivots = placed.filter(F.col("pivot") & (F.col("blocks") > 1)).select(
-        "id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("fixed")
+        "id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side")
     ).filter(F.col("block") != F.col("own")).drop("own")
-    own = placed.select("id", "component", F.col("own").alias("block"), F.lit(False).alias("fixed"))
-    first = own.union(pivots).select("id", name.alias("block"), F.col("id").alias("label"), "fixed")
+    own = placed.select("id", "component", F.col("own").alias("block"), F.lit(0).alias("side"))
+    first = own.union(pivots).select("id", name.alias("block"), F.col("id").alias("label"), "side")
     links = written(confirm(written(first, "members"), docs, shingle, percent), "confirmed")
     many = placed.filter("blocks > 1")
     if not many.isEmpty():
@@ -295,13 +296,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         counted = labelled.groupBy("component", "label").agg(F.count("*").alias("size"))
         main = counted.groupBy("component").agg(F.max(F.struct("size", "label")).getField("label").alias("main"))
         joined = labelled.join(main, "component")
-        # Members outside the main component meet the members of all other blocks.
-        roaming = joined.filter(F.col("label") != F.col("main")).select(
-            "id", "component", "own", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-        ).filter(F.col("block") != F.col("own"))
-        second = roaming.select("id", name.alias("block"), "label", F.lit(True).alias("fixed")).union(
-            joined.select("id", F.concat_ws("/", F.col("component"), F.col("own")).alias("block"), "label", F.lit(False).alias("fixed"))
-        )
+        # Members outside the main component, in blocks of their own, meet the members of every block.
+        outside = joined.filter(F.col("label") != F.col("main")).select("id", "component", "blocks", "label")
+        groups = outside.groupBy("component").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("groups"))
+        outside = outside.join(groups, "component").withColumn("group", F.pmod(F.xxhash64("id", F.lit("group")), F.col("groups")))
+        zero = F.lit(0).cast("long")
+        pair = F.concat_ws("/", F.col("component"), F.col("block"), F.col("group"))
+        roaming = outside.select(
+            "id", "component", "group", "label", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block")
+        ).select("id", pair.alias("block"), "label", F.lit(2).alias("side"))
+        settled = joined.join(groups, "component").select(
+            "id", "component", F.col("own").alias("block"), "label", F.explode(F.sequence(zero, F.col("groups") - 1)).alias("group")
+        ).select("id", pair.alias("block"), "label", F.lit(1).alias("side"))
+        second = roaming.union(settled)
         links = links.union(confirm(written(second, "members"), docs, shingle, percent))
     found = written(components(links), "components").join(classes.withColumnRenamed("id", "node"), "node").select(
         F.col("n").alias("n_shingles"), "k1", "k2", "component"
