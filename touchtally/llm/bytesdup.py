@@ -41,7 +41,7 @@ from touchtally.sources.checkpoints import broadcast_if_small
 
 SIZE = 400
 ANCHOR = 64
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -335,7 +335,7 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every row."""
     keys = row_keys(docs)
     keyed = _keyed(docs, keys)
-    marks = repeated_runs(keyed, size).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    marks = repeated_runs(keyed, size).groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("marks"))
     joined = keyed.join(marks.hint("shuffle_hash"), "key", "left")
     out = joined.mapInArrow(_without(size), "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return without_row_key(out, keys).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
