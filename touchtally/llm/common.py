@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ BATCH_BYTES = 1 << 20
 # Stands for a null doc_id in keys; it comes first.
 NO_ID = -(2**63)
 
+# Lists of tables that open blocks of last_table_only have written.
+_OPEN: list[list[str]] = []
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,9 +56,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    for tables in _OPEN:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def last_table_only(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside, but for the last one, when the block ends well.
+
+    What the block gives back may read that last table only, or tables from before it.
+    """
+    tables: list[str] = []
+    _OPEN.append(tables)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [other for other in _OPEN if other is not tables]
+    for path in tables[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _row_name(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_twin", F.xxhash64(F.coalesce("text", F.lit(""))))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import written
+from touchtally.llm.common import last_table_only, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -36,15 +36,18 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """node and component (its smallest node) for every node of a link; loops and nulls are left out."""
-    current = written(
-        links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links"
-    )
-    state = _state(current)
-    for _ in range(max_rounds):
-        current = written(_star(_star(current, True), False), "links")
-        new = _state(current)
-        if new == state:
-            nodes = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            return nodes.union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = new
-    raise RuntimeError("components did not settle")
+    with last_table_only(links.sparkSession):
+        current = written(
+            links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links"
+        )
+        state = _state(current)
+        for _ in range(max_rounds):
+            current = written(_star(_star(current, True), False), "links")
+            new = _state(current)
+            if new == state:
+                break
+            state = new
+        else:
+            raise RuntimeError("components did not settle")
+    nodes = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

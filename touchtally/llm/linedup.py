@@ -11,7 +11,8 @@
    those with ``PIVOTS`` of its lines, and then those of lines outside the bucket's largest component
    with all lines whose signatures agree enough. That last step grows with the square of the lines that stay
    unconnected in one bucket; it caps nothing.
-3. Exact Jaccard similarity on shingle sets confirms a pair.
+3. Pairs go on whose minima agree as often as a pair at the threshold's do but for five standard deviations. Exact Jaccard
+   similarity on shingle sets confirms them: a line's set is made once, and a pair is one row with two sets.
 4. Components of confirmed pairs keep the one line that comes first: smallest doc_id, then line number.
 
 Cases: lines without a word stay; lines shorter than a shingle are one shingle; null text stays null;
@@ -29,7 +30,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import WORD, row_keys, with_row_key, written
+from touchtally.llm.common import WORD, last_table_only, row_keys, with_row_key, written
 from touchtally.llm.components import components
 from touchtally.sources.checkpoints import broadcast_if_small
 
@@ -42,9 +43,6 @@ PER_ROW = 4
 PIVOTS = 4
 # Equal minima of 30 that a pair at 0.8 has, five standard deviations below its mean.
 AGREEING = 13
-# Pairs of lines whose shingles one task holds at once, as far as the number of tasks allows.
-PAIRS_PER_TASK = 1500
-MAX_TASKS = 20_000
 # Line names are one long each.
 MAX_BROADCAST_NAMES = 1_000_000
 # Odd factor and summand of each row's mix of the shingle's hash.
@@ -94,30 +92,31 @@ def _agreeing(a: str, b: str) -> Column:
     return total
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (name, name2) whose exact Jaccard similarity reaches the threshold.
+def _likely(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """Pairs (name, name2), each once, whose minima agree often enough for the threshold."""
+    left = packed.select("name", F.col("s").alias("a"))
+    right = packed.select(F.col("name").alias("name2"), F.col("s").alias("b"))
+    both = pairs.select("name", "name2").distinct().join(left, "name").join(right, "name2")
+    return both.filter(_agreeing("a", "b") >= AGREEING).select("name", "name2")
 
-    Both lines' shingles become rows; one aggregate tells which of the two lines has
-    each, and one more counts. Pairs are dealt to so many tasks that the first fits in memory.
+
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (name, name2) whose exact Jaccard similarity reaches the threshold, written.
+
+    Each line's set of shingles is made once, from its row in ``texts``, and a pair is one row with both sets.
     """
-    pairs = written(pairs.select("name", "name2").distinct(), "line-pairs")
-    names = written(pairs.select("name").union(pairs.select(F.col("name2").alias("name"))).distinct(), "line-names")
-    needed = broadcast_if_small(names, MAX_BROADCAST_NAMES)
-    coded = exploded_lines(docs).select("name", F.encode("line", "UTF-16BE").alias("coded"))
-    texts = written(coded.join(needed, "name").distinct(), "line-texts")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = min(max(parts, pairs.count() // PAIRS_PER_TASK), MAX_TASKS)
-    both = pairs.join(texts, "name").repartition(dealt, "name2").join(
-        texts.select(F.col("name").alias("name2"), F.col("coded").alias("coded2")).repartition(dealt, "name2").hint("merge"), "name2"
-    )
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), "coded"), F.struct(F.lit(2).alias("side"), F.col("coded2").alias("coded")))).alias("s")
-    rows = both.select("name2", "name", sides).select("name2", "name", F.col("s.side").alias("side"), F.col("s.coded").alias("coded"))
-    shingles = rows.select("name2", "name", "side", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select(
-        "name2", "name", "side", F.xxhash64(F.substring(F.col("coded"), F.col("at"), F.lit(2 * SHINGLE))).alias("h")
-    )
-    owners = shingles.groupBy("name2", "name", "h").agg(F.bit_or("side").alias("owners"))
-    counted = owners.groupBy("name2", "name").agg(F.sum((F.col("owners") == 3).cast("int")).alias("common"), F.count("*").alias("all"))
-    return counted.filter(100 * F.col("common") >= PERCENT * F.col("all")).select("name", "name2")
+    with last_table_only(pairs.sparkSession):
+        pairs = written(pairs, "line-pairs")
+        names = pairs.select("name").union(pairs.select(F.col("name2").alias("name"))).distinct()
+        shingles = F.array_distinct(F.transform(
+            _starts(F.col("coded")), lambda at: F.xxhash64(F.substring(F.col("coded"), at, F.lit(2 * SHINGLE)))
+        ))
+        sets = written(texts.join(names, "name", "left_semi").select("name", shingles.alias("set")), "line-sets")
+        both = pairs.join(sets, "name").join(sets.select(F.col("name").alias("name2"), F.col("set").alias("set2")), "name2")
+        common = F.size(F.array_intersect("set", "set2"))
+        counted = both.select("name", "name2", common.alias("common"), (F.size("set") + F.size("set2")).alias("sizes"))
+        alike = counted.filter(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common")))
+        return written(alike.select("name", "name2"), "line-links")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -131,15 +130,22 @@ def line_classes(docs: DataFrame) -> DataFrame:
     dealt = signed.select("name", bands).repartition(parts, "bucket")
     buckets = dealt.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(dealt.join(buckets, "bucket").select("bucket", "name", "members"), "line-buckets")
+    # From here on only lines that share a bucket are looked at.
+    names = shared.select("name").distinct()
+    packed = written(signed.join(names, "name", "left_semi").select("name", F.struct(*minima).alias("s")), "line-minima")
+    coded = exploded_lines(docs).select("name", F.encode("line", "UTF-16BE").alias("coded"))
+    texts = written(coded.join(names, "name", "left_semi").dropDuplicates(["name"]), "line-texts")
     heads = shared.groupBy("bucket").agg(F.min("name").alias("head"))
     stars = shared.join(heads, "bucket").filter(F.col("name") > F.col("head")).select(F.col("head").alias("name"), F.col("name").alias("name2"))
-    links = written(confirm(stars, docs), "line-links")
+    links = confirm(_likely(stars, packed), texts)
+
+    def placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+        found = components(links, "name", "name2")
+        component = F.coalesce("component", "name").alias("component")
+        return written(shared.join(found, shared["name"] == found["node"], "left").select("bucket", "name", "members", component), "line-shared")
+
     # Lines that the heads have connected need no more pairs.
-    found = written(components(links, "name", "name2"), "line-components")
-    shared = written(
-        shared.join(found, shared["name"] == found["node"], "left").select("bucket", "name", "members", F.coalesce("component", "name").alias("component")),
-        "line-shared",
-    )
+    shared = placed(shared, links)
     small = shared.filter(F.col("members") <= SMALL_BUCKET)
     other = small.select("bucket", F.col("name").alias("name2"), F.col("component").alias("component2"))
     pairs = small.join(other, "bucket").filter((F.col("name") < F.col("name2")) & (F.col("component") != F.col("component2"))).select("name", "name2")
@@ -151,33 +157,32 @@ def line_classes(docs: DataFrame) -> DataFrame:
     more = large.join(pivots, "bucket").filter(F.col("component") != F.col("component2")).select(
         F.least("name", "pivot").alias("name"), F.greatest("name", "pivot").alias("name2")
     )
-    tried = stars.select("name", "name2")
-    links = written(links.union(confirm(pairs.union(more).distinct().join(tried, ["name", "name2"], "left_anti"), docs)), "line-links")
-    found = components(links, "name", "name2")
-    if large.isEmpty():
-        return found.select(F.col("node").alias("name"), "component")
-    large = large.select("bucket", "name")
-    found = written(found, "line-components")
-    placed = large.join(found, large["name"] == found["node"], "left").select("bucket", "name", F.coalesce("component", "name").alias("component"))
-    placed = written(placed, "line-placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).getField("component").alias("main"), F.count("*").alias("parts"))
-    split = placed.join(main.filter("parts > 1"), "bucket")
-    packed = signed.select("name", F.struct(*minima).alias("s"))
-    roaming = split.filter(F.col("component") != F.col("main")).select("bucket", "name", "component").join(packed, "name")
-    settled = split.select("bucket", F.col("name").alias("name2"), F.col("component").alias("component2")).join(
-        packed.select(F.col("name").alias("name2"), F.col("s").alias("s2")), "name2"
-    )
-    rest = roaming.join(settled, "bucket").filter(
-        (F.col("component") != F.col("component2")) & (_agreeing("s", "s2") >= AGREEING)
-    ).select(F.least("name", "name2").alias("name"), F.greatest("name", "name2").alias("name2"))
-    more = confirm(rest, docs)
-    return components(links.union(more), "name", "name2").select(F.col("node").alias("name"), "component")
+    links = links.union(confirm(_likely(pairs.union(more), packed), texts))
+    if not large.isEmpty():
+        large = placed(large.drop("component"), links)
+        sizes = large.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).getField("component").alias("main"), F.count("*").alias("parts"))
+        split = large.join(main.filter("parts > 1"), "bucket")
+        roaming = split.filter(F.col("component") != F.col("main")).select("bucket", "name", "component").join(packed, "name")
+        settled = split.select("bucket", F.col("name").alias("name2"), F.col("component").alias("component2")).join(
+            packed.select(F.col("name").alias("name2"), F.col("s").alias("s2")), "name2"
+        )
+        rest = roaming.join(settled, "bucket").filter(
+            (F.col("component") != F.col("component2")) & (_agreeing("s", "s2") >= AGREEING)
+        ).select(F.least("name", "name2").alias("name"), F.greatest("name", "name2").alias("name2"))
+        links = links.union(confirm(rest.distinct(), texts))
+    return components(links, "name", "name2").select(F.col("node").alias("name"), "component")
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
-    """doc_id and dropped (line numbers) of every document that loses lines."""
-    classes = written(line_classes(docs), "line-classes")
+    """doc_id and dropped (line numbers) of every document that loses lines, written; other tables made on the way are deleted."""
+    with last_table_only(docs.sparkSession):
+        return written(_line_decisions(docs), "line-dropped")
+
+
+def _line_decisions(docs: DataFrame) -> DataFrame:
+    with last_table_only(docs.sparkSession):
+        classes = written(line_classes(docs), "line-classes")
     own = exploded_lines(docs).select("doc_id", "line_no", "name")
     occurrences = written(own.join(broadcast_if_small(classes, MAX_BROADCAST_NAMES), "name", "left").select(
         "doc_id", "line_no", F.coalesce("component", "name").alias("class")
@@ -197,7 +202,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their kept lines as ``text``, and n_lines and n_removed."""
     keyed = with_row_key(docs.drop("n_lines", "n_removed"), row_keys(docs))
     decided = line_decisions(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    dropped = written(decided, "line-dropped").select(F.col("doc_id").alias("_key"), F.col("dropped").alias("_dropped"))
+    dropped = decided.select(F.col("doc_id").alias("_key"), F.col("dropped").alias("_dropped"))
     joined = keyed.join(dropped, "_key", "left").drop("_key")
     lines = F.split("text", "\n")
     kept = F.array_join(
