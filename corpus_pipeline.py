@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchtally.llm import language, linedup, mixing, neardup, pieces
-from touchtally.llm.common import read_documents, word_count, written
+from touchtally.llm.common import WORD, last_table_only, read_documents, word_count, written
 from touchtally.sources.checkpoints import broadcast_if_small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,13 +29,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that are alike the first stays; a text may become empty, its row stays."""
-    return linedup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Of lines that are alike the first stays. A document that loses its last words is a copy of others, and its row goes."""
+    kept = linedup.dedup_lines(docs.select(*COLUMNS))
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return kept.filter((F.col("n_removed") == 0) | words).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the smallest id stays, and one row of it."""
-    found = written(neardup.near_duplicates(docs), "pipeline-neardup")
+    with last_table_only(spark):
+        found = written(neardup.near_duplicates(docs), "pipeline-neardup")
     gone = written(found.filter(~F.col("kept")).select("doc_id").distinct(), "pipeline-gone")
     again = written(found.filter("kept").groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "pipeline-again")
     kept = docs.select(*COLUMNS).join(broadcast_if_small(gone, linedup.MAX_BROADCAST_NAMES), "doc_id", "left_anti")
