@@ -12,7 +12,7 @@
    with all lines whose signatures agree enough. That last step grows with the square of the lines that stay
    unconnected in one bucket; it caps nothing.
 3. Pairs go on whose minima agree as often as a pair at the threshold's do but for five standard deviations. Exact Jaccard
-   similarity on shingle sets confirms them: a line's set is made once, and a pair is one row with two sets.
+   similarity on shingle sets confirms them, one row a pair.
 4. Components of confirmed pairs keep the one line that comes first: smallest doc_id, then line number.
 
 Cases: lines without a word stay; lines shorter than a shingle are one shingle; null text stays null;
@@ -84,6 +84,11 @@ def _mixed(h: Column, factor: int, summand: int) -> Column:
     return (h * F.lit(factor).cast("long") + F.lit(summand).cast("long")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
 
 
+def _shingle_set(coded: str) -> Column:
+    hashes = F.transform(_starts(F.col(coded)), lambda at: F.xxhash64(F.substring(F.col(coded), at, F.lit(2 * SHINGLE))))
+    return F.array_distinct(hashes)
+
+
 def _agreeing(a: str, b: str) -> Column:
     equal = [(F.col(f"{a}.m{i}") == F.col(f"{b}.m{i}")).cast("int") for i in range(BANDS * ROWS)]
     total = equal[0]
@@ -101,22 +106,20 @@ def _likely(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (name, name2) whose exact Jaccard similarity reaches the threshold, written.
+    """Pairs (name, name2) whose exact Jaccard similarity reaches the threshold.
 
-    Each line's set of shingles is made once, from its row in ``texts``, and a pair is one row with both sets.
+    A pair is one row with both lines, from ``texts``; sets of shingles are made in its row, since texts are a tenth of
+    their sets in a shuffle.
     """
     with last_table_only(pairs.sparkSession):
         pairs = written(pairs, "line-pairs")
-        names = pairs.select("name").union(pairs.select(F.col("name2").alias("name"))).distinct()
-        shingles = F.array_distinct(F.transform(
-            _starts(F.col("coded")), lambda at: F.xxhash64(F.substring(F.col("coded"), at, F.lit(2 * SHINGLE)))
-        ))
-        sets = written(texts.join(names, "name", "left_semi").select("name", shingles.alias("set")), "line-sets")
-        both = pairs.join(sets, "name").join(sets.select(F.col("name").alias("name2"), F.col("set").alias("set2")), "name2")
-        common = F.size(F.array_intersect("set", "set2"))
-        counted = both.select("name", "name2", common.alias("common"), (F.size("set") + F.size("set2")).alias("sizes"))
-        alike = counted.filter(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common")))
-        return written(alike.select("name", "name2"), "line-links")
+        second = texts.select(F.col("name").alias("name2"), F.col("coded").alias("coded2"))
+        both = pairs.join(texts, "name").join(second, "name2")
+        sets = both.select("name", "name2", _shingle_set("coded").alias("a"), _shingle_set("coded2").alias("b"))
+        counted = sets.select("name", "name2", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
+        # A filter right here would be moved below the sets and make them again; so it reads the written counts.
+        counted = written(counted, "line-counts")
+    return counted.filter(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("name", "name2")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
