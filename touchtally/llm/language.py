@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import row_slices, smallest_hashes, string_buffer
+from touchtally.llm.common import row_slices, string_buffer
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -28,6 +28,8 @@ FILTERS = 16
 EMBED = 8
 # Bound of the sample that the network is trained on: windows, at most one per document.
 TRAIN_WINDOWS = 4000
+# With many labels, at least so many of each.
+MIN_WINDOWS = 50
 EPOCHS = 5
 BLOCK = 128
 UNKNOWN = "und"
@@ -39,13 +41,24 @@ def fold(key: str, parts: int) -> Column:
 
 
 def window_sample(labelled: DataFrame, label: str, size: int = TRAIN_WINDOWS) -> tuple[list[str], list[bytes]]:
-    """At most ``size`` labels and windows, the rows with the smallest hash; one hashed window of each row's text."""
+    """About ``size`` labels and windows, as many of each label: the rows with its smallest hashes, one hashed window of each row's text.
+
+    Labels with fewer rows give all of them, so that a rare one is learned too.
+    """
     at = 1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
-    # Ties of the hash are ordered by the rest of the row, so reruns agree.
     known = labelled.filter(F.col(label).isNotNull() & (F.length("text") > 0)).select(
         "doc_id", F.col(label).alias("label"), F.substring(F.col("text"), at.cast("int"), F.lit(WINDOW)).alias("window")
     )
-    rows = smallest_hashes(known, F.xxhash64("doc_id", F.lit("draw")), size, "label", "window").collect()
+    counts = {r["label"]: r["count"] for r in labelled.filter(F.col(label).isNotNull() & (F.length("text") > 0)).groupBy(F.col(label).alias("label")).count().collect()}
+    if not counts:
+        return [], []
+    per = max(MIN_WINDOWS, size // len(counts))
+    # Counts bound the hash first, so tasks send a few times the sample. Ties are ordered by the rest of the row, so reruns agree.
+    bound = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 4 * per / n))])
+    draw = F.xxhash64("doc_id", "window", F.lit("draw"))
+    few = known.withColumn("draw", draw).filter(F.col("draw") / F.lit(2.0**64) + 0.5 <= F.try_element_at(bound, F.col("label")))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "window"))
+    rows = few.withColumn("place", place).filter(F.col("place") <= per).orderBy("label", "place").collect()
     return [r["label"] for r in rows], [r["window"].encode()[:WINDOW] for r in rows]
 
 

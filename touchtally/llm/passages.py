@@ -31,7 +31,6 @@ HIDDEN = 24
 ATTEND = 12
 # Bounds of the training sample: documents of each label, code points of each text.
 TRAIN_DOCS = 900
-TRAIN_CHARS = 6000
 EPOCHS = 12
 THRESHOLD = 0.3
 
@@ -152,7 +151,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 def learn(docs: DataFrame, labels: DataFrame) -> AttentionScorer | None:
     """Train on labels outside the held-out fold (crc32 of doc_id modulo 5 equal to 0)."""
-    texts, quality = labelled_sample(docs, labels.filter(fold("doc_id", 5) != 0), "quality", TRAIN_DOCS, TRAIN_CHARS)
+    texts, quality = labelled_sample(docs, labels.filter(fold("doc_id", 5) != 0), "quality", TRAIN_DOCS)
     return train(texts, quality) if texts else None
 
 

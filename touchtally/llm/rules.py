@@ -25,8 +25,8 @@ from touchtally.llm.common import _P, _RANDOM_BYTE, Words, prefix, row_slices, s
 
 # Bounds of the training sample: documents of each label, code points of each text, lines of each text.
 TRAIN_DOCS = 600
-TRAIN_CHARS = 8000
-TRAIN_LINES = 48
+# Lines of one training sequence; longer documents give several.
+SEQUENCE_LINES = 48
 CONTENT_SHARE = 0.5
 CONTENT, BOILERPLATE = 0, 1
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -189,8 +189,8 @@ def train(feats: list[np.ndarray], labels: list[int], rounds: int = 120) -> Line
     return LineField(*values)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, chars: int) -> tuple[list[str], list[int]]:
-    """Bounded sample of labelled texts: the smallest hashes of each label, ``chars`` code points from a hashed place."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> tuple[list[str], list[int]]:
+    """Bounded sample of labelled documents, ``per_label`` of each label by the smallest hashes, with their whole texts."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     chosen = {}
     for value in (0, 1):
@@ -198,11 +198,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
         chosen |= {r["doc_id"]: value for r in ids.select("doc_id").collect()}
     if not chosen:
         return [], []
-    at = 1 + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - chars, F.lit(1)))
     # An id may be repeated in the documents; one row of each is enough, so the sample stays bounded.
     rows = (
         docs.filter(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull())
-        .select("doc_id", F.substring(F.col("text"), at.cast("int"), F.lit(chars)).alias("text"))
         .groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
@@ -214,15 +212,19 @@ def text_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> LineField | None:
-    texts, quality = labelled_sample(docs, labels, "quality", TRAIN_DOCS, TRAIN_CHARS)
+    texts, quality = labelled_sample(docs, labels, "quality", TRAIN_DOCS)
     if not texts:
         return None
     raw, offsets = text_arrays(texts)
     words = words_of(raw, offsets)
     lines = lines_of(raw, offsets, words)
     feats = features(raw, lines, words)
-    cut = [feats[a : min(b, a + TRAIN_LINES)] for a, b in zip(lines.first[:-1], lines.first[1:])]
-    return train(cut, [BOILERPLATE if q == 0 else CONTENT for q in quality])
+    parts, gold = [], []
+    for a, b, good in zip(lines.first[:-1], lines.first[1:], quality):
+        for at in range(a, b, SEQUENCE_LINES):
+            parts.append(feats[at : min(b, at + SEQUENCE_LINES)])
+            gold.append(CONTENT if good else BOILERPLATE)
+    return train(parts, gold)
 
 
 _OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
