@@ -104,6 +104,11 @@ def steady_sum(value: Column, window: WindowSpec | None = None) -> Column:
     return (total if window is None else total.over(window)).cast("double")
 
 
+def for_reading(value: Column | str, digits: int) -> Column:
+    """Rounded; finer first, because sums of thirds lie just beside the value that they stand for."""
+    return F.round(F.round(value, digits + 6), digits)
+
+
 def derive(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:
     """Add columns in one projection; later ones may refer to earlier ones by name.
 

@@ -16,6 +16,7 @@ from touchtally.functions.columns import (
     bucket_hash,
     calendar_days,
     clip,
+    for_reading,
     half_life_weight,
     net_of_refund,
     rate,
@@ -56,7 +57,7 @@ def query(function: Query) -> Query:
 
 def r(column: Column | str, digits: int = 6) -> Column:
     """Rounded, with -0.0 turned into 0.0; first finer, so that what is a tie but for the last bits goes up as a tie."""
-    return F.round(F.round(column, digits + 6), digits) + F.lit(0.0)
+    return for_reading(column, digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchtally.config import DAYS_PER_MONTH, AttributionConfig
-from touchtally.functions.columns import guarded_ratio, rate
+from touchtally.functions.columns import for_reading, guarded_ratio, rate
 from touchtally.operators.journeys import build_touches, frequent_paths, journey_paths
 from touchtally.operators.rules import attribution_facts
 
@@ -115,7 +115,7 @@ def top_paths(touches: DataFrame, conversions: DataFrame, cfg: AttributionConfig
 def channel_listing(channel_roi_mart: DataFrame) -> DataFrame:
     """Channel ROI rounded for reading, largest spend first."""
     return channel_roi_mart.select(
-        "channel", F.round("monthly_spend", 0).alias("monthly_spend"), "last_touch_conversions",
-        F.round("linear_conversions", 1).alias("linear_conversions"),
-        F.round("cac_last_touch", 2).alias("cac_last_touch"), F.round("cac_linear", 2).alias("cac_linear"),
+        "channel", for_reading("monthly_spend", 0).alias("monthly_spend"), "last_touch_conversions",
+        for_reading("linear_conversions", 1).alias("linear_conversions"),
+        for_reading("cac_last_touch", 2).alias("cac_last_touch"), for_reading("cac_linear", 2).alias("cac_linear"),
     ).orderBy(F.desc("monthly_spend"), "channel")
