@@ -445,3 +445,25 @@ def test_added_spending_functions(spark, monkeypatch):
     assert sequential.boundaries((0.5, 1.0), 0.08, "late")[0][1] == pytest.approx(0.005)
     with pytest.raises(ValueError, match="falls"):
         sequential.boundaries((0.3, 0.6), 0.05, "falling")
+
+
+def test_settings_and_rank_starts_need_no_python_worker(spark):
+    """Rows of the driver as a pickled list would be read by a Python worker on every core."""
+    from touchtally.operators.ranks import ranked
+
+    plan = config(spark, "e")._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    rows = ranked(spark.range(20).selectExpr("id % 2 AS g", "id"), ["g"], ["id"], few_groups=True)
+    # The written rows are an RDD scan of their own; the starts are not.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 2  # in both branches of the join
+    assert sorted((r.g, r["rank"], r.id) for r in rows.collect()) == sorted((i % 2, i // 2 + 1, i) for i in range(20))
+
+
+def test_mean_looks_make_the_plan_once(spark):
+    df = spark.createDataFrame(
+        [("e", i, "treatment" if i % 2 else "control", None, float(i % 5)) for i in range(40)],
+        "experiment_id string, user_id long, variant string, assign_ts timestamp, guardrail_latency_ms double",
+    )
+    looks = sequential.mean_looks(df, config(spark, "e"), "guardrail_latency_ms")
+    assert "_plan_column" not in looks._jdf.queryExecution().optimizedPlan().toString()
+    assert looks.count() == 5

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from touchtally.sources.checkpoints import broadcast_if_small, materialise
+from touchtally.sources.checkpoints import broadcast_if_small, local_rows, materialise
 
 
 def ranked(
@@ -30,7 +31,7 @@ def ranked(
         starts.append((row["_task"], before))
         before += row["n"]
     # One row per task of the sort.
-    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "_task long, _before long"))
+    starts = F.broadcast(local_rows(rows.sparkSession, starts, T.StructType().add("_task", "long").add("_before", "long")))
     placed = placed.join(starts, "_task").withColumn("_at", F.col("_before") + F.col("_id").bitwiseAND(F.lit(2**33 - 1)))
     firsts = placed.groupBy(*groups).agg(F.min("_at").alias("_first"))
     firsts = F.broadcast(firsts) if few_groups else broadcast_if_small(materialise(firsts))

@@ -261,7 +261,7 @@ def interim_looks(assignments: DataFrame, config: DataFrame) -> DataFrame:
     looks = (
         _sums_at_looks(assignments, config, "primary_metric")
         .withColumn("z", F.expr(z_statistic("x_c", "n_c", "x_t", "n_t")))
-        .withColumn("crossed", F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False)))
+        .withColumn("crossed", _crosses())
     )
     return _judged(looks, "reached_at", "n_c", "n_t", F.col("x_c").alias("conversions_c"), F.col("x_t").alias("conversions_t"))
 
@@ -271,8 +271,13 @@ def mean_statistics(assignments: DataFrame, config: DataFrame, metric: str) -> D
 
     Units without the metric are counted by the look but not by the test. z is NULL until both arms have two of it and some variance.
     """
-    sums = _sums_at_looks(assignments, config, metric)
-    moments = sums.select("experiment_id", "look", "target", "reached_at", *[
+    sums = _mean_statistics(_sums_at_looks(assignments, config, metric))
+    return sums.select("experiment_id", "look", "target", "reached_at", *[f"{c}_{s}" for s in "ct" for c in ("n", "mean", "var")], "z")
+
+
+def _mean_statistics(sums: DataFrame) -> DataFrame:
+    """``sums`` of looks, with its other columns, and counts, means, variances and z of a metric in place of the sums."""
+    moments = sums.select(*[c for c in sums.columns if c not in _SUMS], *[
         F.expr(text)
         for s in "ct"
         for text in (
@@ -286,7 +291,14 @@ def mean_statistics(assignments: DataFrame, config: DataFrame, metric: str) -> D
 
 def mean_looks(assignments: DataFrame, config: DataFrame, metric: str) -> DataFrame:
     """``interim_looks`` for the mean of any metric of the assignments."""
-    return looks_of_statistics(mean_statistics(assignments, config, metric), config, "n_c", "n_t", "mean_c", "mean_t")
+    # The sums carry their look's plan, which is made once.
+    looks = _mean_statistics(_sums_at_looks(assignments, config, metric))
+    return _judged(looks.withColumn("crossed", _crosses()), "n_c", "n_t", "mean_c", "mean_t")
+
+
+def _crosses() -> Column:
+    """Whether z is at or beyond its boundary; not without z."""
+    return F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False))
 
 
 def looks_of_statistics(statistics: DataFrame, config: DataFrame, *also: str) -> DataFrame:
@@ -295,7 +307,7 @@ def looks_of_statistics(statistics: DataFrame, config: DataFrame, *also: str) ->
     Looks that the plan does not have are left out; a look without z does not cross. Columns in ``also`` are kept.
     """
     looks = statistics.select("experiment_id", "look", "z", *also).join(look_plan(config), ["experiment_id", "look"])
-    return _judged(looks.withColumn("crossed", F.coalesce(F.abs("z") >= F.col("z_boundary"), F.lit(False))), *also)
+    return _judged(looks.withColumn("crossed", _crosses()), *also)
 
 
 def _judged(looks: DataFrame, *columns: Column | str) -> DataFrame:

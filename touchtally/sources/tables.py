@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchtally.sources.checkpoints import local_rows
 from touchtally.sources.schemas import EXPERIMENT_CONFIG, TABLES
 
 _EXPERIMENT_COLUMNS = (
@@ -94,4 +95,4 @@ def experiment_config(spark: SparkSession, settings: list[dict]) -> DataFrame:
         if not 0.0 < row["alpha"] < 1.0:
             raise ValueError(f"alpha outside (0, 1): {row['alpha']}")
         rows.append(tuple(row[f.name] for f in EXPERIMENT_CONFIG))
-    return spark.createDataFrame(rows, EXPERIMENT_CONFIG)
+    return local_rows(spark, rows, EXPERIMENT_CONFIG)
