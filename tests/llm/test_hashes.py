@@ -101,3 +101,14 @@ def test_members_outside_the_main_component_in_block_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
     assert got == {i: i // 2 * 2 for i in range(60)}
+
+
+def test_one_run_of_powers_a_base():
+    """Powers of all sizes are one four-byte array per base, or a worker holds several times the longest."""
+    from touchtally.llm import common
+
+    base = 1_000_003
+    for n in (10, 5000, 70_000, 9000):
+        got = common.powers(base, n)
+        assert [int(x) for x in got[:5]] == [pow(base, i, 2**31 - 1) for i in range(5)] and int(got[-1]) == pow(base, n - 1, 2**31 - 1)
+    assert common._POWERS[base].nbytes == 4 * 2**17

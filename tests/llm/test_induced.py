@@ -43,3 +43,17 @@ def test_recursion_on_disk(monkeypatch):
 
 def test_empty():
     assert len(I.suffix_array(np.zeros(0, np.uint16))[0]) == 0
+
+
+def test_working_memory_a_symbol():
+    """Arrays of positions and letters are four bytes wide; those of eight took over 30 bytes a symbol at once."""
+    import tracemalloc
+
+    text = np.random.default_rng(5).integers(1, 25, 1 << 20).astype(np.uint16)
+    tracemalloc.start()
+    I.smaller_types(text)
+    assert tracemalloc.get_traced_memory()[1] < 16 * len(text)
+    tracemalloc.reset_peak()
+    I.Prefixes(text, 400)
+    assert tracemalloc.get_traced_memory()[1] < 14 * len(text)
+    tracemalloc.stop()
