@@ -263,3 +263,21 @@ def test_lines_under_one_id(twins):
     shared = rows[0][1]
     got = sorted((r.doc_id or 0, r.text) for r in linedup.dedup_lines(docs).collect())
     assert got == sorted((i or 0, t.replace("\n" + shared, "").replace(shared, "") if i else t) for i, t in rows)
+
+
+def test_lines_are_compared_once(frame, monkeypatch):
+    """A pair that an earlier round has compared is in no later one, and the sizes of its sets allow the threshold."""
+    seen = []
+    monkeypatch.setattr(linedup, "SMALL_BUCKET", 2)
+    confirm = linedup.confirm
+
+    def kept(pairs, texts):
+        out = confirm(pairs, texts)
+        sizes = {r["name"]: r["size"] for r in texts.collect()}
+        seen.extend((r["name"], r["name2"], sizes[r["name"]], sizes[r["name2"]]) for r in out[1].collect())
+        return out
+
+    monkeypatch.setattr(linedup, "confirm", kept)
+    linedup.line_classes(frame).collect()
+    assert seen and len({s[:2] for s in seen}) == len(seen)
+    assert all(100 * min(s[2:]) >= linedup.PERCENT * max(s[2:]) for s in seen)

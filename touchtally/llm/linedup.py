@@ -11,8 +11,8 @@
    those with ``PIVOTS`` of its lines, and then those of lines outside the bucket's largest component
    with all lines whose signatures agree enough. That last step grows with the square of the lines that stay
    unconnected in one bucket; it caps nothing.
-3. Pairs go on whose minima agree as often as a pair at the threshold's do but for five standard deviations. Exact Jaccard
-   similarity on shingle sets confirms them, one row a pair.
+3. Pairs go on whose minima agree as often as a pair at the threshold's do but for five standard deviations, and whose sets'
+   sizes allow the threshold. Exact Jaccard similarity on shingle sets confirms them, one row a pair and each pair once.
 4. Components of confirmed pairs keep the one line that comes first: smallest doc_id, then line number.
 
 Cases: lines without a word stay; lines shorter than a shingle are one shingle; null text stays null;
@@ -84,9 +84,14 @@ def _mixed(h: Column, factor: int, summand: int) -> Column:
     return (h * F.lit(factor).cast("long") + F.lit(summand).cast("long")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
 
 
-def _shingle_set(coded: str) -> Column:
-    hashes = F.transform(_starts(F.col(coded)), lambda at: F.xxhash64(F.substring(F.col(coded), at, F.lit(2 * SHINGLE))))
-    return F.array_distinct(hashes)
+def _shingles(coded: str) -> Column:
+    """Hashes of all shingles of a line, equal ones too."""
+    return F.transform(_starts(F.col(coded)), lambda at: F.xxhash64(F.substring(F.col(coded), at, F.lit(2 * SHINGLE))))
+
+
+def line_texts(lines: DataFrame) -> DataFrame:
+    """name, coded and size (of its shingle set) of every distinct line of ``lines``: a line's size is counted once, not once a pair."""
+    return lines.dropDuplicates(["name"]).select("name", "coded", F.size(F.array_distinct(_shingles("coded"))).alias("size"))
 
 
 def _agreeing(a: str, b: str) -> Column:
@@ -105,21 +110,27 @@ def _likely(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return both.filter(_agreeing("a", "b") >= AGREEING).select("name", "name2")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (name, name2) whose exact Jaccard similarity reaches the threshold.
+def confirm(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (name, name2), those whose exact Jaccard similarity reaches the threshold, and all that have been compared.
 
-    A pair is one row with both lines, from ``texts``; sets of shingles are made in its row, since texts are a tenth of
-    their sets in a shuffle.
+    A pair is one row with both lines, from ``texts``; their shingles are made in its row, since texts are a tenth of
+    their sets in a shuffle. Where the smaller set has too few for the threshold, nothing is compared.
     """
     with last_table_only(pairs.sparkSession):
         pairs = written(pairs, "line-pairs")
-        second = texts.select(F.col("name").alias("name2"), F.col("coded").alias("coded2"))
+        second = texts.select(F.col("name").alias("name2"), F.col("coded").alias("coded2"), F.col("size").alias("size2"))
         both = pairs.join(texts, "name").join(second, "name2")
-        sets = both.select("name", "name2", _shingle_set("coded").alias("a"), _shingle_set("coded2").alias("b"))
-        counted = sets.select("name", "name2", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
+        both = both.filter(100 * F.least("size", "size2") >= PERCENT * F.greatest("size", "size2"))
+        common = F.size(F.array_intersect(_shingles("coded"), _shingles("coded2"))).alias("common")
         # A filter right here would be moved below the sets and make them again; so it reads the written counts.
-        counted = written(counted, "line-counts")
-    return counted.filter(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("name", "name2")
+        counted = written(both.select("name", "name2", common, (F.col("size") + F.col("size2")).alias("sizes")), "line-counts")
+    links = counted.filter(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common")))
+    return links.select("name", "name2"), counted.select("name", "name2")
+
+
+def _new(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """Pairs that no earlier round has compared; a pair that failed once shares buckets in later rounds too."""
+    return pairs.join(compared, ["name", "name2"], "left_anti")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -137,10 +148,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     names = shared.select("name").distinct()
     packed = written(signed.join(names, "name", "left_semi").select("name", F.struct(*minima).alias("s")), "line-minima")
     coded = exploded_lines(docs).select("name", F.encode("line", "UTF-16BE").alias("coded"))
-    texts = written(coded.join(names, "name", "left_semi").dropDuplicates(["name"]), "line-texts")
+    texts = written(line_texts(coded.join(names, "name", "left_semi")), "line-texts")
     heads = shared.groupBy("bucket").agg(F.min("name").alias("head"))
     stars = shared.join(heads, "bucket").filter(F.col("name") > F.col("head")).select(F.col("head").alias("name"), F.col("name").alias("name2"))
-    links = confirm(_likely(stars, packed), texts)
+    links, compared = confirm(_likely(stars, packed), texts)
 
     def placed(shared: DataFrame, links: DataFrame) -> DataFrame:
         found = components(links, "name", "name2")
@@ -160,7 +171,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     more = large.join(pivots, "bucket").filter(F.col("component") != F.col("component2")).select(
         F.least("name", "pivot").alias("name"), F.greatest("name", "pivot").alias("name2")
     )
-    links = links.union(confirm(_likely(pairs.union(more), packed), texts))
+    found, also = confirm(_new(_likely(pairs.union(more), packed), compared), texts)
+    links, compared = links.union(found), compared.union(also)
     if not large.isEmpty():
         large = placed(large.drop("component"), links)
         sizes = large.groupBy("bucket", "component").agg(F.count("*").alias("size"))
@@ -173,7 +185,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         rest = roaming.join(settled, "bucket").filter(
             (F.col("component") != F.col("component2")) & (_agreeing("s", "s2") >= AGREEING)
         ).select(F.least("name", "name2").alias("name"), F.greatest("name", "name2").alias("name2"))
-        links = links.union(confirm(rest.distinct(), texts))
+        links = links.union(confirm(_new(rest.distinct(), compared), texts)[0])
     return components(links, "name", "name2").select(F.col("node").alias("name"), "component")
 
 
