@@ -1,9 +1,14 @@
+import random
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from touchtally.llm import pieces as P
+from touchtally.llm.common import ARROW_BYTES, in_arrow
 
 TEXTS = [
     "", "a", " a", "a ", "  a  b ", "Hello world, hello  world", "naïve café\n\n\tend", "日本語のテキスト", "🦙 llama▁literal ▁", "x" * 300,
@@ -61,3 +66,29 @@ def test_frames(spark, pieces):
     assert len(out) == 5 and all(r.round_trip for r in out)
     assert sorted(r.n_tokens for r in out)[:3] == [0, 0, 0]
     assert P.tokenize(spark.createDataFrame([], "doc_id long, text string"), pieces).count() == 0
+
+
+def test_worker_memory(pieces):
+    """A batch of 2 MB of words that hardly repeat takes much less than its edges all at once."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(90)) for _ in range(2200)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in P.token_batches(pieces, batch, "text", []))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and peak < 100 << 20
+
+
+def test_batches_have_a_limit_in_bytes(spark):
+    """Long texts come in batches of a few MB, whatever the rows a batch may have."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["size"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id as string), 4000) AS text")
+    sizes = [r["size"] for r in in_arrow(docs, run, "size long").collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * ARROW_BYTES

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import row_slices, string_buffer
+from touchtally.llm.common import in_arrow, row_slices, string_buffer
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     schema = docs.select(*named, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.select(*named, has_letter.alias("_letters")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*named, has_letter.alias("_letters")), run, schema)
 
 
 def learn(docs: DataFrame, label: str = "lang", size: int = TRAIN_WINDOWS) -> ByteConvNet | None:

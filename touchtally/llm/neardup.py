@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchtally.llm.common import Words, _Q, mix64, row_slices, span_hash, string_buffer, words_of, written
+from touchtally.llm.common import SMALL_SLICE, Words, _Q, in_arrow, mix64, row_slices, span_hash, string_buffer, words_of, written
 from touchtally.llm.components import components
 from touchtally.sources.checkpoints import broadcast_if_small
 
@@ -64,7 +64,7 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, offsets = string_buffer(column)
-    for lo, hi in row_slices(offsets):
+    for lo, hi in row_slices(offsets, SMALL_SLICE):
         words = words_of(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=True)
         yield (lo, hi, *shingle_sets(words, n))
 
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "k1", "k2", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>")
 
 
 def _estimate(sketch, other):
@@ -249,9 +249,9 @@ def confirm(members: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         close()
         yield _pairs(out)
 
-    sets = need.mapInArrow(to_sets, "id long, block string, label long, side int, shingles binary")
+    sets = in_arrow(need, to_sets, "id long, block string, label long, side int, shingles binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(parts, "block").sortWithinPartitions("block", "side", "id").mapInArrow(link, "a long, b long")
+    return in_arrow(sets.repartition(parts, "block").sortWithinPartitions("block", "side", "id"), link, "a long, b long")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
