@@ -281,3 +281,12 @@ def test_lines_are_compared_once(frame, monkeypatch):
     linedup.line_classes(frame).collect()
     assert seen and len({s[:2] for s in seen}) == len(seen)
     assert all(100 * min(s[2:]) >= linedup.PERCENT * max(s[2:]) for s in seen)
+
+
+def test_texts_of_shared_lines_only(spark, frame):
+    """Where the names are few, the texts of all other lines are in no shuffle."""
+    names = linedup.exploded_lines(frame).select("name").distinct().limit(5).localCheckpoint()
+    kept = linedup.lines_of(frame, names)
+    assert {r["name"] for r in kept.collect()} == {r["name"] for r in names.collect()}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(name" not in plan

@@ -89,6 +89,12 @@ def _shingles(coded: str) -> Column:
     return F.transform(_starts(F.col(coded)), lambda at: F.xxhash64(F.substring(F.col(coded), at, F.lit(2 * SHINGLE))))
 
 
+def lines_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """name and coded of the lines in ``names``, which are few: other lines go before their texts are shuffled."""
+    own = exploded_lines(docs).join(broadcast_if_small(names, MAX_BROADCAST_NAMES), "name", "left_semi")
+    return own.select("name", F.encode("line", "UTF-16BE").alias("coded"))
+
+
 def line_texts(lines: DataFrame) -> DataFrame:
     """name, coded and size (of its shingle set) of every distinct line of ``lines``: a line's size is counted once, not once a pair."""
     return lines.dropDuplicates(["name"]).select("name", "coded", F.size(F.array_distinct(_shingles("coded"))).alias("size"))
@@ -145,10 +151,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     buckets = dealt.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(dealt.join(buckets, "bucket").select("bucket", "name", "members"), "line-buckets")
     # From here on only lines that share a bucket are looked at.
-    names = shared.select("name").distinct()
-    packed = written(signed.join(names, "name", "left_semi").select("name", F.struct(*minima).alias("s")), "line-minima")
-    coded = exploded_lines(docs).select("name", F.encode("line", "UTF-16BE").alias("coded"))
-    texts = written(line_texts(coded.join(names, "name", "left_semi")), "line-texts")
+    names = written(shared.select("name").distinct(), "line-names")
+    packed = written(signed.join(broadcast_if_small(names, MAX_BROADCAST_NAMES), "name", "left_semi").select("name", F.struct(*minima).alias("s")), "line-minima")
+    texts = written(line_texts(lines_of(docs, names)), "line-texts")
     heads = shared.groupBy("bucket").agg(F.min("name").alias("head"))
     stars = shared.join(heads, "bucket").filter(F.col("name") > F.col("head")).select(F.col("head").alias("name"), F.col("name").alias("name2"))
     links, compared = confirm(_likely(stars, packed), texts)
