@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -290,3 +291,14 @@ def test_texts_of_shared_lines_only(spark, frame):
     assert {r["name"] for r in kept.collect()} == {r["name"] for r in names.collect()}
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(name" not in plan
+
+
+def test_long_line_is_not_copied_for_each_shingle(spark):
+    """Shingles of a line of 300,000 characters take time in proportion to it: a copy for each would be 180 GB."""
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300_000))
+    docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    lines = linedup.exploded_lines(docs).select("name", linedup.F.encode("line", "UTF-16BE").alias("coded")).localCheckpoint()
+    began = time.monotonic()
+    size = linedup.line_texts(lines).first()["size"]
+    assert size == len({line[i : i + 8] for i in range(len(line) - 7)}) and time.monotonic() - began < 15

@@ -85,8 +85,12 @@ def _mixed(h: Column, factor: int, summand: int) -> Column:
 
 
 def _shingles(coded: str) -> Column:
-    """Hashes of all shingles of a line, equal ones too."""
-    return F.transform(_starts(F.col(coded)), lambda at: F.xxhash64(F.substring(F.col(coded), at, F.lit(2 * SHINGLE))))
+    """Hashes of all shingles of a line, equal ones too.
+
+    The line is a lambda's variable here: a column inside a lambda is read from its row for each shingle, and a read copies the whole line.
+    """
+    hashes = F.transform(F.array(F.col(coded)), lambda line: F.transform(_starts(line), lambda at: F.xxhash64(F.substring(line, at, F.lit(2 * SHINGLE)))))
+    return hashes.getItem(0)
 
 
 def lines_of(docs: DataFrame, names: DataFrame) -> DataFrame:
