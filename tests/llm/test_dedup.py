@@ -44,6 +44,34 @@ def test_near_duplicates_odd(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_common_passage_ties_no_unlike_documents(spark, monkeypatch):
+    """Documents of which half is a common passage are no cluster; copies among them are still found."""
+    common = [f"k{i}" for i in range(50)]
+    texts = [" ".join(common + [f"w{d}x{i}" for i in range(50)]) for d in range(120)]
+    texts += [f"{texts[7]} more", " ".join(common), " ".join(common + ["end"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "SHORT_LIST", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "SHARED", 8)
+    compared, confirm = [], neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", lambda members, *a: compared.append(members.count()) or confirm(members, *a))
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4, 80).collect()}
+    assert found == {**{d: d for d in range(122)}, 120: 7, 122: 121}
+    assert sum(compared) <= 12
+
+
+def test_only_sets_of_like_size_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    band = {i: (0, 1, 5)[i % 3] for i in range(40)}
+    members = spark.createDataFrame([(i, 9, b, i) for i, b in band.items()], "id long, component long, band long, label long")
+    rows = neardup.block_pairs(members.filter("id >= 20"), members).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r.block, {1: [], 2: []})[r.side].append(r.id)
+    met = sorted((x, y) for b in blocks.values() for x in b[2] for y in b[1])
+    assert met == [(x, y) for x in range(20, 40) for y in range(40) if abs(band[x] - band[y]) <= 1]
+
+
 def test_repeated_passages(frame, corpus):
     seen, expect = set(), {}
     for i, text in sorted(corpus):

@@ -5,16 +5,20 @@
 2. Inverted lists of the smallest ``LIST_VALUES`` retained values give candidates. A short list
    gives its pairs, and the union sketch (the k smallest of both sketches
    together) estimates their similarity; clear misses go. A long list, which a large group
-   or a common passage makes, gives no pairs: only documents that are mostly made of values with
-   long lists stay in it, and each is tied to the list's first. Of two documents that are alike at the
+   or a common passage makes, gives no pairs. Of two documents that are alike at the
    threshold, one with ``COLD_ENOUGH`` values in short lists shares one of those with
    probability 1 - 0.2**COLD_ENOUGH at least.
+   Documents with fewer, and those that could be like one, take part in lists of their whole sketches,
+   each with its rarest values only: as many that two sketches without one in common have an estimate
+   that is a clear miss (prefix filter), so none is lost here. Documents that only share common passages
+   have rarer values of their own, and don't meet. Short lists of these give pairs too; in a long one,
+   each document is tied to the list's first.
 3. Candidate clusters are the components of these ties. A cluster is cut into blocks. In
    a block's task all pairs not yet connected are estimated by their sketches, and confirmed by exact
    Jaccard similarity on whole sets; only confirmed links that connect something leave the task.
    Blocks share some of the cluster's members, so most of a large group is one component after
    that. Members outside the largest component are dealt to blocks of their own, and each of those
-   meets every block of the cluster: a task holds two blocks, however many such members there are.
+   meets every block of the cluster whose sets can be of like size: a task holds two blocks, however many such members there are.
 4. Confirmed links give the result's components.
 
 Cases: null text, and text without words, has an empty set and is linked with nothing; a text
@@ -24,6 +28,7 @@ gives an empty result. Ids are long and not null; rows with a null id get a null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +45,8 @@ PERCENT = 80
 SKETCH = 64
 LIST_VALUES = 16
 COLD_ENOUGH = 10
+# So many long lists of the smallest values make a document a possible partner of one with too few short lists.
+PARTNER_HOT = 3
 SHORT_LIST = 32
 # Five standard deviations of the estimate below the threshold.
 ESTIMATE_FLOOR = 0.55
@@ -104,24 +111,52 @@ def _estimate(sketch, other):
     return F.size(F.array_intersect(union, F.array_intersect(sketch, other))) / F.size(union)
 
 
+def rare_lists(classes: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """value, id, n and members: lists of partners by their rarest sketch values.
+
+    Two sketches with an estimate of ``ESTIMATE_FLOOR`` share that part of the larger one at least. Where both sketches
+    are whole sets, as those of sets of up to ``SKETCH * percent / 100`` and of all that can be like them are, it is ``percent``.
+    A sketch of size s that must share c values shares one of its s - c + 1 rarest.
+    """
+    wide = written(
+        classes.join(partners, "id").select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value")), "wide"
+    )
+    sizes = wide.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
+    whole = F.col("n") <= SKETCH * percent // 100
+    need = F.when(whole, F.floor((F.col("n") * percent + 99) / 100)).otherwise(F.ceil(F.col("size") * ESTIMATE_FLOOR - 1e-6))
+    # Values without a list are the rarest of all, so they use up places.
+    ranked = wide.join(sizes, "value").groupBy("id", "n", "size").agg(F.sort_array(F.collect_list(F.struct("members", "value"))).alias("ranked"))
+    places = (F.size("ranked") - need + 1).cast("int")
+    rarest = ranked.withColumn("places", places).filter("places > 0").select(
+        "id", "n", F.explode(F.slice("ranked", F.lit(1), F.col("places"))).alias("entry")
+    )
+    rarest = written(rarest.select("id", "n", "entry.value"), "rarest")
+    lists = rarest.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
+    return written(rarest.join(lists, "value"), "rare-lists")
+
+
 def candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of classes that may be alike: estimated pairs of short lists, stars of long ones."""
     entries = written(classes.select("id", "n", F.explode(F.slice("sketch", 1, LIST_VALUES)).alias("value")), "entries")
     sizes = entries.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(entries.join(sizes, "value"), "shared")
-    cold = shared.filter(F.col("members") <= SHORT_LIST).select("value", "id", "n")
-    other = cold.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"))
-    alike_size = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("id") < F.col("id2"))
-    pairs = cold.join(other, "value").filter(alike_size).select("id", "id2").distinct()
+    # Values with short lists, or only one member, are cold. A whole set may have few others.
+    few_values = F.col("n") < LIST_VALUES
+    hot = shared.filter(F.col("members") > SHORT_LIST).groupBy("id", "n").agg(F.count("*").alias("hot"))
+    partners = hot.filter((F.col("hot") >= PARTNER_HOT) | few_values).select("id")
+    rare = rare_lists(classes, partners, percent)
+
+    def pairs(lists: DataFrame) -> DataFrame:
+        cold = lists.filter(F.col("members") <= SHORT_LIST).select("value", "id", "n")
+        other = cold.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"))
+        alike_size = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("id") < F.col("id2"))
+        return cold.join(other, "value").filter(alike_size).select("id", "id2")
+
     left = classes.select("id", "sketch")
     right = classes.select(F.col("id").alias("id2"), F.col("sketch").alias("sketch2"))
-    close = pairs.join(left, "id").join(right, "id2").filter(_estimate(F.col("sketch"), F.col("sketch2")) >= ESTIMATE_FLOOR)
-    # Values with short lists, or only one member, are cold.
-    hot = shared.filter(F.col("members") > SHORT_LIST)
-    mostly = hot.groupBy("id").agg(F.count("*").alias("hot")).join(
-        classes.select("id", F.least(F.size("sketch"), F.lit(LIST_VALUES)).alias("used")), "id"
-    ).filter(F.col("used") - F.col("hot") < COLD_ENOUGH).select("id")
-    staying = hot.join(mostly, "id").select("value", "id")
+    met = pairs(shared).union(pairs(rare)).distinct()
+    close = met.join(left, "id").join(right, "id2").filter(_estimate(F.col("sketch"), F.col("sketch2")) >= ESTIMATE_FLOOR)
+    staying = rare.filter(F.col("members") > SHORT_LIST)
     heads = staying.groupBy("value").agg(F.min("id").alias("head"))
     stars = staying.join(heads, "value").select("id", F.col("head").alias("id2"))
     return close.select("id", "id2").union(stars).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
@@ -258,6 +293,32 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
 
+def block_pairs(outside: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``confirm``: members in blocks (side 1) and outside ones in groups (side 2) of like size, once for each block and group that meet.
+
+    Both have id, component, band and label. A block or a group is of one component and band.
+    """
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+
+    def dealt(rows: DataFrame, parts: str, part: str) -> tuple[DataFrame, DataFrame]:
+        counts = rows.groupBy("component", "band").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias(parts))
+        own = F.pmod(F.xxhash64("id", F.lit(part)), F.col(parts)).alias(part)
+        return counts, rows.join(counts, ["component", "band"]).select("id", "component", "band", "label", own)
+
+    def meeting(rows: DataFrame, counts: DataFrame, parts: str, part: str) -> DataFrame:
+        others = counts.withColumnRenamed("band", "other")
+        return rows.withColumn("other", near).join(others, ["component", "other"]).withColumn(
+            part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+        )
+
+    blocks, settled = dealt(members, "blocks", "block")
+    groups, roaming = dealt(outside, "groups", "group")
+    settled, roaming = meeting(settled, groups, "groups", "group"), meeting(roaming, blocks, "blocks", "block")
+    return roaming.select("id", F.concat_ws("/", "component", "other", "block", "band", "group").alias("block"), "label", F.lit(2).alias("side")).union(
+        settled.select("id", F.concat_ws("/", "component", "band", "block", "other", "group").alias("block"), "label", F.lit(1).alias("side"))
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     sketched = written(sketches(docs, shingle), "sketches")
@@ -289,26 +350,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     many = placed.filter("blocks > 1")
     if not many.isEmpty():
         after = components(links)
-        labelled = many.join(after.withColumnRenamed("component", "label"), F.col("id") == F.col("node"), "left").select(
-            "id", "component", "own", "blocks", F.coalesce("label", "id").alias("label")
-        )
+        # Sets that can be alike are of one band of sizes, or of two next to each other.
+        band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6)).alias("band")
+        labelled = many.join(after.withColumnRenamed("component", "label"), F.col("id") == F.col("node"), "left").join(
+            classes.select("id", "n"), "id"
+        ).select("id", "component", band, F.coalesce("label", "id").alias("label"))
         labelled = written(labelled, "labelled")
         counted = labelled.groupBy("component", "label").agg(F.count("*").alias("size"))
         main = counted.groupBy("component").agg(F.max(F.struct("size", "label")).getField("label").alias("main"))
-        joined = labelled.join(main, "component")
-        # Members outside the main component, in blocks of their own, meet the members of every block.
-        outside = joined.filter(F.col("label") != F.col("main")).select("id", "component", "blocks", "label")
-        groups = outside.groupBy("component").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("groups"))
-        outside = outside.join(groups, "component").withColumn("group", F.pmod(F.xxhash64("id", F.lit("group")), F.col("groups")))
-        zero = F.lit(0).cast("long")
-        pair = F.concat_ws("/", F.col("component"), F.col("block"), F.col("group"))
-        roaming = outside.select(
-            "id", "component", "group", "label", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block")
-        ).select("id", pair.alias("block"), "label", F.lit(2).alias("side"))
-        settled = joined.join(groups, "component").select(
-            "id", "component", F.col("own").alias("block"), "label", F.explode(F.sequence(zero, F.col("groups") - 1)).alias("group")
-        ).select("id", pair.alias("block"), "label", F.lit(1).alias("side"))
-        second = roaming.union(settled)
+        # Members outside the main component, in blocks of their own, meet the members of every block that can be like them.
+        outside = labelled.join(main, "component").filter(F.col("label") != F.col("main")).drop("main")
+        second = block_pairs(written(outside, "outside"), labelled)
         links = links.union(confirm(written(second, "members"), docs, shingle, percent))
     found = written(components(links), "components").join(classes.withColumnRenamed("id", "node"), "node").select(
         F.col("n").alias("n_shingles"), "k1", "k2", "component"
